@@ -30,11 +30,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/quern-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: later steps neither repeat nor depend on what made it."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,3 +95,13 @@ def part_of(column: str, bounds: list[int]) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out

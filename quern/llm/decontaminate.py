@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.llm.common import materialise, sized_broadcast
+from quern.llm.common import fresh, materialise, sized_broadcast
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -120,5 +120,6 @@ def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no window of items."""
-    found = materialise(contamination(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_d"), F.col("h").alias("_dh")))
-    return docs.join(sized_broadcast(found), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_dh")), "left_anti")
+    d, h = fresh(docs, "_d", "_dh")
+    found = materialise(contamination(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias(d), F.col("h").alias(h)))
+    return docs.join(sized_broadcast(found), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")

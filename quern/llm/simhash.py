@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialise, shuffle_parts, sized_broadcast, utf8
+from quern.llm.common import chunks, fresh, materialise, shuffle_parts, sized_broadcast, utf8
 from quern.llm.components import components
 
 #: Leaves of a trie, or of a pair of its pieces, that one task joins at once.
@@ -274,10 +274,11 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, max_bits: int = 7, apart: i
 
 def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without the rows that rows (doc_id, _h, stays, n; materialised) rejects; of n equal rows that stay, one is kept."""
-    out = rows.filter("not stays or n > 1").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_dh"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (row_hash() == F.col("_dh"))
-    kept = docs.join(sized_broadcast(out), same, "left_anti")
-    again = rows.filter("stays and n > 1").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_dh"))
+    d, h = fresh(docs, "_d", "_dh")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (row_hash() == F.col(h))
+    ids = [F.col("doc_id").alias(d), F.col("_h").alias(h)]
+    kept = docs.join(sized_broadcast(rows.filter("not stays or n > 1").select(*ids)), same, "left_anti")
+    again = rows.filter("stays and n > 1").select(*ids)
     if again.limit(1).count():
         kept = kept.unionByName(docs.join(sized_broadcast(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept

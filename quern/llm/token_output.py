@@ -12,6 +12,7 @@ ordered by the ids' bytes; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounds_of, chunks, part_of, scratch, shuffle_parts, utf8
+from quern.llm.common import bounds_of, chunks, materialise, part_of, scratch, shuffle_parts, utf8
 
 #: Longest code: a decoding table of 2 ** MAX_BITS entries.
 MAX_BITS = 16
@@ -29,35 +30,63 @@ MARK = 256
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Words whose characters are letters before and after lowering and normalising.
+LETTERS = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+").fullmatch
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """(tokenizer, word -> ids as bytes) of this worker process."""
+    """(tokenizer, word -> ids as bytes, whether each id ends a piece) of this worker process."""
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(1 << 16, dtype=bool)
+        ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tokenizer, {}, ends)
     return _TOKENIZERS[path]
 
 
+def _learn(new: list[bytes], path: str) -> None:
+    """Adds the ids of new words to this worker's store.
+
+    Stops and commas behind a letter are pieces of their own for the pre-tokenizer, so they are encoded apart. Words of
+    letters alone are one piece each: many are encoded as one text, whose ids fall into words at the ids that end a piece.
+    """
+    tokenizer, known, ends = _encoder(path)
+    split = [(w, base, w[len(base) :]) for w in new if len(base := w.rstrip(b".,")) < len(w) and base[-1:].isalnum()]
+    words = {w: w.decode() for w in ({*new} | {x for _, *two in split for x in two}).difference(known, (w for w, _, _ in split))}
+    letters = [(w, s) for w, s in words.items() if LETTERS(s)]
+    for i in range(0, len(letters), 20_000):
+        groups = [letters[j : j + 200] for j in range(i, min(i + 20_000, len(letters)), 200)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u2")
+            cut = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cut) == len(group):
+                raw = ids.tobytes()
+                known.update((w, raw[x:y]) for (w, _), x, y in zip(group, [0, *cut], cut))
+    rest = [(w, s) for w, s in words.items() if w not in known]
+    for i in range(0, len(rest), 20_000):
+        part = rest[i : i + 20_000]
+        for (w, _), e in zip(part, tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, dtype="<u2").tobytes()
+    known.update((w, known[x] + known[y]) for w, x, y in split)
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """The ids of each text, then end_id, as little-endian uint16 bytes.
 
-    The vocabulary's pre-tokenizer never joins across white space and drops it, so a text's ids are those of its
-    white-space separated words; each distinct word is encoded once per worker.
+    The vocabulary's normaliser lowers letters, and its pre-tokenizer never joins across white space and drops it, so a
+    text's ids are those of its white-space separated words; each distinct word is encoded once per worker. Texts that
+    may hold a special token, which is matched before lowering, keep their case.
     """
-    tokenizer, known = _encoder(path)
-    words = [t.split() for t in texts]
+    _, known, _ = _encoder(path)
+    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = list(set().union(*words).difference(known))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u2").tobytes()
+    _learn(list(set().union(*words).difference(known)), path)
     end, get = int(end_id).to_bytes(2, "little"), known.__getitem__
     return [b"".join(map(get, ws)) + end for ws in words]
 
@@ -150,18 +179,27 @@ def unpack(payload: bytes, starts: np.ndarray, counts: np.ndarray, table: tuple[
     return out
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents, end ids included."""
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id and ids (uint16 bytes) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
         for batch in chunks(batches):
-            ids = np.frombuffer(b"".join(encode_texts(utf8(batch.column("text")), path, end_id)), dtype="<u2")
-            total += np.bincount(ids, minlength=1 << 16)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(encode_texts(utf8(batch.column("text")), path, end_id), pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def count_ids(coded: DataFrame) -> np.ndarray:
+    """How often each id occurs in all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in chunks(batches, "ids"):
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used.astype(np.int32), "n": total[used]})
 
-    sums = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    sums = coded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << 16, dtype=np.int64)
     for id_, n in sums.collect():  # one row per vocabulary id at most
         counts[id_] = n
@@ -174,15 +212,15 @@ BLOCK = "part int, block int, start_in_part long, doc_ids array<long>, n_tokens
 def write_token_file(docs: DataFrame, out: str, path: str, end_id: int = 2) -> None:
     """Encodes docs (doc_id, text), counts ids over all of them, and writes blocks and codebook below out in doc_id order."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lengths = code_lengths(count_ids(docs, path, end_id))
+    ids = materialise(encoded(docs, path, end_id), f"{out}/ids", "zstd")  # texts are encoded once
+    lengths = code_lengths(count_ids(ids))
     book = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # 65,536 entries
-    bounds = bounds_of(docs, "doc_id", shuffle_parts(spark))
+    bounds = bounds_of(ids, "doc_id", shuffle_parts(spark))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens, codes = book.value
-        for batch in chunks(batches):
-            each = encode_texts(utf8(batch.column("text")), path, end_id)
+        for batch in chunks(batches, "ids"):
+            each = batch.column("ids").to_pylist()
             n = np.array([len(x) // 2 for x in each], dtype=np.int64)
             payload, at, inside = pack(np.frombuffer(b"".join(each), dtype="<u2"), n, codes, lens)
             first, marks = np.cumsum(n) - n, []
@@ -219,7 +257,7 @@ def write_token_file(docs: DataFrame, out: str, path: str, end_id: int = 2) -> N
         if rows:
             yield close()
 
-    coded = docs.withColumn("part", part_of("doc_id", bounds)).mapInArrow(code, "part int, doc_id long, n int, marks binary, payload binary")
+    coded = ids.withColumn("part", part_of("doc_id", bounds)).mapInArrow(code, "part int, doc_id long, n int, marks binary, payload binary")
     placed = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "payload")
     placed.mapInArrow(block, BLOCK).write.parquet(f"{out}/blocks")
     spark.createDataFrame([(lengths.tolist(),)], "lengths array<int>").write.parquet(f"{out}/codebook")
