@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, mixing, quality_rules, simhash, token_output
+from quern.llm import decontaminate, hmm_lm, language_id, mixing, quality_rules, quotation, simhash, token_output, url_filter, winnowing
 from quern.llm.common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -22,14 +22,34 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.scored_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_token_output, op4_simhash, op6_quality_rules, op9_mixing, op10_decontaminate)}
+    found = {f.__name__: f for f in (op1_token_output, op2_url_filter, op3_winnowing, op4_simhash, op5_language_id, op6_quality_rules, op7_quotation, op8_hmm_lm, op9_mixing, op10_decontaminate)}
     return {**found, "pipeline": pipeline}
 
 
