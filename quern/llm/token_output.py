@@ -12,9 +12,11 @@ ordered by the ids' bytes; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,65 +32,93 @@ MARK = 256
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 500_000
-#: Words whose characters are letters before and after lowering and normalising.
-LETTERS = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+").fullmatch
+CACHE_WORDS = 1_000_000
+#: Words of characters that are letters before and after lowering and normalising, with stops and commas behind them.
+PLAIN = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+[.,]*").fullmatch
 
-_TOKENIZERS: dict[str, tuple] = {}
+class _Words(dict):
+    """Word -> number, given on first sight; the ids of number n are ids[starts[n] : starts[n + 1]]."""
 
-
-def _encoder(path: str):
-    """(tokenizer, word -> ids as bytes, whether each id ends a piece) of this worker process."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        ends = np.zeros(1 << 16, dtype=bool)
-        ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, {}, ends)
-    return _TOKENIZERS[path]
-
-
-def _learn(new: list[bytes], path: str) -> None:
-    """Adds the ids of new words to this worker's store.
-
-    Stops and commas behind a letter are pieces of their own for the pre-tokenizer, so they are encoded apart. Words of
-    letters alone are one piece each: many are encoded as one text, whose ids fall into words at the ids that end a piece.
-    """
-    tokenizer, known, ends = _encoder(path)
-    split = [(w, base, w[len(base) :]) for w in new if len(base := w.rstrip(b".,")) < len(w) and base[-1:].isalnum()]
-    words = {w: w.decode() for w in ({*new} | {x for _, *two in split for x in two}).difference(known, (w for w, _, _ in split))}
-    letters = [(w, s) for w, s in words.items() if LETTERS(s)]
-    for i in range(0, len(letters), 20_000):
-        groups = [letters[j : j + 200] for j in range(i, min(i + 20_000, len(letters)), 200)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u2")
-            cut = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            if len(cut) == len(group):
-                raw = ids.tobytes()
-                known.update((w, raw[x:y]) for (w, _), x, y in zip(group, [0, *cut], cut))
-    rest = [(w, s) for w, s in words.items() if w not in known]
-    for i in range(0, len(rest), 20_000):
-        part = rest[i : i + 20_000]
-        for (w, _), e in zip(part, tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u2").tobytes()
-    known.update((w, known[x] + known[y]) for w, x, y in split)
-
-
-def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
-    """The ids of each text, then end_id, as little-endian uint16 bytes.
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(1 << 16, dtype=bool)  # whether an id ends a piece
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.ids, self.starts = np.zeros(0, dtype="<u2"), np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def learn(self) -> None:
+        """Encodes the words seen since the last time.
+
+        A word of letters is one piece for the pre-tokenizer, and stops and commas behind it are another: many such words
+        are encoded as one text, whose ids fall into pieces at the ids that end one. Other words are encoded one by one.
+        """
+        new, self.new = self.new, []
+        texts = b"\n".join(new).decode().split("\n")
+        plain = np.fromiter(map(bool, map(PLAIN, texts)), dtype=bool, count=len(texts))
+        sizes, parts = np.zeros(len(texts), dtype=np.int64), []
+        at = np.flatnonzero(plain)
+        easy = [texts[i] for i in at.tolist()]
+        coded = self.tokenizer.encode_batch_fast([" ".join(easy[i : i + 200]) for i in range(0, len(easy), 200)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, dtype="<u2"), *(np.array(e.ids, dtype="<u2") for e in coded)])
+        last = np.fromiter((s[-1] in ".," for s in easy), dtype=np.int64, count=len(easy))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == int((1 + last).sum()):
+            sizes[at] = np.diff(ends[np.cumsum(1 + last) - 1], prepend=0)
+        else:
+            plain[:], ids = False, ids[:0]
+        rest = np.flatnonzero(~plain)
+        for i in range(0, len(rest), 20_000):
+            group = rest[i : i + 20_000]
+            coded = self.tokenizer.encode_batch_fast([texts[j] for j in group.tolist()], add_special_tokens=False)
+            parts += [e.ids for e in coded]
+            sizes[group] = [len(e) for e in parts[-len(group) :]]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        both = np.zeros(int(starts[-1]), dtype="<u2")
+        of = np.repeat(plain, sizes)
+        both[of], both[~of] = ids, np.fromiter(chain.from_iterable(parts), dtype="<u2", count=int((~of).sum()))
+        self.ids = np.concatenate([self.ids, both])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
+
+
+_STORES: dict[str, _Words] = {}
+
+
+def encode_texts(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each followed by end_id; how many of each text).
 
     The vocabulary's normaliser lowers letters, and its pre-tokenizer never joins across white space and drops it, so a
     text's ids are those of its white-space separated words; each distinct word is encoded once per worker. Texts that
     may hold a special token, which is matched before lowering, keep their case.
     """
-    _, known, _ = _encoder(path)
+    store = _STORES.get(path) or _STORES.setdefault(path, _Words(path))
+    if len(store) > CACHE_WORDS:
+        store.forget()
     words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    _learn(list(set().union(*words).difference(known)), path)
-    end, get = int(end_id).to_bytes(2, "little"), known.__getitem__
-    return [b"".join(map(get, ws)) + end for ws in words]
+    count = np.array([len(w) for w in words], dtype=np.int64)
+    number = np.fromiter(map(store.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(count.sum()))
+    if store.new:
+        store.learn()
+    first, size = store.starts[number], store.starts[number + 1] - store.starts[number]
+    # A word's ids, and after a text's last word the end id: gaps of one at the texts' ends.
+    upto = np.concatenate([[0], np.cumsum(size)])
+    n = upto[np.cumsum(count)] - upto[np.cumsum(count) - count]
+    ids = np.full(int(upto[-1]) + len(texts), end_id, dtype="<u2")
+    text = np.repeat(np.arange(len(texts)), n)
+    ids[np.arange(upto[-1]) + text] = store.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+    return ids, n + 1
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -184,7 +214,9 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(encode_texts(utf8(batch.column("text")), path, end_id), pa.binary())})
+            ids, n = encode_texts(utf8(batch.column("text")), path, end_id)
+            offsets = np.concatenate([[0], 2 * np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
