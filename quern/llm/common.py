@@ -43,6 +43,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the Arrow batches that tasks hold, in the JVM and in Python, by bytes instead of rows: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows, from counting no further than that."""
     return df.limit(limit + 1).count() <= limit

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, crc_mod, utf8
+from quern.llm.common import chunks, crc_mod, small_batches, utf8
 from quern.llm.context_tree import ContextTree, train
 
 #: Documents of each language, as expected, that the trees see, and languages at most.
@@ -68,6 +68,7 @@ def identify(texts: list[bytes], tree: ContextTree | None) -> tuple[list[str], n
 
 def language_of(docs: DataFrame, tree: ContextTree | None) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, fresh, utf8
+from quern.llm.common import crc_mod, fresh, small_batches, utf8
 
 #: Labelled rows, as expected, that the fit sees.
 FIT_ROWS = 12_000
@@ -177,6 +177,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 0) -> Rules:
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS, held_out: int = 5) -> Rules:
     """Rules from docs (doc_id, text) with labels (doc_id, target), without those whose crc32(doc_id) mod held_out is 0."""
+    small_batches(docs.sparkSession)
     marks = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", held_out) != 0))
     marks = marks.groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("double").alias("_y"))
     rate = min(1.0, rows / max(1, marks.count()))

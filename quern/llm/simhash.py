@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, fresh, materialise, shuffle_parts, sized_broadcast, utf8
+from quern.llm.common import chunks, fresh, materialise, shuffle_parts, sized_broadcast, small_batches, utf8
 from quern.llm.components import components
 
 #: Leaves of a trie, or of a pair of its pieces, that one task joins at once.
@@ -75,6 +75,7 @@ def text_fingerprints(texts: list[bytes], size: int, second: bool = False) -> tu
 def fingerprints(docs: DataFrame, size: int = 4, second: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, then fp, fp2 (long) and shingles (int). Null text counts as empty; no words give fingerprint 0."""
     kept = docs.select(*keep, "text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

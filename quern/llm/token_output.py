@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounds_of, chunks, materialise, part_of, scratch, shuffle_parts, utf8
+from quern.llm.common import bounds_of, chunks, materialise, part_of, scratch, shuffle_parts, small_batches, utf8
 
 #: Longest code: a decoding table of 2 ** MAX_BITS entries.
 MAX_BITS = 16
@@ -31,8 +31,8 @@ MAX_BITS = 16
 MARK = 256
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
-#: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker keeps; beyond it the rarer ones are forgotten. Bytes of text that it encodes at a time.
+CACHE_WORDS, ENCODE_BYTES = 600_000, 2_000_000
 #: Words of characters that are letters before and after lowering and normalising, with stops and commas behind them.
 PLAIN = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+[.,]*").fullmatch
 
@@ -53,6 +53,18 @@ class _Words(dict):
         self.clear()
         self.new: list[bytes] = []
         self.ids, self.starts = np.zeros(0, dtype="<u2"), np.zeros(1, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def trim(self, most: int) -> None:
+        """Keeps at most most words, those met most often; their counts are halved."""
+        words, used, ids, starts = list(self), self.used, self.ids, self.starts
+        kept = np.flatnonzero(used > np.partition(used, -most - 1)[-most - 1])
+        self.forget()
+        self.update(zip((words[i] for i in kept.tolist()), range(len(kept))))
+        size = (starts[1:] - starts[:-1])[kept]
+        self.starts = np.concatenate([[0], np.cumsum(size)])
+        self.ids = ids[np.repeat(starts[kept] - self.starts[:-1], size) + np.arange(self.starts[-1])]
+        self.used = used[kept] // 2
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -105,12 +117,14 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray
     """
     store = _STORES.get(path) or _STORES.setdefault(path, _Words(path))
     if len(store) > CACHE_WORDS:
-        store.forget()
+        store.trim(CACHE_WORDS // 2)
     words = [(t if b"<|" in t else t.lower()).split() for t in texts]
     count = np.array([len(w) for w in words], dtype=np.int64)
     number = np.fromiter(map(store.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(count.sum()))
     if store.new:
         store.learn()
+        store.used = np.concatenate([store.used, np.zeros(len(store) - len(store.used), dtype=np.int64)])
+    store.used += np.bincount(number, minlength=len(store))
     first, size = store.starts[number], store.starts[number + 1] - store.starts[number]
     # A word's ids, and after a text's last word the end id: gaps of one at the texts' ends.
     upto = np.concatenate([[0], np.cumsum(size)])
@@ -213,11 +227,12 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (uint16 bytes) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=ENCODE_BYTES):
             ids, n = encode_texts(utf8(batch.column("text")), path, end_id)
             offsets = np.concatenate([[0], 2 * np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounds_of, part_of, shuffle_parts
+from quern.llm.common import bounds_of, part_of, shuffle_parts, small_batches
 
 #: Code points of a k-gram (a power of two) and k-grams of a window.
 K, WINDOW = 16, 32
@@ -106,6 +106,7 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     gets the first row of the range after it, so texts are shuffled once and no task sees more than its range.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = bounds_of(docs, "doc_id", shuffle_parts(spark))
     rows = docs.withColumns({"part": part_of("doc_id", bounds), "h": F.xxhash64("text")})
