@@ -20,10 +20,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounds_of, chunks, materialise, part_of, scratch, shuffle_parts, small_batches, utf8
+from quern.llm.common import bounds_of, chunks, materialise, part_of, scratch, shuffle_parts, small_batches
 
 #: Longest code: a decoding table of 2 ** MAX_BITS entries.
 MAX_BITS = 16
@@ -32,7 +33,7 @@ MARK = 256
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
 #: Words whose ids a worker keeps; beyond it the rarer ones are forgotten. Bytes of text that it encodes at a time.
-CACHE_WORDS, ENCODE_BYTES = 600_000, 2_000_000
+CACHE_WORDS, ENCODE_BYTES = 500_000, 1_500_000
 #: Words of characters that are letters before and after lowering and normalising, with stops and commas behind them.
 PLAIN = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+[.,]*").fullmatch
 
@@ -41,10 +42,14 @@ class _Words(dict):
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on every core already
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for plain words, which need neither normalising nor the full pattern.
+        self.plain = Tokenizer(self.tokenizer.model)
+        signs = pre_tokenizers.Split(Regex("[.,]+"), "isolated")
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), signs, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 << 16, dtype=bool)  # whether an id ends a piece
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.forget()
@@ -53,7 +58,7 @@ class _Words(dict):
         self.clear()
         self.new: list[bytes] = []
         self.ids, self.starts = np.zeros(0, dtype="<u2"), np.zeros(1, dtype=np.int64)
-        self.used = np.zeros(0, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int32)
 
     def trim(self, most: int) -> None:
         """Keeps at most most words, those met most often; their counts are halved."""
@@ -77,13 +82,13 @@ class _Words(dict):
         A word of letters is one piece for the pre-tokenizer, and stops and commas behind it are another: many such words
         are encoded as one text, whose ids fall into pieces at the ids that end one. Other words are encoded one by one.
         """
-        new, self.new = self.new, []
+        new, self.new = self.new, []  # an empty word, beside white space at a text's ends, has no ids
         texts = b"\n".join(new).decode().split("\n")
         plain = np.fromiter(map(bool, map(PLAIN, texts)), dtype=bool, count=len(texts))
         sizes, parts = np.zeros(len(texts), dtype=np.int64), []
         at = np.flatnonzero(plain)
         easy = [texts[i] for i in at.tolist()]
-        coded = self.tokenizer.encode_batch_fast([" ".join(easy[i : i + 200]) for i in range(0, len(easy), 200)], add_special_tokens=False)
+        coded = self.plain.encode_batch_fast([" ".join(easy[i : i + 200]).lower() for i in range(0, len(easy), 200)], add_special_tokens=False)
         ids = np.concatenate([np.zeros(0, dtype="<u2"), *(np.array(e.ids, dtype="<u2") for e in coded)])
         last = np.fromiter((s[-1] in ".," for s in easy), dtype=np.int64, count=len(easy))
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -108,8 +113,8 @@ class _Words(dict):
 _STORES: dict[str, _Words] = {}
 
 
-def encode_texts(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each followed by end_id; how many of each text).
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each followed by end_id; how many of each text). texts: strings; null counts as empty.
 
     The vocabulary's normaliser lowers letters, and its pre-tokenizer never joins across white space and drops it, so a
     text's ids are those of its white-space separated words; each distinct word is encoded once per worker. Texts that
@@ -118,20 +123,26 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray
     store = _STORES.get(path) or _STORES.setdefault(path, _Words(path))
     if len(store) > CACHE_WORDS:
         store.trim(CACHE_WORDS // 2)
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    count = np.array([len(w) for w in words], dtype=np.int64)
-    number = np.fromiter(map(store.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(count.sum()))
+    texts = texts.fill_null("")
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    count = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    distinct, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    number = np.fromiter(map(store.__getitem__, distinct), dtype=np.int64, count=len(distinct))
     if store.new:
         store.learn()
-        store.used = np.concatenate([store.used, np.zeros(len(store) - len(store.used), dtype=np.int64)])
-    store.used += np.bincount(number, minlength=len(store))
-    first, size = store.starts[number], store.starts[number + 1] - store.starts[number]
+        store.used = np.concatenate([store.used, np.zeros(len(store) - len(store.used), dtype=np.int32)])
+    store.used[number] += np.bincount(place, minlength=len(number)).astype(np.int32)
+    size = (store.starts[number + 1] - store.starts[number]).astype(np.int32)[place]
     # A word's ids, and after a text's last word the end id: gaps of one at the texts' ends.
-    upto = np.concatenate([[0], np.cumsum(size)])
-    n = upto[np.cumsum(count)] - upto[np.cumsum(count) - count]
-    ids = np.full(int(upto[-1]) + len(texts), end_id, dtype="<u2")
-    text = np.repeat(np.arange(len(texts)), n)
-    ids[np.arange(upto[-1]) + text] = store.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+    upto = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
+    last = np.cumsum(count)
+    n = upto[last] - upto[last - count]
+    at = np.arange(upto[-1], dtype=np.int32)
+    source = np.repeat((store.starts[number][place] - upto[:-1]).astype(np.int32), size) + at
+    at += np.repeat(np.arange(len(n), dtype=np.int32), n)
+    ids = np.full(int(upto[-1]) + len(n), end_id, dtype="<u2")
+    ids[at] = store.ids[source]
     return ids, n + 1
 
 
@@ -228,7 +239,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=ENCODE_BYTES):
-            ids, n = encode_texts(utf8(batch.column("text")), path, end_id)
+            ids, n = encode_texts(batch.column("text"), path, end_id)
             offsets = np.concatenate([[0], 2 * np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], names=["doc_id", "ids"])
 
@@ -266,7 +277,8 @@ def write_token_file(docs: DataFrame, out: str, path: str, end_id: int = 2) -> N
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens, codes = book.value
-        for batch in chunks(batches, "ids"):
+        _STORES.clear()  # all texts are encoded: the worker's memory is for codes now
+        for batch in chunks(batches, "ids", 600_000):
             each = batch.column("ids").to_pylist()
             n = np.array([len(x) // 2 for x in each], dtype=np.int64)
             payload, at, inside = pack(np.frombuffer(b"".join(each), dtype="<u2"), n, codes, lens)
