@@ -73,13 +73,16 @@ def replies(messages: DataFrame) -> DataFrame:
 
 def threads(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, thread): the turn at the root of each turn's replies. answers: (conv_id, turn, reply_to; materialised)."""
-    jumps = answers.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"))
+    open_, done = answers.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread")), None
     for _ in range(ROUNDS):
-        above = jumps.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"))
-        after = materialise(jumps.join(above, ["conv_id", "thread"]).select("conv_id", "turn", F.col("next").alias("thread"), (F.col("next") != F.col("thread")).alias("moved")))
-        jumps = after.drop("moved")
-        if not after.filter("moved").limit(1).count():
-            return jumps
+        # Turns whose thread is a root are done; only the others jump again.
+        every = open_ if done is None else open_.unionByName(done)
+        above = every.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"))
+        after = materialise(open_.join(above, ["conv_id", "thread"]).select("conv_id", "turn", F.col("next").alias("thread"), (F.col("next") != F.col("thread")).alias("moved")))
+        settled, open_ = after.filter("not moved").drop("moved"), after.filter("moved").drop("moved")
+        done = settled if done is None else done.unionByName(settled)
+        if not open_.limit(1).count():
+            return done
     raise RuntimeError("replies did not settle")
 
 
