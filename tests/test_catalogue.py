@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, rasters
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,10 +18,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+PLANS = {**catalogue.queries(), **rasters.queries()}
+SQL = {**catalogue.oracle_sql(), **rasters.oracle_sql()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    got = catalogue.queries()[name](spark, SF)
-    cur = duck.execute(catalogue.oracle_sql()[name])
+    got = PLANS[name](spark, SF)
+    cur = duck.execute(SQL[name])
     cols = [c[0] for c in cur.description]
     want = cur.fetchall()
     assert sorted(cols) == sorted(got.columns)
