@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quern.functions import scoring
 from quern.operators.ranking import vote
@@ -39,6 +40,8 @@ def _solve(pdf: pd.DataFrame) -> list[float] | None:
         s = np.sqrt(2) / max(np.sqrt(((p - m) ** 2).sum(axis=1)).mean(), 1e-12)
         return (p - m) * s, np.array([[s, 0, -s * m[0]], [0, s, -s * m[1]], [0, 0, 1]])
 
+    if len(pdf) < 4:
+        return None
     (a, ta), (b, tb) = centred(pdf[["x", "y"]].to_numpy(float)), centred(pdf[["u", "v"]].to_numpy(float))
     one, nil = np.ones((len(a), 1)), np.zeros((len(a), 3))
     p = np.hstack([a, one])
@@ -54,15 +57,14 @@ def _fits(points: DataFrame, key: list[str]) -> DataFrame:
     fields = points.select(*key).schema
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _solve(pdf)
-        row = {k: [pdf[k].iloc[0]] for k in key} | {"h": [h]}
-        return pd.DataFrame(row if h else {k: [] for k in row})
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in key} | {"h": pd.Series([_solve(pdf)], dtype=object)})
 
-    return points.groupBy(*key).applyInPandas(fit, fields.add("h", "array<double>"))
+    return points.groupBy(*key).applyInPandas(fit, fields.add("h", ArrayType(DoubleType()))).filter("h is not null")
 
 
 def projected(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    d = h[6] * x + h[7] * y + h[8]
+    """(u, v) of a point; null for one that goes to infinity."""
+    d = F.nullif(h[6] * x + h[7] * y + h[8], F.lit(0.0))
     return (h[0] * x + h[1] * y + h[2]) / d, (h[3] * x + h[4] * y + h[5]) / d
 
 

@@ -54,8 +54,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def histograms(images: DataFrame) -> DataFrame:
     """image, v, n: gray values of each image. images: image, height, width, channels, data; undecodable ones have no data."""
-    schema = images.select("image").schema.add("v", "int").add("n", "long")
     kind = images.select("image").schema["image"].dataType.simpleString()
+    schema = f"image {kind}, v int, n long"
 
     def count(batches):
         for row in _rows(batches):
