@@ -1,6 +1,6 @@
 """Page to template: page votes, point pairs, homographies by seeded consensus, reprojection errors, confidences.
 
-Each page's point pairs are drawn into TRIES samples of four; every (page, sample) is solved in its own group, all scored by
+Each page's point pairs are drawn into TRIES samples of four; every (page, sample) is solved by itself, all scored by
 a join, and the winner is fitted again to its inliers. A page has four points a marker, so groups stay small.
 """
 
@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import ArrayType, DoubleType
 
 from quern.functions import scoring
 from quern.operators.ranking import vote
@@ -32,7 +31,7 @@ def point_pairs(detected: DataFrame, expected: DataFrame) -> DataFrame:
     return detected.join(expected, ["marker_id", "corner"]).select("image", "marker_id", "corner", "x", "y", "u", "v")
 
 
-def _solve(pdf: pd.DataFrame) -> list[float] | None:
+def _solve(points: np.ndarray) -> list[float] | None:
     """The homography from (x, y) to (u, v): least squares on normalised points; None if they don't determine one."""
 
     def centred(p):
@@ -40,13 +39,13 @@ def _solve(pdf: pd.DataFrame) -> list[float] | None:
         s = np.sqrt(2) / max(np.sqrt(((p - m) ** 2).sum(axis=1)).mean(), 1e-12)
         return (p - m) * s, np.array([[s, 0, -s * m[0]], [0, s, -s * m[1]], [0, 0, 1]])
 
-    if len(pdf) < 4:
+    if len(points) < 4:
         return None
-    (a, ta), (b, tb) = centred(pdf[["x", "y"]].to_numpy(float)), centred(pdf[["u", "v"]].to_numpy(float))
+    (a, ta), (b, tb) = centred(points[:, :2]), centred(points[:, 2:])
     one, nil = np.ones((len(a), 1)), np.zeros((len(a), 3))
     p = np.hstack([a, one])
     m = np.vstack([np.hstack([p, nil, -p * b[:, :1]]), np.hstack([nil, p, -p * b[:, 1:]])])
-    _, s, vt = np.linalg.svd(m)
+    _, s, vt = np.linalg.svd(m, full_matrices=len(m) < 9)
     if s[7] < 1e-9 * s[0]:
         return None
     h = np.linalg.inv(tb) @ vt[8].reshape(3, 3) @ ta
@@ -54,12 +53,15 @@ def _solve(pdf: pd.DataFrame) -> list[float] | None:
 
 
 def _fits(points: DataFrame, key: list[str]) -> DataFrame:
-    fields = points.select(*key).schema
+    """key, h of each group's points; h is null where they don't determine one. A group is a sample or a page's points."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in key} | {"h": pd.Series([_solve(pdf)], dtype=object)})
+    @F.pandas_udf("array<double>")
+    def solved(groups: pd.Series) -> pd.Series:
+        return pd.Series([_solve(np.array([[p["x"], p["y"], p["u"], p["v"]] for p in g])) for g in groups], dtype=object)
 
-    return points.groupBy(*key).applyInPandas(fit, fields.add("h", ArrayType(DoubleType()))).filter("h is not null")
+    at = [F.col(c).cast("double").alias(c) for c in ("x", "y", "u", "v")]
+    groups = points.dropna(subset=["x", "y", "u", "v"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*at))).alias("p"))
+    return groups.select(*key, solved("p").alias("h"))
 
 
 def projected(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -88,7 +90,7 @@ def homographies(points: DataFrame) -> DataFrame:
     inlier = F.col("error") <= INLIER
     enough = F.count_if(inlier) >= F.greatest(F.lit(float(LEAST)), F.bround(F.count("*") * SHARE))
     error = F.when(enough, F.avg(F.when(inlier, F.col("error")))).otherwise(F.avg("error"))
-    return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.count_if(inlier).alias("n_inliers"), error.alias("error"))
+    return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.count_if(inlier).alias("n_inliers"), error.alias("error")).filter("h is not null")
 
 
 def aligned(images: DataFrame, fits: DataFrame, expected_markers: int) -> DataFrame:
