@@ -6,6 +6,7 @@ TRIE_LEAVES values is cut into pieces, and each pair of pieces is a task of its
 
 Inside a task all tries are traversed together, level by level: a pair of nodes carries the bits that differ so far and
 is dropped once they exceed the budget. Links become a forest in the task, so a dense group of m values gives m - 1 edges.
+Where links also depend on a second fingerprint or on sizes, rows of equal fp aren't alike: a task compares all pairs of rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ TRIE_LEAVES = 2048
 PAIRS = 4_000_000
 #: Bits by which the traversal descends at a time.
 STEP = 4
+#: Rows of a group, or of a pair of its pieces, whose pairs one task compares one by one, and pairs that it compares at once.
+GROUP_ROWS, TILE = 16_384, 1 << 19
 #: Stand-in ids for groups whose doc_ids are all null start here, above all real ids.
 NO_ID = 1 << 62
 
@@ -139,6 +142,25 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[own]], nodes[own]
 
 
+def _row_links(fp: np.ndarray, fp2: np.ndarray, shingles: np.ndarray, max_bits: int, apart: int, ratio: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of all linked rows of a group. Every pair of rows is compared: rows of one fp may differ in fp2."""
+    n, at, edges, held = len(fp), 0, [], 0
+    while at < n - 1:
+        end = min(n, at + max(1, TILE // (n - at)))
+        one, two = np.bitwise_count(fp[at:end, None] ^ fp[None, at:]), np.bitwise_count(fp2[at:end, None] ^ fp2[None, at:])
+        i, j = np.divmod(np.flatnonzero((one <= max_bits) & (one + two <= apart)), n - at)
+        i, j = i[i < j] + at, j[i < j] + at
+        if ratio:
+            low, high = np.minimum(shingles[i], shingles[j]), np.maximum(shingles[i], shingles[j])
+            i, j = i[low >= ratio * high], j[low >= ratio * high]
+        edges.append((i, j))
+        held, at = held + len(i), end
+        if held > TILE or at >= n - 1:  # a dense group's links don't pile up
+            edges = [_forest(np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))]
+            held = len(edges[0][0])
+    return edges[0] if edges else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
 def _segments(count: int) -> list[tuple[int, int]]:
     """(shift, bits) of count segments that make up 64 bits."""
     edges = [round(64 * i / count) for i in range(count + 1)]
@@ -150,9 +172,12 @@ def links(values: DataFrame, max_bits: int, apart: int | None = None, ratio: flo
 
     A link joins ids whose fp differ in at most max_bits. With apart, fp and fp2 together must also differ in at most apart
     bits; with ratio, the smaller shingle count must be at least ratio times the larger one.
+    Without both, values should hold each fp once; otherwise the rows of a segment's value are compared pair by pair.
     values should be materialised and hold each (fp, fp2, shingles) once.
     """
     spark, segments = values.sparkSession, _segments(max_bits + 1)
+    by_row = apart is not None or ratio is not None
+    most = GROUP_ROWS if by_row else TRIE_LEAVES
     bits = F.col("fp")
     tries = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(bits, s).bitwiseAND((1 << n) - 1).alias("value")) for i, (s, n) in enumerate(segments)))
     rows = values.withColumn("_t", F.explode(tries)).select("id", "fp", "fp2", "shingles", "_t.segment", "_t.value")
@@ -162,7 +187,7 @@ def links(values: DataFrame, max_bits: int, apart: int | None = None, ratio: flo
     else:
         rows = rows.withColumn("bin", F.lit(0))
     key = ["segment", "value", "bin"]
-    big = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > TRIE_LEAVES).select(*key, F.ceil(F.col("n") * 2 / TRIE_LEAVES).cast("int").alias("pieces"))
+    big = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*key, F.ceil(F.col("n") * 2 / most).cast("int").alias("pieces"))
     # Pieces are ranges of a hash, and each pair of pieces (one piece with itself included) is a task.
     rows = rows.join(sized_broadcast(materialise(big)), key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     piece = F.pmod(F.xxhash64("fp", "fp2", "shingles"), F.col("pieces")).cast("int")
@@ -171,18 +196,17 @@ def links(values: DataFrame, max_bits: int, apart: int | None = None, ratio: flo
     turns = np.array([s for s, _ in segments], dtype=np.uint64), np.array([n for _, n in segments], dtype=np.uint64)
 
     def search(task, segment, fp, fp2, shingles, id_) -> tuple[np.ndarray, np.ndarray]:
+        if by_row:
+            cuts = [*np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist(), len(task)]
+            found = [(lo, _row_links(fp[lo:hi], fp2[lo:hi], shingles[lo:hi], max_bits, 128 if apart is None else apart, ratio)) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
+            i, j = (np.concatenate([np.zeros(0, dtype=np.int64), *(lo + x[k] for lo, x in found)]) for k in (0, 1))
+            return _forest(id_[i], id_[j])
         # The segment's bits are equal in a trie: rotate them to the end, where they cost one level.
         turn = (turns[0] + turns[1])[segment] % np.uint64(64)
         turned = np.where(turn > 0, (fp >> turn) | (fp << ((np.uint64(64) - turn) % np.uint64(64))), fp)
         order = np.lexsort((turned, task))
         i, j = _pairs(task[order], turned[order], max_bits)
         i, j = order[i], order[j]
-        if apart is not None:
-            ok = np.bitwise_count(fp[i] ^ fp[j]).astype(int) + np.bitwise_count(fp2[i] ^ fp2[j]) <= apart
-            i, j = i[ok], j[ok]
-        if ratio:
-            low, high = np.minimum(shingles[i], shingles[j]), np.maximum(shingles[i], shingles[j])
-            i, j = i[low >= ratio * high], j[low >= ratio * high]
         return _forest(id_[i], id_[j])
 
     def slices(task) -> Iterator[tuple[int, int]]:

@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import defaultdict
 
@@ -91,3 +92,19 @@ def test_keep_one(spark):
     got = s.keep_one_of_each(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 4, 5, 7, 8, None]
+
+
+def test_rows_of_one_fingerprint(spark):
+    far, sizes = (1 << 20) - 1, ((1, 79), (2, 100), (4, 101), (8, 127))
+    cases = [[(5, 0, 100), (5, far, 100), (5, far ^ 3, 100)], [(5, 0, 100), (5, 7, 100), (7, 0b1111 << 16 | 0b11111111111111 << 30, 100), (7, 7 | 0b1111 << 16 | 0b11111111111 << 30, 100)], [(9, b, n) for b, n in sizes]]
+    for case in cases:
+
+        def link(x, y):
+            (f, g, m), (h, k, n) = case[x], case[y]
+            return (f ^ h).bit_count() <= 7 and (f ^ h).bit_count() + (g ^ k).bit_count() <= 19 and min(m, n) >= 0.8 * max(m, n)
+
+        want = brute_components(list(range(len(case))), link)
+        for order in list(itertools.permutations(range(len(case))))[:: 1 if len(case) == 3 else 7]:
+            values = spark.createDataFrame([(i, *case[i]) for i in order], "id long, fp long, fp2 long, shingles int").coalesce(1)
+            got = brute_components(list(range(len(case))), lambda x, y, e={(r.a, r.b) for r in s.links(values, 7, 19, 0.8).collect()}: (x, y) in e or (y, x) in e)
+            assert got == want, order
