@@ -142,13 +142,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[own]], nodes[own]
 
 
-def _row_links(fp: np.ndarray, fp2: np.ndarray, shingles: np.ndarray, max_bits: int, apart: int, ratio: float | None) -> tuple[np.ndarray, np.ndarray]:
+def _row_links(fp: np.ndarray, fp2: np.ndarray, shingles: np.ndarray, max_bits: int | None, apart: int, ratio: float | None) -> tuple[np.ndarray, np.ndarray]:
     """A forest with the components of all linked rows of a group. Every pair of rows is compared: rows of one fp may differ in fp2."""
     n, at, edges, held = len(fp), 0, [], 0
     while at < n - 1:
         end = min(n, at + max(1, TILE // (n - at)))
         one, two = np.bitwise_count(fp[at:end, None] ^ fp[None, at:]), np.bitwise_count(fp2[at:end, None] ^ fp2[None, at:])
-        i, j = np.divmod(np.flatnonzero((one <= max_bits) & (one + two <= apart)), n - at)
+        near = one + two <= apart if max_bits is None else (one <= max_bits) & (one + two <= apart)
+        i, j = np.divmod(np.flatnonzero(near), n - at)
         i, j = i[i < j] + at, j[i < j] + at
         if ratio:
             low, high = np.minimum(shingles[i], shingles[j]), np.maximum(shingles[i], shingles[j])
@@ -167,19 +168,20 @@ def _segments(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(values: DataFrame, max_bits: int, apart: int | None = None, ratio: float | None = None) -> DataFrame:
+def links(values: DataFrame, max_bits: int | None, apart: int | None = None, ratio: float | None = None) -> DataFrame:
     """Edges (a, b) that connect the ids of values (id long, fp long, fp2 long, shingles int) just as all links do.
 
     A link joins ids whose fp differ in at most max_bits. With apart, fp and fp2 together must also differ in at most apart
-    bits; with ratio, the smaller shingle count must be at least ratio times the larger one.
+    bits, which alone decides if max_bits is None: then fp or fp2 differ in at most half as many.
+    With ratio, the smaller shingle count must be at least ratio times the larger one.
     Without both, values should hold each fp once; otherwise the rows of a segment's value are compared pair by pair.
     values should be materialised and hold each (fp, fp2, shingles) once.
     """
-    spark, segments = values.sparkSession, _segments(max_bits + 1)
+    spark, segments = values.sparkSession, _segments((apart // 2 if max_bits is None else max_bits) + 1)
     by_row = apart is not None or ratio is not None
     most = GROUP_ROWS if by_row else TRIE_LEAVES
-    bits = F.col("fp")
-    tries = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(bits, s).bitwiseAND((1 << n) - 1).alias("value")) for i, (s, n) in enumerate(segments)))
+    pieces = [(c, s, n) for c in (["fp", "fp2"] if max_bits is None else ["fp"]) for s, n in segments]
+    tries = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(F.col(c), s).bitwiseAND((1 << n) - 1).alias("value")) for i, (c, s, n) in enumerate(pieces)))
     rows = values.withColumn("_t", F.explode(tries)).select("id", "fp", "fp2", "shingles", "_t.segment", "_t.value")
     if ratio:
         size = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
@@ -249,7 +251,7 @@ def links(values: DataFrame, max_bits: int, apart: int | None = None, ratio: flo
     return rows.repartition(shuffle_parts(spark), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(prints: DataFrame, max_bits: int, apart: int | None = None, ratio: float | None = None) -> DataFrame:
+def near_groups(prints: DataFrame, max_bits: int | None, apart: int | None = None, ratio: float | None = None) -> DataFrame:
     """(fp, fp2, shingles, component) for every distinct triple of prints (doc_id, fp, fp2, shingles; materialised).
 
     component is the smallest doc_id reachable over links; null doc_ids link too, but name no component: a component
@@ -277,15 +279,15 @@ def row_hash() -> Column:
     return F.xxhash64("text")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 5, max_bits: int = 7, apart: int = 19, ratio: float = 0.8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, size: int = 5, apart: int = 19, ratio: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
-    Rows link when their fingerprints differ in at most max_bits of 64 bits and in at most apart of 128 bits, which is an
-    estimated similarity of 0.8 or more, and their shingle counts allow that similarity. Equal rows count as copies.
+    Rows link when their two fingerprints differ in at most apart of 128 bits, which is an estimated similarity of 0.8 or
+    more, and their shingle counts allow that similarity. Equal rows count as copies.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("_h"))
     prints = materialise(fingerprints(named, size, True, ("doc_id", "_h")))
-    groups = near_groups(prints, max_bits, apart, ratio)
+    groups = near_groups(prints, None, apart, ratio)
     key = ["fp", "fp2", "shingles"]
     placed = prints.join(groups, key)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h"))

@@ -108,3 +108,22 @@ def test_rows_of_one_fingerprint(spark):
             values = spark.createDataFrame([(i, *case[i]) for i in order], "id long, fp long, fp2 long, shingles int").coalesce(1)
             got = brute_components(list(range(len(case))), lambda x, y, e={(r.a, r.b) for r in s.links(values, 7, 19, 0.8).collect()}: (x, y) in e or (y, x) in e)
             assert got == want, order
+
+
+def test_keep_one_misses_no_pair_of_its_estimate(spark):
+    rng, texts = np.random.default_rng(7), []
+    for pair in range(120):
+        words = [f"w{pair}x{x}" for x in rng.integers(0, 5000, 400)]
+        other = list(words)
+        for at in rng.choice(400, rng.integers(1, 9), replace=False):
+            other[at] = f"new{at}"
+        texts += [" ".join(words), " ".join(other)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    same = [len(a & b) / len(a | b) for a, b in zip(grams[::2], grams[1::2])]
+    one, two, _ = s.text_fingerprints([t.encode() for t in texts], 5, True)
+    bits = np.bitwise_count(one[::2] ^ one[1::2]).astype(int) + np.bitwise_count(two[::2] ^ two[1::2])
+    kept = {r.doc_id for r in s.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = {p for p in range(120) if 2 * p + 1 in kept}
+    assert set(range(0, 240, 2)) <= kept and missed == {p for p in range(120) if bits[p] > 19}
+    near = {p for p in range(120) if same[p] >= 0.8}
+    assert len(near) > 90 and len(missed & near) < 0.1 * len(near), (len(missed & near), len(near))
