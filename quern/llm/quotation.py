@@ -7,8 +7,9 @@ quotes that are found, to the message of the turn before, if there is one. Threa
 and conversations are put together thread by thread, in turn order, without quotes.
 
 Defined results: equal (conv_id, turn, role, text) rows are one message; messages that share a turn and differ all stay;
-null text is an empty message, a null role is ``unknown``; a null conv_id or turn makes a message a thread of its own;
-a block holds BLOCK turns of a thread at most.
+null text is an empty message, a null role is ``unknown``; a null conv_id or turn makes a message a thread of its own,
+in a row of its own (its thread is the turn, its block 0, or both null with the turn); a block holds BLOCK messages of a
+thread at most, in the order of turn, role and text (among equal starts of 64 characters, blocks go by hash).
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.llm.common import materialise
+from quern.llm.common import materialise, shuffle_parts
 
-#: Turns whose messages make up one block of output.
+#: Messages of a thread that make up one block of output.
 BLOCK = 64
 #: Rounds of pointer jumping: enough for 2 ** ROUNDS replies in a row.
 ROUNDS = 40
@@ -86,14 +87,34 @@ def threads(answers: DataFrame) -> DataFrame:
     raise RuntimeError("replies did not settle")
 
 
+def said(role: Column, text: Column) -> Column:
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), own_text(text))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with number: their place in the thread from 0, by turn, role and text. A long thread is dealt out over tasks."""
+    order = ["turn", "role", "_start", "_hash"]  # a text's start, then its hash: range bounds are sampled to the driver
+    rows = rows.withColumn("_start", F.substring("said", 1, 64)).withColumn("_hash", F.xxhash64("said"))
+    rows = rows.repartitionByRange(shuffle_parts(rows.sparkSession), "conv_id", "thread", *order).withColumn("_part", F.spark_partition_id())
+    rows = materialise(rows)
+    key = ["conv_id", "thread"]
+    counts = materialise(rows.groupBy(*key, "_part").agg(F.count("*").alias("n")))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task at most
+    counts = counts.select(*key, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
+    return rows.withColumn("_at", place).join(counts, [*key, "_part"]).withColumn("number", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before", "_start", "_hash")
+
+
 def conversations(chats: DataFrame) -> DataFrame:
-    """conv_id, thread, block, n_messages, n_quoting and chat: the conversations in reply order, in blocks of turns."""
+    """conv_id, thread, block, n_messages, n_quoting and chat: the conversations in reply order, in blocks of messages."""
     messages = materialise(messages_of(chats))
     answers = materialise(replies(messages))
     placed = answers.join(threads(answers), ["conv_id", "turn"])
-    rows = messages.join(placed, ["conv_id", "turn"], "left")
-    said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), own_text(F.col("text")))
-    rows = rows.select("conv_id", F.coalesce("thread", "turn").alias("thread"), "turn", "role", F.floor(F.col("turn") / BLOCK).alias("block"), (F.coalesce("by", F.lit("")) == "quote").alias("quoting"), said.alias("said"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "said")))  # BLOCK turns at most
+    # A message without conversation or turn is a thread by itself: no other is grouped with it.
+    lone = messages.filter("conv_id is null or turn is null").select("conv_id", F.col("turn").alias("thread"), F.when(F.col("turn").isNotNull(), 0).cast("long").alias("block"), F.lit(1).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_quoting"), said(F.col("role"), F.col("text")).alias("chat"))
+    rows = messages.join(placed, ["conv_id", "turn"]).select("conv_id", "thread", "turn", "role", (F.coalesce("by", F.lit("")) == "quote").alias("quoting"), said(F.col("role"), F.col("text")).alias("said"))
+    rows = numbered(rows).withColumn("block", F.expr(f"number div {BLOCK}"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "said")))  # BLOCK messages at most
     grouped = rows.groupBy("conv_id", "thread", "block").agg(F.count("*").alias("n_messages"), F.count_if("quoting").alias("n_quoting"), parts.alias("parts"))
-    return grouped.select("conv_id", "thread", "block", "n_messages", "n_quoting", F.array_join(F.transform("parts", lambda p: p["said"]), "\n").alias("chat"))
+    chats = grouped.select("conv_id", "thread", "block", "n_messages", "n_quoting", F.array_join(F.transform("parts", lambda p: p["said"]), "\n").alias("chat"))
+    return chats.unionByName(lone)

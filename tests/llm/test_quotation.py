@@ -75,3 +75,13 @@ def test_levels(spark):
     df = spark.createDataFrame([(0, "a\nB  c"), (1, "> a\nmy view"), (2, "> my view\n>> a\nok")], "turn long, text string").selectExpr("1 as conv_id", "turn", "'user' as role", "text")
     got = {(r.turn, r.level): r.source for r in q.links(q.messages_of(df)).collect()}
     assert got == {(1, 1): 0, (2, 1): 1, (2, 2): 0}
+
+
+def test_lone_and_repeated_turns(spark):
+    lone = [(None, 3, "user", "one"), (None, 3, "user", "two"), (None, 3, None, "two"), (8, None, "user", "x"), (8, None, "user", "y"), (None, None, "user", "z"), (None, None, "user", "z2")]
+    many = [(9, 5, "user", f"{i:03} says") for i in range(150)] + [(9, 6, "user", "last")]
+    got = sorted((tuple(r) for r in q.conversations(spark.createDataFrame(lone + many, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    chats = [f"<|user|>\n{x}" for _, _, _, x in many]
+    want = [(c, t, None if t is None else 0, 1, 0, f"<|{r or 'unknown'}|>\n{x}") for c, t, r, x in lone]
+    want += [(9, 5, b, len(part), 0, "\n".join(part)) for b, part in enumerate([chats[:64], chats[64:128], chats[128:]])]
+    assert got == sorted(want, key=str)
