@@ -6,7 +6,10 @@ TRIE_LEAVES values is cut into pieces, and each pair of pieces is a task of its
 
 Inside a task all tries are traversed together, level by level: a pair of nodes carries the bits that differ so far and
 is dropped once they exceed the budget. Links become a forest in the task, so a dense group of m values gives m - 1 edges.
-Where links also depend on a second fingerprint or on sizes, rows of equal fp aren't alike: a task compares all pairs of rows.
+
+Near copies (keep_one_of_each) need a wide budget, for which segments are too short to deal rows out by. There, rows that
+share one of KEYS min-hashes of their shingles meet in a trie (a pair of similarity 0.8 shares none of 4 in one case of
+600); the trie's pairs within COPY_BITS are candidates, and the shingle sets of both sides decide exactly.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from quern.llm.components import components
 
 #: Leaves of a trie, or of a pair of its pieces, that one task joins at once.
 TRIE_LEAVES = 2048
-#: Sum of squared trie sizes that a task traverses together; bounds the pairs in memory.
-PAIRS = 4_000_000
+#: Pairs of nodes that a traversal expands to at a time; more are taken in turns.
+PAIRS = 1 << 20
 #: Bits by which the traversal descends at a time.
 STEP = 4
-#: Rows of a group, or of a pair of its pieces, whose pairs one task compares one by one, and pairs that it compares at once.
-GROUP_ROWS, TILE = 16_384, 1 << 19
-#: Stand-in ids for groups whose doc_ids are all null start here, above all real ids.
-NO_ID = 1 << 62
+#: Min-hashes that deal rows of similar texts out, and differing bits of 64 up to which a pair is compared by its shingles:
+#: at a similarity of 0.8, 9.7 bits are expected and one pair of 300 has over 18.
+KEYS, COPY_BITS = 4, 18
+#: Shingles of the rows of one group, or of a pair of its pieces, that a task may hold (8 bytes each; a longer text is alone).
+GROUP_SHINGLES = 4_000_000
+#: Bytes of shingle sets that a task gathers before it compares them.
+SET_BYTES = 16_000_000
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -51,76 +57,115 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """A second, independent hash from the first (the splitmix64 finaliser)."""
+    """Another, independent hash from the first (the splitmix64 finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def text_fingerprints(texts: list[bytes], size: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, second fingerprint, shingles) of each text; ASCII capitals are lowered and words are ASCII-space separated."""
+def shingles_of(text: bytes, size: int) -> list[bytes]:
+    """Runs of size words, or the whole sequence if it is shorter. ASCII capitals are lowered; words are ASCII-space separated."""
+    words = text.lower().split()
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(size)))))
+
+
+def _hashes(texts: list[bytes], size: int, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' shingles one after the other, how many of each text); once: repeats in a text count once."""
     hashes, counts, digest = [], np.zeros(len(texts), dtype=np.int64), xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        words = text.lower().split()
-        if words:
-            shingles = [b" ".join(words)] if len(words) < size else list(map(b" ".join, zip(*(words[k:] for k in range(size)))))
-            counts[i] = len(shingles)
-            hashes += [digest(s, 42) for s in shingles]
-    one, two = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
-    if hashes:
-        h, some = np.array(hashes, dtype=np.uint64), counts > 0
-        one[some] = _majority(h, counts[some])
-        if second:
-            two[some] = _majority(_mixed(h), counts[some])
-    return one, two, counts
-
-
-def fingerprints(docs: DataFrame, size: int = 4, second: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, then fp, fp2 (long) and shingles (int). Null text counts as empty; no words give fingerprint 0."""
-    kept = docs.select(*keep, "text")
+        shingles = set(shingles_of(text, size)) if once else shingles_of(text, size)
+        counts[i] = len(shingles)
+        hashes += [digest(s, 42) for s in shingles]
+    return np.array(hashes, dtype=np.uint64), counts
+
+
+def _per_text(values: np.ndarray, counts: np.ndarray, reduce) -> np.ndarray:
+    """reduce(values, first place) for each text with values, 0 for the others."""
+    out, some = np.zeros(len(counts), dtype=np.uint64), counts > 0
+    if some.any():
+        out[some] = reduce(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def text_fingerprints(texts: list[bytes], size: int) -> np.ndarray:
+    """The SimHash fingerprint of each text, repeated shingles included."""
+    hashes, counts = _hashes(texts, size)
+    return _per_text(hashes, counts, lambda h, _: _majority(h, counts[counts > 0]))
+
+
+def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id and fp (both long) of every row. Null text counts as empty; no words give fingerprint 0."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            one, two, n = text_fingerprints(utf8(batch.column("text")), size, second)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int32))], names=[*keep, "fp", "fp2", "shingles"])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": text_fingerprints(utf8(batch.column("text")), size).view(np.int64)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, fp long, fp2 long, shingles int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _pairs(groups: np.ndarray, values: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def copy_prints(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, _h (hash of the text), and of the text's shingle set: fp, n, same (hash of the set) and keys (min-hashes)."""
+    small_batches(docs.sparkSession)
+    turns = _mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            h, n = _hashes(utf8(batch.column("text")), size, True)
+            fp = _per_text(h, n, lambda x, _: _majority(x, n[n > 0]))
+            same = _per_text(_mixed(h), n, np.add.reduceat)
+            keys = np.stack([_per_text(_mixed(h ^ t), n, np.minimum.reduceat) for t in turns], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(n) + 1, KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_h": batch.column("_h"), "fp": fp.view(np.int64), "n": n, "same": same.view(np.int64), "keys": lists})
+
+    return docs.select("doc_id", "text", "_h").mapInArrow(run, "doc_id long, _h long, fp long, n long, same long, keys array<long>")
+
+
+def _pairs(groups: np.ndarray, values: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j with equal group whose values differ in at most budget bits. Sorted by (group, value).
 
-    Node ids at a level number the distinct (group, value prefix); a pair of nodes starts at each trie's root.
+    Node ids at a level number the distinct (group, value prefix); a pair of nodes starts at each trie's root. Below the
+    last bits every row is a node of its own, so rows of equal value are paired too.
     """
     n = len(values)
+    if n < 2:
+        return
     fresh = np.concatenate([[True], groups[1:] != groups[:-1]])
-    node = np.cumsum(fresh) - 1
-    a = np.arange(node[-1] + 1)
-    b, err = a.copy(), np.zeros(len(a), dtype=np.int64)
-    for shift in range(64 - STEP, -1, -STEP):
-        nibble = (values >> np.uint64(shift)) & np.uint64((1 << STEP) - 1)
-        fresh = fresh | np.concatenate([[True], nibble[1:] != nibble[:-1]]) if n else fresh
-        starts = np.flatnonzero(fresh)
-        child_parent, label = node[starts], nibble[starts].astype(np.int64)
-        lo = np.searchsorted(child_parent, a)
-        na = np.searchsorted(child_parent, a, side="right") - lo
-        lo_b = np.searchsorted(child_parent, b)
-        nb = np.searchsorted(child_parent, b, side="right") - lo_b
-        many = na * nb
+    node, levels = np.cumsum(fresh) - 1, []
+    roots = np.arange(node[-1] + 1)
+    for shift in [*range(64 - STEP, -1, -STEP), None]:
+        if shift is None:
+            nibble, fresh = np.zeros(n, dtype=np.uint8), np.ones(n, dtype=bool)
+        else:
+            nibble = ((values >> np.uint64(shift)) & np.uint64((1 << STEP) - 1)).astype(np.uint8)
+            fresh = fresh | np.concatenate([[True], nibble[1:] != nibble[:-1]])
+        starts, own = np.flatnonzero(fresh), node[-1] + 1
+        first = np.searchsorted(node[starts], np.arange(own + 1)).astype(np.int32)  # of each node's children
+        levels.append((first, nibble[starts]))
+        node = np.cumsum(fresh) - 1
+    todo = [(0, roots, roots, np.zeros(len(roots), dtype=np.int16))]
+    while todo:
+        level, a, b, err = todo.pop()
+        if level == len(levels):
+            off = a < b
+            yield a[off], b[off]
+            continue
+        first, label = levels[level]
+        many = (first[a + 1] - first[a]).astype(np.int64) * (first[b + 1] - first[b])
+        upto = np.cumsum(many)
+        if len(a) > 1 and upto[-1] > PAIRS:
+            cut = int(np.clip(np.searchsorted(upto, PAIRS), 1, len(a) - 1))
+            todo += [(level, a[cut:], b[cut:], err[cut:]), (level, a[:cut], b[:cut], err[:cut])]
+            continue
         who = np.repeat(np.arange(len(a)), many)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-        ca, cb = lo[who] + at // nb[who], lo_b[who] + at % nb[who]
+        at, nb = np.arange(len(who)) - np.repeat(upto - many, many), (first[b + 1] - first[b])[who]
+        ca, cb = first[a][who] + at // nb, first[b][who] + at % nb
         e = err[who] + np.bitwise_count(label[ca] ^ label[cb])
         ok = (ca <= cb) & (e <= budget)
-        a, b, err = ca[ok], cb[ok], e[ok]
-        node = np.cumsum(fresh) - 1
-    # Equal values share a leaf; distinct ones are their leaf's only member.
-    start = np.flatnonzero(fresh)
-    twin = np.flatnonzero(~fresh)
-    off = a < b
-    return np.concatenate([start[a[off]], start[node[twin]]]), np.concatenate([start[b[off]], twin])
+        if ok.any():
+            todo.append((level + 1, ca[ok], cb[ok], e[ok]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,161 +187,216 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[own]], nodes[own]
 
 
-def _row_links(fp: np.ndarray, fp2: np.ndarray, shingles: np.ndarray, max_bits: int | None, apart: int, ratio: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components of all linked rows of a group. Every pair of rows is compared: rows of one fp may differ in fp2."""
-    n, at, edges, held = len(fp), 0, [], 0
-    while at < n - 1:
-        end = min(n, at + max(1, TILE // (n - at)))
-        one, two = np.bitwise_count(fp[at:end, None] ^ fp[None, at:]), np.bitwise_count(fp2[at:end, None] ^ fp2[None, at:])
-        near = one + two <= apart if max_bits is None else (one <= max_bits) & (one + two <= apart)
-        i, j = np.divmod(np.flatnonzero(near), n - at)
-        i, j = i[i < j] + at, j[i < j] + at
-        if ratio:
-            low, high = np.minimum(shingles[i], shingles[j]), np.maximum(shingles[i], shingles[j])
-            i, j = i[low >= ratio * high], j[low >= ratio * high]
-        edges.append((i, j))
-        held, at = held + len(i), end
-        if held > TILE or at >= n - 1:  # a dense group's links don't pile up
-            edges = [_forest(np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))]
-            held = len(edges[0][0])
-    return edges[0] if edges else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-
-
 def _segments(count: int) -> list[tuple[int, int]]:
     """(shift, bits) of count segments that make up 64 bits."""
     edges = [round(64 * i / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(values: DataFrame, max_bits: int | None, apart: int | None = None, ratio: float | None = None) -> DataFrame:
-    """Edges (a, b) that connect the ids of values (id long, fp long, fp2 long, shingles int) just as all links do.
+def _dealt(rows: DataFrame, key: list[str], too_many: Column, pieces: Column, tell: list[str]) -> DataFrame:
+    """rows with task: the hash of key, and for keys with too_many rows (an aggregate) of each pair of their pieces.
 
-    A link joins ids whose fp differ in at most max_bits. With apart, fp and fp2 together must also differ in at most apart
-    bits, which alone decides if max_bits is None: then fp or fp2 differ in at most half as many.
-    With ratio, the smaller shingle count must be at least ratio times the larger one.
-    Without both, values should hold each fp once; otherwise the rows of a segment's value are compared pair by pair.
-    values should be materialised and hold each (fp, fp2, shingles) once.
+    Pieces are ranges of a hash of the columns tell; a row goes to every pair that its piece is in.
     """
-    spark, segments = values.sparkSession, _segments((apart // 2 if max_bits is None else max_bits) + 1)
-    by_row = apart is not None or ratio is not None
-    most = GROUP_ROWS if by_row else TRIE_LEAVES
-    pieces = [(c, s, n) for c in (["fp", "fp2"] if max_bits is None else ["fp"]) for s, n in segments]
-    tries = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(F.col(c), s).bitwiseAND((1 << n) - 1).alias("value")) for i, (c, s, n) in enumerate(pieces)))
-    rows = values.withColumn("_t", F.explode(tries)).select("id", "fp", "fp2", "shingles", "_t.segment", "_t.value")
-    if ratio:
-        size = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio)) + 1e-9).cast("int")
-        rows = rows.withColumn("bin", F.explode(F.array(size, size + 1)))  # sizes within the ratio share a bin
-    else:
-        rows = rows.withColumn("bin", F.lit(0))
-    key = ["segment", "value", "bin"]
-    big = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*key, F.ceil(F.col("n") * 2 / most).cast("int").alias("pieces"))
-    # Pieces are ranges of a hash, and each pair of pieces (one piece with itself included) is a task.
-    rows = rows.join(sized_broadcast(materialise(big)), key, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    piece = F.pmod(F.xxhash64("fp", "fp2", "shingles"), F.col("pieces")).cast("int")
-    rows = rows.withColumn("piece", piece).withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    rows = rows.withColumn("task", F.xxhash64(*key, F.least("piece", "other"), F.greatest("piece", "other"))).select("task", "segment", "id", "fp", "fp2", "shingles")
-    turns = np.array([s for s, _ in segments], dtype=np.uint64), np.array([n for _, n in segments], dtype=np.uint64)
+    big = rows.groupBy(*key).agg(too_many.alias("_big"), pieces.cast("int").alias("_pieces")).filter("_big").drop("_big")
+    rows = rows.join(sized_broadcast(materialise(big)), key, "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+    rows = rows.withColumn("_piece", F.pmod(F.xxhash64(*tell), F.col("_pieces")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _pieces - 1)")))
+    return rows.withColumn("task", F.xxhash64(*key, F.least("_piece", "_other"), F.greatest("_piece", "_other"))).drop("_pieces", "_piece", "_other")
 
-    def search(task, segment, fp, fp2, shingles, id_) -> tuple[np.ndarray, np.ndarray]:
-        if by_row:
-            cuts = [*np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist(), len(task)]
-            found = [(lo, _row_links(fp[lo:hi], fp2[lo:hi], shingles[lo:hi], max_bits, 128 if apart is None else apart, ratio)) for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1]
-            i, j = (np.concatenate([np.zeros(0, dtype=np.int64), *(lo + x[k] for lo, x in found)]) for k in (0, 1))
-            return _forest(id_[i], id_[j])
-        # The segment's bits are equal in a trie: rotate them to the end, where they cost one level.
-        turn = (turns[0] + turns[1])[segment] % np.uint64(64)
-        turned = np.where(turn > 0, (fp >> turn) | (fp << ((np.uint64(64) - turn) % np.uint64(64))), fp)
-        order = np.lexsort((turned, task))
-        i, j = _pairs(task[order], turned[order], max_bits)
-        i, j = order[i], order[j]
-        return _forest(id_[i], id_[j])
 
-    def slices(task) -> Iterator[tuple[int, int]]:
-        starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-        sizes = np.diff(np.append(starts, len(task)))
-        turn = np.cumsum(sizes.astype(np.int64) ** 2) // PAIRS
-        cuts = np.append(starts[np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]]))], len(task))
-        yield from zip(cuts.tolist(), cuts[1:].tolist())
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: t.column(c).to_numpy() for c in t.column_names}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def flush(last: bool):
-            nonlocal held, total
-            t = pa.Table.from_batches(held)
-            cols = {c: t.column(c).to_numpy() for c in t.column_names}
-            task = cols["task"]
-            end = len(task) if last else int(np.searchsorted(task, task[-1]))  # the last task may go on
-            if end:
-                view = {c: (v[:end].view(np.uint64) if c in ("fp", "fp2") else v[:end]) for c, v in cols.items()}
-                for lo, hi in slices(view["task"]):
-                    a, b = search(*(view[c][lo:hi] for c in ("task", "segment", "fp", "fp2", "shingles", "id")))
-                    out.append(pa.RecordBatch.from_pydict({"a": a, "b": b}))
-            held, total = ([] if last or end == len(task) else t.slice(end).to_batches()), len(task) - end
-
-        out: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                total += batch.num_rows
-                if total >= 4 * TRIE_LEAVES:
-                    flush(False)
-            yield from out
-            out.clear()
-        if held:
-            flush(True)
-            yield from out
 
-    # `task` must ascend for searchsorted; hashes compare as signed longs in Spark and NumPy alike.
-    return rows.repartition(shuffle_parts(spark), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+def _by_task(batches: Iterator[pa.RecordBatch], most: int, most_bytes: int = 1 << 62) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of runs of whole tasks: about most rows or most_bytes at a time, or one larger task. Sorted by task and node.
 
+    Of rows with equal task and node, only the first counts.
+    """
+    held, rows, size, last = [], 0, 0, (None, None)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task, node = (batch.column(c).to_numpy() for c in ("task", "node"))
+        new = np.concatenate([[(task[0], node[0]) != last], (task[1:] != task[:-1]) | (node[1:] != node[:-1])])
+        last = task[-1], node[-1]
+        batch = batch if new.all() else batch.filter(pa.array(new))
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < most and size < most_bytes:
+            continue
+        t = pa.Table.from_batches(held)
+        task = t.column("task").to_numpy()
+        end = int(np.searchsorted(task, task[-1]))  # the last task may go on
+        if end:
+            yield _columns(t.slice(0, end))
+            rest = t.slice(end)
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
+    if held:
+        yield _columns(pa.Table.from_batches(held))
+
+
+def links(values: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of values (node long, fp long; materialised, each fp once) just as all links do.
+
+    A link joins nodes whose fp differ in at most max_bits.
+    """
+    spark, segments = values.sparkSession, _segments(max_bits + 1)
+    tries = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << n) - 1).alias("value")) for i, (s, n) in enumerate(segments)))
+    rows = values.withColumn("_t", F.explode(tries)).select("node", "fp", "_t.segment", "_t.value")
+    rows = _dealt(rows, ["segment", "value"], F.count("*") > TRIE_LEAVES, F.ceil(F.count("*") * 2 / TRIE_LEAVES), ["fp"])
+    turns = np.array([s for s, _ in segments], dtype=np.uint64), np.array([n for _, n in segments], dtype=np.uint64)
 
-def near_groups(prints: DataFrame, max_bits: int | None, apart: int | None = None, ratio: float | None = None) -> DataFrame:
-    """(fp, fp2, shingles, component) for every distinct triple of prints (doc_id, fp, fp2, shingles; materialised).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _by_task(batches, 4 * TRIE_LEAVES):
+            task, node, fp = c["task"], c["node"], c["fp"].view(np.uint64)
+            # The segment's bits are equal in a trie: rotate them to the end, where they cost one level.
+            turn = (turns[0] + turns[1])[c["segment"]] % np.uint64(64)
+            turned = np.where(turn > 0, (fp >> turn) | (fp << ((np.uint64(64) - turn) % np.uint64(64))), fp)
+            order = np.lexsort((turned, task))
+            for i, j in _pairs(task[order], turned[order], max_bits):
+                a, b = _forest(node[order[i]], node[order[j]])
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    component is the smallest doc_id reachable over links; null doc_ids link too, but name no component: a component
-    without any other id has a null component.
-    """
-    key = ["fp", "fp2", "shingles"]
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(*key), 2)
-    values = materialise(prints.groupBy(*key).agg(F.min("doc_id").alias("id")).withColumn("id", F.coalesce("id", stand_in)))
-    found = materialise(components(links(values, max_bits, apart, ratio)))
-    label = F.coalesce("component", "id")
-    return values.join(found, values["id"] == found["node"], "left").select(*key, F.when(label < NO_ID, label).alias("component"))
+    # `task` must ascend for searchsorted; hashes compare as signed longs in Spark and NumPy alike.
+    dealt = rows.select("task", "segment", "node", "fp").repartition(shuffle_parts(spark), "task").sortWithinPartitions("task", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
-    Null and empty texts have fingerprint 0 and link like any other; repeated rows each keep their row.
+    Null and empty texts have fingerprint 0 and link like any other; repeated rows each keep their row. Any long is an id;
+    null doc_ids link too, but name no component: a component without any other id has a null component_id.
     """
-    prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size).withColumn("shingles", F.lit(0)))
-    groups = near_groups(prints, max_bits)
-    return prints.join(groups, ["fp", "fp2", "shingles"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    prints = materialise(fingerprints(docs, size))
+    # Nodes are numbers given in a written table, so that ids of any size, shared and null ones don't meet.
+    values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    found = materialise(components(links(values.select("node", "fp"), max_bits)))
+    linked = materialise(values.join(sized_broadcast(found), "node").select("fp", "id", "component"))
+    least = materialise(linked.groupBy("component").agg(F.min("id").alias("_least")))
+    named = linked.join(sized_broadcast(least), "component").select("fp", "_least")
+    groups = values.join(sized_broadcast(materialise(named)), "fp", "left").select("fp", F.coalesce("_least", "id").alias("component_id"))
+    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_hash() -> Column:
     return F.xxhash64("text")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 5, apart: int = 19, ratio: float = 0.8) -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
+def _candidates(c: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a run of tasks that the tries find, that similar sizes allow, and that no earlier min-hash brings together."""
+    order = np.lexsort((c["node"], c["fp"].view(np.uint64), c["task"]))
+    keys, turn, n = np.stack(c["keys"]), c["turn"], c["n"]
+    for i, j in _pairs(c["task"][order], c["fp"].view(np.uint64)[order], COPY_BITS):
+        i, j = order[i], order[j]
+        ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (c["node"][i] != c["node"][j])
+        for k in range(KEYS - 1):
+            ok &= (turn[i] <= k) | (keys[i, k] != keys[j, k])
+        yield i[ok], j[ok]
+
+
+def _similar(i: list[int], j: list[int], sets: list[np.ndarray], root: dict[int, int], similarity: float) -> Iterator[tuple[int, int]]:
+    """The pairs that link parts not linked yet and whose sets are similar enough; root is a forest and grows with them."""
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
 
-    Rows link when their two fingerprints differ in at most apart of 128 bits, which is an estimated similarity of 0.8 or
-    more, and their shingle counts allow that similarity. Equal rows count as copies.
+    for a, b in zip(i, j):
+        x, y = top(a), top(b)
+        if x != y:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                root[max(x, y)] = min(x, y)
+                yield a, b
+
+
+def copy_links(values: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect nodes of values just as all pairs with similar shingle sets do.
+
+    values: node, doc_id, _h, fp, n, keys; materialised, a row for each set. texts: doc_id, text, _h.
+    """
+    spark, kept = values.sparkSession, ["task", "turn", "node", "fp", "n", "keys"]
+    rows = values.select("node", "fp", "n", "keys", F.posexplode("keys").alias("turn", "key"))
+    # Rows of a frequent min-hash must share another one too; what is still too large is cut into pieces.
+    crowded = (F.count("*") > TRIE_LEAVES) | (F.sum("n") > GROUP_SHINGLES)
+    hot = sized_broadcast(materialise(rows.groupBy("turn", "key").agg(crowded.alias("_big")).filter("_big").drop("_big")))
+    alone = rows.join(hot, ["turn", "key"], "left_anti").withColumn("task", F.xxhash64("turn", "key")).select(*kept)
+    second = F.expr("filter(transform(keys, (k, at) -> struct(at, k)), x -> x.at != turn)")
+    pairs = rows.join(hot, ["turn", "key"], "left_semi").withColumn("_x", F.explode(second))
+    pairs = pairs.withColumn("group", F.xxhash64("turn", "key", F.col("_x.at"), F.col("_x.k"))).withColumn("turn", F.lit(0))
+    pieces = F.ceil(F.greatest(F.count("*") / TRIE_LEAVES, F.sum("n") / GROUP_SHINGLES) * 2)
+    dealt = alone.unionByName(_dealt(pairs, ["group"], crowded, pieces, ["node"]).select(*kept))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _by_task(batches, 4 * TRIE_LEAVES):
+            some = np.zeros(len(c["task"]), dtype=bool)
+            for i, j in _candidates(c, similarity):
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_pydict({k: c[k][some] for k in ("task", "turn", "node")})
+
+    tasks = dealt.repartition(shuffle_parts(spark), "task").sortWithinPartitions("task", "node").mapInArrow(meet, "task long, turn int, node long")
+    # A node's tasks are as many as min-hashes, or as pairs of pieces of a frequent one.
+    met = tasks.groupBy("node").agg(F.collect_set(F.struct("task", "turn")).alias("tasks"))
+    met = materialise(met.join(values, "node").withColumnsRenamed({"doc_id": "_d", "_h": "_k"}))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))
+    small_batches(spark)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in chunks(batches):
+            new = [x not in seen and not seen.add(x) for x in batch.column("node").to_pylist()]  # rows may repeat
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            h, n = _hashes(utf8(batch.column("text")), size, True)
+            each = [np.sort(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+            columns = {c: batch.column(c) for c in ("tasks", "node", "fp", "n", "keys")}
+            yield pa.RecordBatch.from_pydict({**columns, "shingles": pa.array(each, pa.binary())})
+
+    found = texts.join(sized_broadcast(met), same).select("text", "tasks", "node", "fp", "n", "keys")
+    found = found.mapInArrow(sets, "tasks array<struct<task long, turn int>>, node long, fp long, n long, keys array<long>, shingles binary")
+    found = found.withColumn("_t", F.explode("tasks")).select("_t.*", "node", "fp", "n", "keys", "shingles")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _by_task(batches, 4 * TRIE_LEAVES, SET_BYTES):
+            each = [np.frombuffer(x, dtype=np.uint64) for x in c["shingles"]]
+            root: dict[int, int] = {}
+            for i, j in _candidates(c, similarity):
+                good = list(_similar(i.tolist(), j.tolist(), each, root, similarity))
+                if good:
+                    a, b = np.array(good).T
+                    yield pa.RecordBatch.from_pydict({"a": c["node"][a], "b": c["node"][b]})
+
+    found = found.repartition(shuffle_parts(spark), "task").sortWithinPartitions("task", "node")
+    return found.mapInArrow(check, "a long, b long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays (null ids come last).
+
+    Rows link when the Jaccard similarity of their sets of size-word shingles is at least similarity; groups are what links
+    connect. Every link found is exact; a pair at the very threshold is missed in about one case of 200 (see KEYS and
+    COPY_BITS). Equal rows are copies, of which one stays; texts without words, null included, are copies of each other;
+    texts of fewer than size words have one shingle, all of their words. An empty table stays empty.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("_h"))
-    prints = materialise(fingerprints(named, size, True, ("doc_id", "_h")))
-    groups = near_groups(prints, None, apart, ratio)
-    key = ["fp", "fp2", "shingles"]
-    placed = prints.join(groups, key)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h"))
+    prints = materialise(copy_prints(named, size))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_h")).alias("first")
+    values = prints.groupBy("n", "same").agg(first, F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    values = materialise(values.withColumn("node", F.monotonically_increasing_id()))
+    asked = values.select("node", "first.doc_id", "first._h", "fp", "n", "keys")
+    found = materialise(components(copy_links(asked, named, size, similarity)))
+    placed = values.join(sized_broadcast(found), "node", "left").select("n", "same", "first", "rows", F.coalesce("component", "node").alias("_g"))
     # Groups of one row, nearly all, need no more; a group's first row is an aggregate, not a window over the group.
-    whole = placed.groupBy(F.coalesce("component", F.xxhash64(*key)).alias("_g"), F.col("component").isNull().alias("_null")).agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    whole = materialise(whole.select("_g", "_null", F.col("_first.doc_id").alias("_doc"), F.col("_first._h").alias("_keep")))
-    rows = placed.select("doc_id", "_h", F.coalesce("component", F.xxhash64(*key)).alias("_g"), F.col("component").isNull().alias("_null"))
-    rows = materialise(rows.join(whole, ["_g", "_null"]).groupBy("doc_id", "_h").agg(F.first((F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("_h") == F.col("_keep"))).alias("stays"), F.count("*").alias("n")))
-    return drop_rows(docs, rows)
+    whole = materialise(placed.groupBy("_g").agg(F.min("first").alias("_keep"), F.sum("rows").alias("_n")).filter("_n > 1").drop("_n"))
+    kept = materialise(placed.join(sized_broadcast(whole), "_g").select("n", "same", "_keep"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("_h") == F.col("_keep._h"))
+    rows = prints.join(sized_broadcast(kept), ["n", "same"]).groupBy("doc_id", "_h").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    return drop_rows(docs, materialise(rows))
 
 
 def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
