@@ -3,12 +3,15 @@
 An item window is the set of its positioned shingles. A document holds a window only if it holds all of them (containment
 1), so one necessary shingle is enough as prefix: the rarest in the documents. Steps:
 
-1. Every document shingle that occurs in any window is found by an equi-join on the shingle (the only pass over all words).
-2. Those hits give each shingle's frequency, and so each window's rarest shingle and its offset.
-3. Hits of that shingle give candidate starts; starts that leave the document are dropped (length and positional bounds).
-4. Candidates are verified exactly: the hits at start + 0, 1, ... must be the window's shingles.
+1. One pass counts, over all documents, the shingles that occur in any window: hashes, added up before they are shuffled.
+2. Each window's shingles are ordered by these counts; the rarest is its prefix, and windows with a count of 0 are out.
+3. A second pass joins the documents' shingles with the prefixes alone and gives candidate starts; those that leave the
+   document at either end are dropped (positional and length bounds).
+4. Candidates are verified exactly: the document's words at start, start + 1, ... are joined with the windows as text.
 
-Windows that start at the same place are merged as intervals, so overlapping ones count a word once.
+The passes lower texts with Spark's own function, which changes more letters than A-Z but never where words begin or end;
+so they find candidates for every true occurrence, and step 4 lowers A-Z only. Windows that start at the same place are
+merged as intervals, so overlapping ones count a word once.
 
 Defined results: null texts have no words; rows that share doc_id and text get the same result; equal doc_ids with other
 texts are judged apart; an empty benchmark leaves every document clean; item_ids that are null are ignored.
@@ -26,11 +29,12 @@ from quern.llm.common import fresh, materialise, sized_broadcast
 WINDOW = 10
 #: Words of a shingle.
 SHINGLE = 3
-#: Distinct benchmark shingles up to which they are broadcast (about 60 bytes each); beyond it the join shuffles.
-BROADCAST_SHINGLES = 400_000
-#: Separators of words: ASCII other than digits and lower-case letters (capitals are lowered first).
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Hashes of shingles up to which they are broadcast (a few numbers each); beyond it the join shuffles.
+BROADCAST_SHINGLES = 1_000_000
+#: Windows (ten words as text) and rows of item_ids up to which they are broadcast.
+BROADCAST_WINDOWS = 200_000
+#: Separators of words: ASCII other than digits and letters.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,16 +42,18 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
 
 
+def split_words(text: Column) -> Column:
+    """The words of a text, without lowering."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), "")
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(lowered(text), BREAKS), lambda w: w != "")
+    return split_words(lowered(text))
 
 
-def shingles_of(words: Column, size: int) -> Column:
-    """The space-joined runs of size words, in order; none if there are fewer words."""
-    parts = [F.slice(words, 1 + k, F.greatest(F.size(words) - size + 1, F.lit(0))) for k in range(size)]
-    if size == 1:
-        return parts[0]
-    return F.transform(F.arrays_zip(*(p.alias(f"w{k}") for k, p in enumerate(parts))), lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(size))))
+def shingle_hashes(words: str, n: int) -> Column:
+    """A hash for each place of the array column words: of the n words from there on, or of fewer at its end."""
+    return F.transform(F.col(words), lambda w, i: F.xxhash64(F.lit(n), w, *(F.get(F.col(words), i + k) for k in range(1, n))))
 
 
 def windows_of(items: DataFrame) -> DataFrame:
@@ -58,40 +64,54 @@ def windows_of(items: DataFrame) -> DataFrame:
     return each.select("item_id", "words", F.size("words").alias("size"), F.array_join("words", " ").alias("window")).distinct()
 
 
+def _places(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, h, n_words, pos, shingle) of all shingles of n words. docs: (doc_id, text)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), split_words(F.lower("text")).alias("words"))
+    return rows.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(shingle_hashes("words", n)).alias("pos", "shingle"))
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, item_id) of every occurrence of an item's window; positions count words from 0.
 
     docs: (doc_id, text); h is the hash of the text and tells rows apart that share a doc_id.
     """
+    docs = docs.select("doc_id", "text")
     windows = materialise(windows_of(items))
-    parts = windows.select("window", "size", F.least("size", F.lit(SHINGLE)).alias("n"), "words").distinct()
-    parts = parts.select("window", "size", "n", F.posexplode(F.expr("transform(sequence(0, size - n), i -> array_join(slice(words, i + 1, n), ' '))")).alias("offset", "shingle"))
-    parts = materialise(parts)
-    sizes = [r[0] for r in parts.select("n").distinct().collect()]  # SHINGLE at most, and 1 or 2 for items that short
+    parts = windows.select("window", "size", F.least("size", F.lit(SHINGLE)).alias("n"), split_words(F.lower("window")).alias("w")).distinct()
+    sizes = sorted(r[0] for r in parts.select("n").distinct().collect())  # SHINGLE at most, and 1 or 2 for items that short
+    if not sizes:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("item_id")).limit(0)
+    each = None
+    for n in sizes:
+        one = parts.filter(F.col("n") == n).select("window", "size", "n", F.posexplode(F.slice(shingle_hashes("w", n), 1, F.col("size") - n + 1)).alias("offset", "shingle"))
+        each = one if each is None else each.unionByName(one)
+    parts = materialise(each)
     wanted = sized_broadcast(materialise(parts.select("shingle").distinct()), BROADCAST_SHINGLES)
-    # A row for each shingle of each document, joined at once with the wanted ones: neither texts nor word lists go on.
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
-    found = None
-    for n in sorted(sizes):
-        one = rows.select("doc_id", "h", F.posexplode(shingles_of(F.col("words"), n)).alias("pos", "shingle")).join(wanted, "shingle")
-        one = one.select("doc_id", "h", "pos", F.lit(n).alias("n"), "shingle")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, h long, start int, end int, item_id string")
-    found = materialise(found.distinct())  # rows that share doc_id and text are one document
-    counts = found.groupBy("n", "shingle").agg(F.count("*").alias("times"))
+    counts = None
+    for n in sizes:
+        one = _places(docs, n).select("shingle").join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("times"))
+        counts = one if counts is None else counts.unionByName(one)  # hashes of other sizes hardly ever meet; extra counts only change the order
+    counts = materialise(counts.groupBy("shingle").agg(F.sum("times").alias("times")))
     # A window's shingles must all occur; order them by rarity and take the first as prefix.
-    ranked = parts.join(counts, ["n", "shingle"], "left").groupBy("window", "size", "n").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "shingle")).alias("rare"))
-    prefix = ranked.filter("rare.times > 0").select("window", "size", "n", F.col("rare.offset").alias("at"), F.col("rare.shingle").alias("shingle"))
+    known = parts.join(sized_broadcast(counts, BROADCAST_SHINGLES), "shingle", "left")
+    ranked = known.groupBy("window", "size", "n").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "shingle")).alias("rare"))
+    prefix = ranked.filter("rare.times > 0").select("n", "size", F.col("rare.offset").alias("at"), F.col("rare.shingle").alias("shingle")).distinct()
     prefix = sized_broadcast(materialise(prefix), BROADCAST_SHINGLES)
-    starts = found.join(prefix, ["n", "shingle"]).select("doc_id", "h", "window", "size", "n", (F.col("pos") - F.col("at")).alias("start")).filter("start >= 0")
-    # Verification. A null doc_id joins only by null-safe comparison.
-    need = starts.join(sized_broadcast(parts.select("window", "n", "offset", "shingle"), BROADCAST_SHINGLES), ["window", "n"]).withColumn("pos", F.col("start") + F.col("offset"))
-    a, b = need.alias("a"), found.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.shingle") == F.col("b.shingle"))
-    held = a.join(b, same).groupBy("a.doc_id", "a.h", "a.window", "a.size", "a.n", "a.start").agg(F.count("*").alias("k")).filter("k = size - n + 1")
-    items_of = windows.select("window", "item_id")
-    return held.join(sized_broadcast(items_of, BROADCAST_SHINGLES), "window").select("doc_id", "h", "start", (F.col("start") + F.col("size")).alias("end"), "item_id")
+    starts = None
+    for n in sizes:
+        one = _places(docs, n).join(prefix.filter(F.col("n") == n).drop("n"), "shingle").withColumn("start", F.col("pos") - F.col("at"))
+        one = one.filter("start >= 0 and start + size <= n_words").select("doc_id", "h", "start", "size")
+        starts = one if starts is None else starts.unionByName(one)
+    # A document's starts are at most its words times the sizes of windows (ten at most).
+    starts = materialise(starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "size")).alias("starts"))).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    few = sized_broadcast(starts.select("_d", "_h"))  # only these documents' texts go on
+    some = docs.join(few, same, "left_semi").join(starts, same).dropDuplicates(["_d", "_h"])
+    some = some.select("doc_id", F.col("_h").alias("h"), "starts", words_of(F.col("text")).alias("words"))
+    at = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.array_join(F.slice(F.col("words"), x["start"] + 1, x["size"]), " ").alias("window")))
+    at = some.select("doc_id", "h", F.explode(at).alias("_x")).select("doc_id", "h", "_x.*")
+    texts = sized_broadcast(windows.select("window", "item_id"), BROADCAST_WINDOWS)
+    return at.join(texts, "window").select("doc_id", "h", "start", (F.col("start") + F.col("size")).alias("end"), "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -110,12 +130,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")
-    found = materialise(contamination(docs, items)).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
-    all_ = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
-    both = all_.join(sized_broadcast(found.select("_d", "_h", "n_hit", "item_ids")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")  # so that rows to broadcast have a fixed size
+    found = contamination(docs, items).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest)
+    found = sized_broadcast(materialise(found))
+    all_ = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(split_words(F.col("text"))).cast("long").alias("n_words"))
+    both = all_.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

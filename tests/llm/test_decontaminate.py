@@ -51,6 +51,8 @@ DOCS = [
     (8, "then it runs away from ÉTÉ to the far hills. fox jumps over the lazy dog and then it runs"),
     (None, "a short item"),
     (9, "clean text"),
+    (12, "THE QUICK brown fox jumps over the lazy dog and then it runs away from été to the far hills"),
+    (13, "\u0130x A Short \u212atem item short ITEM"),
     (9, "a short item"),
     (9, "a short item"),
     (11, "w " * 40000 + "quick brown fox jumps over the lazy dog and then end"),
@@ -59,7 +61,8 @@ DOCS = [
 
 @pytest.mark.parametrize("limit", [400_000, 0])
 def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(d, "BROADCAST_SHINGLES", limit)
+    for bound in ("BROADCAST_SHINGLES", "BROADCAST_WINDOWS"):
+        monkeypatch.setattr(d, bound, limit)
     docs = spark.createDataFrame([(*r, "x") for r in DOCS], "doc_id long, text string, shingle string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((tuple(r) for r in d.contaminated_documents(docs, items).collect()), key=str)
