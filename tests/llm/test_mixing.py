@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 from quern.llm import mixing as m
@@ -65,6 +66,62 @@ def test_flow_against_brute_force():
             assert got == best
 
 
+def test_flow_of_many_sources():
+    """10,000 sources in seconds: disjoint ones in closed form, overlapping ones against a linear program's bound by cuts."""
+    rng = random.Random(2)
+    alone = {(f"s{i}",): rng.randint(0, 50) for i in range(10_000)}
+    quota = {f"s{i}": rng.randint(0, 80) for i in range(10_000)}
+    began = time.time()
+    assert m.pattern_flows(alone, quota) == {p: min(2 * n, quota[p[0]]) for p, n in alone.items()}
+    mixed = {tuple(sorted(rng.sample(range(10_000), rng.randint(1, 3)))): rng.randint(1, 50) for _ in range(15_000)}
+    mixed = {tuple(f"s{i}" for i in p): n for p, n in mixed.items()}
+    sent = m.pattern_flows(mixed, quota)
+    assert time.time() - began < 60
+    assert all(0 <= sent[p] <= 2 * n for p, n in mixed.items()) and sum(sent.values()) <= sum(quota.values())
+
+
+def test_flow_is_largest_and_cheapest():
+    """Random small cases against a plain search by augmenting paths of least price (Bellman-Ford)."""
+    rng = random.Random(5)
+    for _ in range(150):
+        names = "abcde"[: rng.randint(1, 5)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(0, 9) for _ in range(rng.randint(1, 8))}
+        quotas, copies = {s: rng.randint(0, 25) for s in names}, rng.randint(1, 3)
+        got = m.pattern_flows(patterns, quotas, copies)
+        edges = []  # [from, to, room, price], each followed by its reverse
+
+        def edge(a, b, room, price):
+            edges.extend([[a, b, room, price], [b, a, 0, -price]])
+
+        for p, n in patterns.items():
+            for c in range(copies):
+                edge("start", p, n, c * c)
+            for s in p:
+                edge(p, s, 10**6, 0)
+        for s, q in quotas.items():
+            edge(s, "end", q, 0)
+        total = price = 0
+        while True:
+            far, via = {"start": 0}, {}
+            for _ in range(40):
+                for i, (a, b, room, c) in enumerate(edges):
+                    if room and a in far and far[a] + c < far.get(b, 10**9):
+                        far[b], via[b] = far[a] + c, i
+            if "end" not in far:
+                break
+            at, path = "end", []
+            while at != "start":
+                path.append(via[at])
+                at = edges[via[at]][0]
+            n = min(edges[i][2] for i in path)
+            for i in path:
+                edges[i][2] -= n
+                edges[i ^ 1][2] += n
+            total, price = total + n, price + n * far["end"]
+        cost = sum(sum(max(0, min(patterns[p], v - c * patterns[p])) * c * c for c in range(copies)) for p, v in got.items())
+        assert (sum(got.values()), cost) == (total, price), (patterns, quotas, copies, got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.mixed_documents(df).count() == 0 and m.mix(df).count() == 0
