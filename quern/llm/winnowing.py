@@ -48,22 +48,20 @@ def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> list[tuple[np.
     grams = np.where(sizes > 0, np.maximum(sizes - k + 1, 1), 0)
     key = np.full(len(h) + window, np.iinfo(np.uint64).max, dtype=np.uint64)
     at = np.repeat(first - np.cumsum(grams) + grams, grams) + np.arange(grams.sum())
-    # Smaller is: the smaller hash, then the position further right.
-    key[at] = (h[at] & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
-    span = 1
+    key[at] = h[at]
+    span, place = 1, np.arange(len(key))
     while span < window:
         step = min(span, window - span)
-        key = np.minimum(key[:-step], key[step:])
+        right = key[step:] <= key[:-step]  # of equal ones, the one further right
+        key, place = np.where(right, key[step:], key[:-step]), np.where(right, place[step:], place[:-step])
         span += step
     windows = np.where(grams > 0, np.maximum(grams - window + 1, 1), 0)
     starts = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-    least = key[starts]
-    owner = np.repeat(np.arange(len(texts)), windows)
-    new = np.ones(len(least), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-    least, owner = least[new], owner[new]
-    hashes = (least >> np.uint64(32)).astype(np.uint32)
-    places = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64) - first[owner]
+    owner, kept = np.repeat(np.arange(len(texts)), windows), place[starts]
+    new = np.ones(len(kept), dtype=bool)
+    new[1:] = (kept[1:] != kept[:-1]) | (owner[1:] != owner[:-1])
+    owner, kept = owner[new], kept[new]
+    hashes, places = h[kept], kept - first[owner]
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     return [(hashes[a:b], places[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -82,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _runs(texts):
                 kept = winnow(texts[a:b])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:b], pa.int64()), "hashes": pa.array([h.astype(np.int64) for h, _ in kept], pa.list_(pa.int64())), "positions": pa.array([p for _, p in kept], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:b], pa.int64()), "hashes": pa.array([h.view(np.int64) for h, _ in kept], pa.list_(pa.int64())), "positions": pa.array([p for _, p in kept], pa.list_(pa.int64()))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
@@ -104,6 +102,7 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 
     Next is by descending doc_id, and the first after the last. Rows are dealt out in ranges of doc_id; each range also
     gets the first row of the range after it, so texts are shuffled once and no task sees more than its range.
+    positions and edited_positions tell where each hash of the fingerprints was kept, for the match guarantee.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -136,10 +135,12 @@ def edited_documents(docs: DataFrame) -> DataFrame:
                 "doc_id": pa.array(ids[:n], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-                "fingerprint": [h.astype(">u4").tobytes().hex() for h, _ in own[:n]],
-                "edited_fingerprint": [h.astype(">u4").tobytes().hex() for h, _ in new],
+                "fingerprint": [h.astype(">u8").tobytes().hex() for h, _ in own[:n]],
+                "edited_fingerprint": [h.astype(">u8").tobytes().hex() for h, _ in new],
                 "near_edited": [likeness(a, b) for a, b in zip(sets, new_sets)],
                 "near_next": [likeness(a, b) for a, b in zip(sets, sets[1:])],
+                "positions": pa.array([p.astype(np.int32) for _, p in own[:n]], pa.list_(pa.int32())),
+                "edited_positions": pa.array([p.astype(np.int32) for _, p in new], pa.list_(pa.int32())),
             }
         )
 
@@ -161,4 +162,4 @@ def edited_documents(docs: DataFrame) -> DataFrame:
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
                 done = bool(more)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>")

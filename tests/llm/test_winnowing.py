@@ -17,7 +17,7 @@ def brute(text, k=w.K, window=w.WINDOW):
         v = 0
         for c in x:
             v = (v * w.BASE + c) % (1 << 64)
-        return ((v ^ (v >> 29)) * w.FINISH % (1 << 64)) >> 32
+        return (v ^ (v >> 29)) * w.FINISH % (1 << 64)
 
     hs, out = [h(g) for g in grams], []
     for s in range(max(1, len(hs) - window + 1)):
@@ -60,7 +60,7 @@ def test_query(spark, parts):
         e = t[: len(t) - half] + n[:half]
         sets = [{h for h, _ in brute(x)} for x in (t, e, n)]
         near = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
-        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(f"{h:08x}" for h, _ in brute(t)), "".join(f"{h:08x}" for h, _ in brute(e)), *near))
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(f"{h:016x}" for h, _ in brute(t)), "".join(f"{h:016x}" for h, _ in brute(e)), *near, [p for _, p in brute(t)], [p for _, p in brute(e)]))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
