@@ -25,6 +25,8 @@ def scratch(spark: SparkSession) -> str:
     """A new path under the shared folder that the session names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/quern-{uuid.uuid4().hex}"
@@ -44,8 +46,12 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bounds the Arrow batches that tasks hold, in the JVM and in Python, by bytes instead of rows: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bounds the Arrow batches that tasks hold, in the JVM and in Python, by bytes instead of rows: texts may be long.
+
+    It is a setting of the session, read when a plan runs, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, size)
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -82,20 +88,17 @@ def bounds_of(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 split points of an integer column that deal its rows out evenly."""
     if parts < 2:
         return []
-    cuts = df.select(F.col(column).cast("double").alias("_v")).approxQuantile("_v", [i / parts for i in range(1, parts)], 0.2 / parts)
+    cuts = df.select(F.col(column).cast("double").alias("_v")).approxQuantile("_v", [i / parts for i in range(1, parts)], max(1e-4, 0.2 / parts))
     return sorted({int(x) for x in cuts})
 
 
 def part_of(column: str, bounds: list[int]) -> Column:
-    """The number of split points at or under the value: a binary search written as nested conditions. Null goes to part 0."""
-
-    def cut(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) >= bounds[mid], cut(mid + 1, hi)).otherwise(cut(lo, mid))
-
-    return cut(0, len(bounds)).cast("int")
+    """The number of split points at or under the value, by binary search in one literal array. Null goes to part 0."""
+    if not bounds:
+        return F.lit(0)
+    cuts, steps = F.lit(bounds).cast("array<long>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    further = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(cuts, at + step - 1) <= F.col(column)), at + step).otherwise(at)
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), further)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -3,49 +3,50 @@
 Each language has a context tree of bytes with escape probabilities; a text's score in a language is its exact code length
 under the frozen statistics, and the shortest wins.
 
-The trees are fitted on a seeded sample of FIT_DOCS whole documents a language (a documented bound), all other steps cover
-all rows and whole texts. Defined results: null texts and texts without a letter are ``und`` with score 0, and so is all
+The trees are fitted on a seeded sample of FIT_DOCS whole documents a language, or of fewer where FIT_ALL documents of all
+languages are reached (documented bounds); all other steps cover all rows and whole texts. Defined results: null texts and texts without a letter are ``und`` with score 0, and so is all
 text if no language was learned; documents without lang teach nothing; equal rows get equal results.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, crc_mod, small_batches, utf8
+from quern.llm.common import chunks, crc_mod, sized_broadcast, small_batches, utf8
 from quern.llm.context_tree import ContextTree, train
 
-#: Documents of each language, as expected, that the trees see, and languages at most.
-FIT_DOCS, MAX_LANGS = 250, 200
-#: Bytes of context; strings that occur less often are left out.
-ORDER, LEAST = 4, 6
+#: Documents of each language, and of all together, as expected, that the trees see.
+FIT_DOCS, FIT_ALL = 250, 50_000
+#: Bytes of context. Strings of the sample that occur at least so often are kept: all, since escapes are estimated from rare ones.
+ORDER, LEAST = 4, 1
 #: Nats a byte are multiplied by this before languages are weighed against each other.
 SHARPNESS = 25.0
 
-_ASCII_LETTER, _LETTER = re.compile(rb"[A-Za-z]"), re.compile(r"[^\W\d_]")
+_ASCII_LETTER, _LETTER = regex.compile(rb"[A-Za-z]"), regex.compile(r"\p{L}")
 
 
 def has_letter(text: bytes) -> bool:
+    """Whether text holds a character of Unicode category L; digits, fractions and circled numbers are none."""
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and bool(_LETTER.search(text.decode())))
 
 
 def learn(docs: DataFrame, held_out: int = 5) -> ContextTree | None:
     """Trees from docs (doc_id, text, lang) without those whose crc32(doc_id) mod held_out is 0."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out) != 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out) != 0))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return None
-    # Rows whose hash is under their language's rate: about FIT_DOCS of each, whichever tasks they are in.
-    rate = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, FIT_DOCS / n) * (1 << 30)))))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) < rate[F.col("lang")])
+    # Rows whose hash is under their language's rate: about as many of each, whichever tasks they are in.
+    each = min(FIT_DOCS, FIT_ALL / len(counts))
+    rates = [(lang, int(min(1.0, each / n) * (1 << 30))) for lang, n in sorted(counts.items())]
+    known = known.join(sized_broadcast(docs.sparkSession.createDataFrame(rates, "lang string, _rate long")), "lang")
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) < F.col("_rate"))
     rows = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())
     langs = sorted({lang for lang, _ in rows})
     if not langs:
