@@ -3,9 +3,13 @@
 Symbols: the OWN_WORDS most frequent words and the end of a text have emissions of their own; all other words fall into
 CLASSES by their last bytes, and within a class a word has (c + 1) / (N + V + 1) of the class's own counts.
 
-Training: word counts over all training documents; Baum-Welch over the symbols, where tasks add up expected counts and only
-sums of fixed size (STATES by symbols) reach the driver. A few rounds run over a seeded sample of START_DOCS documents
-(a documented bound) to find a start; the last ROUNDS run over every training document, in runs of SPAN words.
+Training: word counts over all training documents; then every document is written once as symbols of two bytes, and
+Baum-Welch runs over these: tasks add up expected counts and only sums of fixed size (STATES by symbols) reach the driver.
+A few rounds run over a seeded sample of START_DOCS documents (a documented bound) to find a start; then rounds over every
+training document follow until the log-likelihood a token rises by less than SETTLED, ROUNDS at most.
+
+Long texts are trained on in runs of SPAN words. A run also reads the LEAD words before and behind it, which bring its
+states to where they would be, so moves across cuts are counted and only a text's first word counts as a start.
 Scoring: the exact scaled forward recursion; long texts are cut into runs whose transfer matrices are multiplied.
 
 Counts of the DICTIONARY most frequent words are sent to the tasks (a bound by construction: a count threshold that at
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import chunks, crc_mod, materialise, small_batches, utf8
 
 STATES, OWN_WORDS, CLASSES, DICTIONARY = 8, 8192, 512, 200_000
-START_DOCS, START_ROUNDS, ROUNDS = 1200, 6, 2
-#: Words of a run in training, and in scoring.
-SPAN, SCORE_SPAN = 512, 2048
-#: Bytes of text that a task holds as arrays at a time.
-TRAIN_BYTES, SCORE_BYTES = 2_000_000, 4_000_000
+START_DOCS, START_ROUNDS, ROUNDS, SETTLED = 1200, 6, 3, 0.002
+#: Words of a run in training, words that it reads before and behind, and words of a run in scoring.
+SPAN, LEAD, SCORE_SPAN = 512, 32, 2048
+#: Bytes of text, and of symbols, that a task holds as arrays at a time.
+TEXT_BYTES, TRAIN_BYTES, SCORE_BYTES = 4_000_000, 800_000, 1_600_000
 #: Distinct words that a task holds while counting.
 HELD_WORDS = 400_000
 
@@ -153,16 +157,36 @@ def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), side="right")
 
 
-def expected_counts(symbols: np.ndarray, sizes: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(starts, moves, emissions, log likelihood): Baum-Welch counts of sequences, all stepped side by side."""
-    order, reach = _layout(sizes)
-    first = (np.cumsum(sizes) - sizes)[order]
+def _runs(sizes: np.ndarray, span: int, lead: int) -> tuple[np.ndarray, ...]:
+    """(first, length, own, ends, head) of runs of span words.
+
+    A run reads length places from first on, of which own to ends are its own; head tells whether its text begins there.
+    """
+    pieces = (sizes + span - 1) // span
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
+    base, end = (np.cumsum(sizes) - sizes)[owner], np.minimum(start + span, sizes[owner])
+    low, high = np.maximum(start - lead, 0), np.minimum(end + lead, sizes[owner])
+    return base + low, high - low, start - low, end - low, low == 0
+
+
+def expected_counts(symbols: np.ndarray, sizes: np.ndarray, m: Model, span: int = SPAN, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(starts, moves, emissions, log likelihood): Baum-Welch counts of sequences, all runs stepped side by side.
+
+    They are exact for sequences of up to span words; at cuts they are as near as lead words on both sides make them.
+    """
+    first, length, own, ends, head = _runs(sizes, span, lead)
+    order, reach = _layout(length)
+    first, own, ends, head = first[order], own[order], ends[order], head[order]
     at = np.concatenate([[0], np.cumsum(reach)])
-    place = np.concatenate([first[:n] + t for t, n in enumerate(reach)])  # by step, then by sequence
+    place = np.concatenate([first[:n] + t for t, n in enumerate(reach)])  # by step, then by run
+    counted = np.concatenate([(own[:n] <= t) & (t < ends[:n]) for t, n in enumerate(reach)])
+    steady = np.linalg.matrix_power(m.move, 1 << 10)[0]
+    begin = np.where(head[:, None], m.start, steady)
     emit = m.emit[symbols[place]]
     alpha, scale = np.empty_like(emit), np.empty(len(emit))
     for t, n in enumerate(reach):
-        a = emit[at[t] : at[t] + n] * (m.start if not t else alpha[at[t - 1] : at[t - 1] + n] @ m.move)
+        a = emit[at[t] : at[t] + n] * (begin if not t else alpha[at[t - 1] : at[t - 1] + n] @ m.move)
         s = a.sum(1)
         scale[at[t] : at[t] + n] = s
         alpha[at[t] : at[t] + n] = a / s[:, None]
@@ -171,13 +195,13 @@ def expected_counts(symbols: np.ndarray, sizes: np.ndarray, m: Model) -> tuple[n
     for t in range(len(reach) - 1, 0, -1):
         here, before = slice(at[t], at[t] + reach[t]), slice(at[t - 1], at[t - 1] + reach[t])
         ahead = emit[here] * beta / scale[here][:, None]
-        moves += alpha[before].T @ ahead
+        moves += alpha[before].T @ (ahead * counted[here][:, None])
         beta = np.ones((reach[t - 1], len(m.start)))
         beta[: reach[t]] = ahead @ m.move.T
         gamma[at[t - 1] : at[t]] *= beta
-    seen = symbols[place]
-    emissions = np.stack([np.bincount(seen, weights=gamma[:, k], minlength=len(m.emit)) for k in range(gamma.shape[1])], axis=1)
-    return gamma[: reach[0]].sum(0), moves * m.move, emissions, float(np.log(scale).sum())
+    seen = symbols[place[counted]]
+    emissions = np.stack([np.bincount(seen, weights=gamma[counted, k], minlength=len(m.emit)) for k in range(gamma.shape[1])], axis=1)
+    return gamma[: reach[0]][own == 0].sum(0), moves * m.move, emissions, float(np.log(scale[counted]).sum())
 
 
 def log_likelihoods(symbols: np.ndarray, sizes: np.ndarray, m: Model, span: int = SCORE_SPAN) -> np.ndarray:
@@ -219,55 +243,55 @@ def log_likelihoods(symbols: np.ndarray, sizes: np.ndarray, m: Model, span: int
     return out
 
 
-def _cut(sizes: np.ndarray, span: int) -> np.ndarray:
-    """The lengths of the runs of span words that the sequences are cut into."""
-    pieces = (sizes + span - 1) // span
-    out = np.full(int(pieces.sum()), span, dtype=np.int64)
-    out[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * span
-    return out
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts, how many of each) from binary values of two bytes a symbol."""
+    each = column.to_pylist()
+    return np.frombuffer(b"".join(each), dtype="<u2").astype(np.int32), np.array([len(x) // 2 for x in each], dtype=np.int64)
+
 
+def _improved(coded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round of Baum-Welch over coded (symbols), and the log-likelihood before it.
 
-def _improved(docs: DataFrame, words, model: Model) -> Model:
-    """One round of Baum-Welch over docs: tasks sum up, the driver gets a row per state and symbol at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    Tasks sum up; the driver gets a row per state and symbol at most.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     k = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, w = shared.value, words.value
-        starts, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
-        for batch in chunks(batches, limit=TRAIN_BYTES):
-            flat, sizes, each = w.sequences(utf8(batch.column("text")))
-            a, b, c, _ = expected_counts(w.symbols(flat, sizes, each), _cut(sizes, SPAN), m)
+        m = shared.value
+        starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit), np.zeros(k)
+        for batch in chunks(batches, "symbols", TRAIN_BYTES):
+            a, b, c, d = expected_counts(*_symbols(batch.column("symbols")), m)
             starts, moves, emissions = starts + a, moves + b, emissions + c
+            total[0] += d
         some = np.flatnonzero(emissions.any(1))
-        table = np.concatenate([starts[None], moves, emissions[some]])
-        keys = np.concatenate([np.arange(-1 - k, 0), some])
+        table = np.concatenate([total[None], starts[None], moves, emissions[some]])
+        keys = np.concatenate([np.arange(-2 - k, 0), some])
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(table[:, i]) for i in range(k))], names=["key", *(f"s{i}" for i in range(k))])
 
-    parts = docs.select("text").mapInArrow(run, "key int, " + ", ".join(f"s{i} double" for i in range(k)))
+    parts = coded.select("symbols").mapInArrow(run, "key int, " + ", ".join(f"s{i} double" for i in range(k)))
     # Rounded sums: their order then doesn't show in the result.
     got = parts.groupBy("key").agg(*(F.sum(F.col(f"s{i}").cast("decimal(38,9)")).cast("double").alias(f"s{i}") for i in range(k))).collect()
-    emissions, starts, moves = np.zeros_like(model.emit), np.zeros(k), np.zeros((k, k))
+    emissions, starts, moves, total = np.zeros_like(model.emit), np.zeros(k), np.zeros((k, k)), 0.0
     for r in got:
         if r["key"] >= 0:
             emissions[r["key"]] = r[1:]
+        elif r["key"] == -2 - k:
+            total = r[1]
         elif r["key"] == -1 - k:
             starts[:] = r[1:]
         else:
             moves[r["key"] + k] = r[1:]
     overall = emissions.sum(1) + 0.05
     emissions = emissions + 200 * (overall / overall.sum())[:, None]
-    return Model((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emissions / emissions.sum(0))
+    return Model((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emissions / emissions.sum(0)), total
 
 
-def _first_model(texts: list[bytes], words: Words) -> Model:
-    """States start from documents that are unlike each other, mixed with the counts of all."""
-    size = words.end + 1
-    flat, sizes, each = words.sequences(texts) if texts else (np.zeros(0, np.int32), np.zeros(0, np.int64), [])
-    symbols = words.symbols(flat, sizes, each) if texts else np.zeros(0, np.int64)
-    base = np.bincount(symbols, minlength=size) + 0.05
+def _first_model(texts: list[np.ndarray], size: int) -> Model:
+    """States start from documents (their symbols) that are unlike each other, mixed with the counts of all."""
+    base = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *texts]), minlength=size) + 0.05
     base = base / base.sum()
-    rows = [np.bincount(s, minlength=size) / len(s) for s in np.split(symbols, np.cumsum(sizes)[:-1]) if len(s) > 50]
+    rows = [np.bincount(s, minlength=size) / len(s) for s in texts if len(s) > 50]
     picks: list[np.ndarray] = []
     near = np.zeros(len(rows))
     for _ in range(STATES):
@@ -284,45 +308,43 @@ def _first_model(texts: list[bytes], words: Words) -> Model:
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
 
 
-def learn(training: DataFrame, words: Words, shared) -> Model:
-    n = words.ends
+def learn(training: DataFrame, words: Words) -> tuple[Model, list[float]]:
+    """The model from training (hash, symbols; materialised), and the log-likelihood before each round over all of it."""
+    n, size = words.ends, words.end + 1
     rate = min(1.0, START_DOCS / max(1, n))
-    sample = training.filter(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    sample = materialise(sample)
-    texts = [(t or "").encode() for (t,) in sample.orderBy(F.xxhash64("text"), "text").select("text").limit(200).collect()]
-    model = _first_model(texts, words)
+    sample = materialise(training.filter(F.pmod("hash", F.lit(1 << 30)) < int(rate * (1 << 30))))
+    first = sample.orderBy("hash", "symbols").select("symbols").limit(200).collect()
+    model, history = _first_model([np.frombuffer(r[0], dtype="<u2").astype(np.int64) for r in first], size), []
     if n:
         for _ in range(START_ROUNDS):
-            model = _improved(sample, shared, model)
+            model, _ = _improved(sample, model)
         for _ in range(ROUNDS):
-            model = _improved(training, shared, model)
-    return model
+            model, total = _improved(training, model)
+            history.append(total)
+            if len(history) > 1 and history[-1] - history[-2] < SETTLED * words.tokens:
+                break
+    return model, history
 
 
-def scored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = docs.filter(crc_mod("doc_id", 7) != 2)
-    counts = materialise(word_counts(training))
-    words, least = learn_words(counts, training.count())
-    shared = spark.sparkContext.broadcast(words)  # DICTIONARY words at most
-    model = spark.sparkContext.broadcast(learn(training, words, shared))
+def coded_documents(docs: DataFrame, words: Words) -> DataFrame:
+    """Every document of docs (doc_id, text) as symbols, beside what its words add to its scores: read once, used by all rounds.
+
+    row, hash, doc_id, held_out, n_tokens, n_known, base_score, within, symbols, and words and times of those outside the
+    dictionary, whose counts aren't in the scores yet.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # DICTIONARY words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m = shared.value, model.value
+        w = shared.value
         log_count = np.log10(np.concatenate([w.count, [w.ends, 0]]) + 1.0)
         whole, log_class = np.log10(w.tokens + w.kinds + 1), np.log10(w.class_total)
-        for batch in chunks(batches, limit=SCORE_BYTES):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             flat, sizes, each = w.sequences(utf8(batch.column("text")))
             symbols, first = w.symbols(flat, sizes, each), np.cumsum(sizes) - sizes
             counted = log_count[flat]  # -2: the end, -1: rare, so far as if it never occurred
             in_class = (symbols >= w.own) & (symbols < w.end)
             within = np.where(in_class, counted - log_class[np.where(in_class, symbols - w.own, 0)], 0.0)
             ends = np.cumsum(sizes)
-            base = np.add.reduceat(counted, first) - sizes * whole
-            score = log_likelihoods(symbols, sizes, m) / np.log(10) + np.add.reduceat(within, first)
             known = np.add.reduceat(((flat >= 0) | (flat == -2) & (w.ends > 0)).astype(np.int64), first)
             rare_words, rare_times, cuts = [], [], [0]
             rare = flat == -1
@@ -331,29 +353,54 @@ def scored_documents(docs: DataFrame) -> DataFrame:
                 rare_words += times.keys()
                 rare_times += times.values()
                 cuts.append(len(rare_words))
-            cuts = pa.array(cuts, pa.int32())
+            cuts, raw = pa.array(cuts, pa.int32()), symbols.astype("<u2").tobytes()
             yield pa.RecordBatch.from_pydict(
                 {
-                    "row": batch.column("row"),
-                    "doc_id": batch.column("doc_id"),
+                    **{c: batch.column(c) for c in ("row", "hash", "doc_id", "held_out")},
                     "n_tokens": sizes,
                     "n_known": known,
-                    "base_score": base,
-                    "score": score,
+                    "base_score": np.add.reduceat(counted, first) - sizes * whole,
+                    "within": np.add.reduceat(within, first),
+                    "symbols": pa.array([raw[2 * a : 2 * b] for a, b in zip(first.tolist(), ends.tolist())], pa.binary()),
                     "words": pa.ListArray.from_arrays(cuts, pa.array(rare_words, pa.binary())),
                     "times": pa.ListArray.from_arrays(cuts, pa.array(rare_times, pa.int32())),
                 }
             )
 
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    rows = materialise(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"))
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    held = (crc_mod("doc_id", 7) == 2).alias("held_out")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("hash"), "doc_id", held, "text")
+    return rows.mapInArrow(run, "row long, hash long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, symbols binary, words array<binary>, times array<int>")
+
+
+def scored(coded: DataFrame, model: Model) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, base_score and score of coded; words outside the dictionary aren't counted yet."""
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "symbols", SCORE_BYTES):
+            score = log_likelihoods(*_symbols(batch.column("symbols")), shared.value) / np.log(10)
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in kept}, "score": score + batch.column("within").to_numpy()})
+
+    return coded.select(*kept, "within", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def scored_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    training = docs.filter(crc_mod("doc_id", 7) != 2)
+    counts = materialise(word_counts(training))
+    words, least = learn_words(counts, training.count())
+    coded = materialise(coded_documents(docs, words))
+    model, _ = learn(coded.filter("not held_out").select("hash", "symbols"), words)
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     # Words without a count have log10(0 + 1) = 0 and need no row.
     more = rare.join(counts.filter(F.col("c") < least).select("word", "c"), "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"))
     logs = F.coalesce("logs", F.lit(0.0))
-    return rows.drop("words", "times").join(more, "row", "left").select(
+    return scored(coded, model).join(more, "row", "left").select(
         "doc_id",
-        (crc_mod("doc_id", 7) == 2).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
