@@ -2,86 +2,174 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from quern.llm import quotation as q
 
-MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
+
+def level_of(line):
+    m = re.match(r"^[ \t]*((?:>[ \t]?)+)", line)
+    return (m[1].count(">"), line[m.end() :]) if m else (0, line)
+
+
+def clean(lines):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", " ".join(level_of(x)[1] for x in lines).lower()).strip(" ")
 
 
-def norm(line):
-    return re.sub(r"\s+", " ", MARK.sub("", line).lower()).strip(" ")
+def split_sentences(norm):
+    out, now, closed = [], "", False
+    for c in norm:
+        if c not in ".!?":
+            if closed:
+                out.append(now)
+                now, closed = "", False
+            now += c
+        elif now:
+            now, closed = now + c, True
+    return [x.strip(" ") for x in [*out, now] if x.strip(" ")]
 
 
 def brute(rows):
+    """The module's statement in plain Python: passages, links, replies and a recursive walk."""
     msgs = sorted({(c, t, r or "unknown", x or "") for c, t, r, x in rows}, key=str)
-    own, level1, turns = defaultdict(set), defaultdict(list), set()
-    for c, t, r, x in msgs:
+    parts = {}
+    for m in msgs:
+        runs = []
+        for line in m[3].split("\n"):
+            if not runs or runs[-1][0] != level_of(line)[0]:
+                runs.append((level_of(line)[0], []))
+            runs[-1][1].append(line)
+        parts[m] = runs
+    units = defaultdict(set)
+    for m in msgs:
+        for level, lines in parts[m]:
+            if level == 0:
+                paragraphs = [p.split("\n") for p in re.split(r"\n(?:[ \t\x0b\f\r]*(?:\n|$))+", "\n".join(lines))]
+                for u in (clean(lines), *map(clean, paragraphs), *(clean([x]) for x in lines)):
+                    units[m[0], m[1]] |= {u, *split_sentences(u)} - {""}
+    gone, votes = defaultdict(set), defaultdict(lambda: defaultdict(int))
+    for m in msgs:
+        c, t = m[:2]
         if c is None or t is None:
             continue
-        turns.add((c, t))
-        for line in re.split("\r?\n", x):
-            m = MARK.match(line)
-            if not norm(line):
+
+        def source(u):
+            return max((v for (d, v), has in units.items() if d == c and v is not None and v < t and u in has), default=None)
+
+        for at, (level, lines) in enumerate(parts[m]):
+            norm = clean(lines)
+            if not level or not norm:
                 continue
-            if m is None:
-                own[c, norm(line)].add(t)
-            elif m[1].count(">") == 1:
-                level1[c, t].append(norm(line))
-    parent, quoting = {}, set()
-    for c, t in turns:
-        votes = defaultdict(int)
-        for line in level1[c, t]:
-            if earlier := [u for u in own[c, line] if u < t]:
-                votes[max(earlier)] += 1
-        if votes:
-            parent[c, t] = max((n, u) for u, n in votes.items())[1]
-            quoting.add((c, t))
-        elif (c, t - 1) in turns:
-            parent[c, t] = t - 1
-
-    def root(c, t):
-        while (c, t) in parent:
-            t = parent[c, t]
-        return t
-
-    out = defaultdict(list)
+            n, found = len(norm), source(norm)
+            if found is None:
+                got, n = defaultdict(int), sum(map(len, split_sentences(norm)))
+                for s in split_sentences(norm):
+                    if source(s) is not None:
+                        got[source(s)] += len(s)
+                best = max(((k, v) for v, k in got.items()), default=(0, None))
+                found = best[1] if best[0] * 2 >= n else None
+            if found is not None:
+                gone[m].add(at)
+                votes[c, t][level, found] += n
+    turns = defaultdict(set)
+    for c, t, *_ in msgs:
+        if c is not None and t is not None:
+            turns[c].add(t)
+    out = []
+    for c, known in turns.items():
+        parent, children = {}, defaultdict(list)
+        for t in sorted(known):
+            v = votes.get((c, t))
+            parent[t] = max((-lv, n, s) for (lv, s), n in v.items())[2] if v else max((u for u in known if u < t), default=None)
+            children[parent[t]].append(t)
+        order, stack = [], children[None][::-1]
+        while stack:
+            order.append(stack.pop())
+            stack += children[order[-1]][::-1]
+        said = []
+        for t in order:
+            for m in sorted(m for m in msgs if m[0] == c and m[1] == t):
+                own = "\n".join("\n".join(lines) for at, (_, lines) in enumerate(parts[m]) if at not in gone[m])
+                said.append((f"<|{m[2]}|>\n" + own.strip(" \t\n\r\x0b\f"), bool(votes.get((c, t)))))
+        for b in range(0, len(said), q.BLOCK):
+            some = said[b : b + q.BLOCK]
+            out.append((c, min(known), b // q.BLOCK, len(some), sum(x for _, x in some), "\n".join(x for x, _ in some)))
     for c, t, r, x in msgs:
-        kept = "\n".join(line for line in re.split("\r?\n", x) if not MARK.match(line))
-        key = (c, root(c, t) if c is not None and t is not None else t, t // 64 if t is not None else None)
-        out[key].append((-1 if t is None else t, r, f"<|{r}|>\n" + kept.strip(" \t\n\r\x0b\f"), (c, t) in quoting))
-    return sorted(((*k, len(v), sum(x[3] for x in v), "\n".join(x[2] for x in sorted(v))) for k, v in out.items()), key=str)
+        if c is None or t is None:
+            out.append((c, t, None if t is None else 0, 1, 0, f"<|{r}|>\n" + x.strip(" \t\n\r\x0b\f")))
+    return sorted(out, key=str)
+
 
+def run(spark, rows):
+    df = spark.createDataFrame([(*r, 0, "z") for r in rows], "conv_id long, turn long, role string, text string, thread int, id string")
+    return sorted((tuple(r) for r in q.conversations(df).collect()), key=str)
 
-def test_against_brute_force(spark):
-    rng = random.Random(3)
-    rows = []
+
+@pytest.mark.parametrize("local", [100_000, 3])
+def test_against_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(q, "LOCAL_TURNS", local)  # 3: conversations are ordered by joins
+    monkeypatch.setattr(q, "STEP_BITS", 12 if local > 3 else 2)
+    monkeypatch.setattr(q, "BLOCK", 64)
+    rng, rows = random.Random(3), []
     for c in range(12):
         said = []
-        for t in range(rng.randint(1, 150 if c == 0 else 12)):
+        for t in range(rng.randint(1, 100 if c == 0 else 14)):
             lines = []
-            if said and rng.random() < 0.6:
-                for line in rng.choice(said).split("\n")[:2]:
-                    lines.append(("> " if rng.random() < 0.7 else ">> ") + line.upper())
-            lines.append(rng.choice(["thanks", f"point {rng.randint(0, 30)}", f"well   said {t}"]))
+            if said and rng.random() < 0.7:
+                quoted = rng.choice(said).replace("\r", "").split("\n")
+                kind = rng.random()
+                if kind < 0.3:
+                    quoted = quoted[:1]
+                elif kind < 0.5:  # wrapped otherwise
+                    words = " ".join(quoted).upper().split()
+                    quoted = [" ".join(words[i : i + 3]) for i in range(0, len(words), 3)]
+                elif kind < 0.7:
+                    quoted = [*quoted, "words that nobody wrote. At all!"]
+                lines += [rng.choice(["> ", ">> ", "> > "])[:] + x if rng.random() < 0.9 else "> " + x for x in quoted]
+            lines.append(rng.choice(["thanks", "ok", f"Point {rng.randint(0, 30)}. It is {rng.randint(0, 9)}!", f"well   said {t}"]))
+            if rng.random() < 0.3:
+                lines += ["", "", f"a second paragraph of {t},\nin two lines. And more?"]
             lines.append(f"more {t}\r")
             said.append("\n".join(lines))
-            rows.append((c, t, rng.choice(["user", "assistant", None]), said[-1]))
-    rows += [(50, 0, "user", None), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "assistant", "other"), (None, 3, "user", "> a"), (51, None, "user", "lone"), (52, 7, "user", "y" * 100_000), (53, 2, "user", "> quote\n  > > deep\n")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, thread int")
-    assert sorted((tuple(r) for r in q.conversations(df).collect()), key=str) == brute(rows)
-    assert q.conversations(df.limit(0)).count() == 0
+            rows.append((c, t * (1 if c % 2 else 3), rng.choice(["user", "assistant", None]), said[-1]))
+    rows += [(50, 0, "user", None), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "assistant", "other"), (None, 3, "user", "> a"), (51, None, "user", "lone"), (52, 7, "user", "y. " * 30_000), (53, 2, "user", "> quote\n  > > deep\n"), (54, -5, "u", "before"), (54, 1 << 40, "u", "> before\nlate")]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, [])[:1] == []
+
 
+def test_reply_order(spark):
+    """Answers follow what they answer: root, A, C (to A), B, D (to B)."""
+    rows = [(1, 0, "u", "root words"), (1, 1, "u", "> root words\nview A"), (1, 2, "u", "> root words\nview B"), (1, 3, "u", "> view A\nview C"), (1, 4, "u", "> view B\nview D")]
+    assert run(spark, rows)[0][5] == "\n".join(f"<|u|>\n{x}" for x in ("root words", "view A", "view C", "view B", "view D"))
 
-def test_levels(spark):
-    df = spark.createDataFrame([(0, "a\nB  c"), (1, "> a\nmy view"), (2, "> my view\n>> a\nok")], "turn long, text string").selectExpr("1 as conv_id", "turn", "'user' as role", "text")
-    got = {(r.turn, r.level): r.source for r in q.links(q.messages_of(df)).collect()}
-    assert got == {(1, 1): 0, (2, 1): 1, (2, 2): 0}
 
+def test_passages_and_levels(spark):
+    rows = [
+        (1, 0, "u", "The first line\nwraps here. A second sentence."),
+        (1, 1, "u", "ok"),
+        (1, 2, "u", "> the first line wraps\n> here. a second sentence.\nyes\n> ls -l\n> cd /tmp"),  # re-wrapped; a shell prompt stays
+        (1, 3, "u", ">> The first line wraps here. A second sentence.\n> yes\nfine"),
+        (1, 4, "u", ">> ok\nonly an ancestor is known"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = q.messages_of(df)
+    linked = q.links(messages)
+    assert sorted((r.turn, r.level, r.source) for r in linked.collect()) == [(2, 1, 0), (3, 1, 2), (3, 2, 0), (4, 2, 1)]
+    assert sorted((r.turn, r.reply_to, r.by) for r in q.replies(messages, linked).collect()) == [(0, None, None), (1, 0, "turn"), (2, 0, "quote"), (3, 2, "quote"), (4, 1, "quote")]
+    chat = q.conversations(df).first().chat
+    assert "> ls -l\n> cd /tmp" in chat and "wraps\n>" not in chat
 
-def test_lone_and_repeated_turns(spark):
+
+def test_lone_and_repeated_turns(spark, monkeypatch):
+    monkeypatch.setattr(q, "BLOCK", 64)
     lone = [(None, 3, "user", "one"), (None, 3, "user", "two"), (None, 3, None, "two"), (8, None, "user", "x"), (8, None, "user", "y"), (None, None, "user", "z"), (None, None, "user", "z2")]
-    many = [(9, 5, "user", f"{i:03} says") for i in range(150)] + [(9, 6, "user", "last")]
-    got = sorted((tuple(r) for r in q.conversations(spark.createDataFrame(lone + many, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    many = [(9, 5, "user", f"{i:03} says") for i in range(150)] + [(9, 70, "user", "last")]
     chats = [f"<|user|>\n{x}" for _, _, _, x in many]
     want = [(c, t, None if t is None else 0, 1, 0, f"<|{r or 'unknown'}|>\n{x}") for c, t, r, x in lone]
     want += [(9, 5, b, len(part), 0, "\n".join(part)) for b, part in enumerate([chats[:64], chats[64:128], chats[128:]])]
-    assert got == sorted(want, key=str)
+    assert run(spark, lone + many) == sorted(want, key=str)
+
+
+def test_reading_order():
+    assert q.reading_order(np.array([-1, 0, 0, 1, 2, 1])).tolist() == [0, 1, 4, 2, 5, 3]
