@@ -32,6 +32,28 @@ def edge_gap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Col
     return F.sqrt(dx * dx + dy * dy)
 
 
+def box_corners(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Array of the corners (x, y) of a box in pixels: top left, top right, bottom right, bottom left."""
+    at = ((x, y), (x + width, y), (x + width, y + height), (x, y + height))
+    return F.array(*(F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in at))
+
+
+def advance(x0: Column, x1: Column, bearing: int) -> tuple[Column, Column]:
+    """(advance width, shift) of an outline between x0 and x1 with bearing on both sides."""
+    return F.bround(x1 - x0 + 2 * bearing).cast("int"), bearing - x0
+
+
+def font_lines(canvas: int, baseline: float) -> tuple[int, int]:
+    """(ascender, descender) of a canvas whose baseline lies at a share of its height: together they are the canvas."""
+    up = round(canvas * baseline)
+    return up, up - canvas
+
+
+def upwards(points: Column, ascender: int, shift: Column) -> Column:
+    """Canvas points (x, y down) as font points (x shifted, y up from the baseline)."""
+    return F.transform(points, lambda p: F.struct((p["x"] + shift).alias("x"), (ascender - p["y"]).alias("y")))
+
+
 def grid_cell(index: Column, columns: int, rows: int) -> tuple[Column, Column, Column]:
     """(page from 1, row, column) of the index-th cell in reading order."""
     return (F.floor(index / (columns * rows)) + 1).cast("int"), F.floor(F.pmod(index, F.lit(columns * rows)) / columns).cast("int"), F.pmod(index, F.lit(columns)).cast("int")

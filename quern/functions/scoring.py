@@ -12,6 +12,8 @@ FEW_PIXELS, NOISE = "Insufficient foreground pixels", "Excessive noise"
 EMPTY, SMALL = "Empty glyph", "Glyph is extremely small"
 BOUNDARY = "Glyph touches the crop boundary and may be cut off"
 STROKES = "Unexpected number of disconnected strokes"
+#: Fixed: pixels from a crop's edge that count as touching it; characters that may be one stroke or two (all others: one).
+BOUNDARY_MARGIN, TWO_STROKES = 2, ("i", "j", ":", ";", '"')
 
 
 def ramp(v: Column, fail: float, ideal: float) -> Column:
@@ -43,6 +45,22 @@ def boundary_check(touches: Column) -> Column:
     return check(F.when(touches, BOUNDARY_SCORE).otherwise(1.0), F.when(touches, BOUNDARY))
 
 
+def touches_edge(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, margin: int = BOUNDARY_MARGIN) -> Column:
+    """Whether an ink box (half-open) reaches within margin of its crop's edges; a crop without ink touches none."""
+    return F.coalesce((x0 <= margin) | (y0 <= margin) | (x1 >= width - margin) | (y1 >= height - margin), F.lit(False))
+
+
+def expected_strokes(character: Column) -> tuple[Column, Column]:
+    """(fewest, most) strokes of a well-written character."""
+    return F.lit(1), F.when(character.isin(*TWO_STROKES), 2).otherwise(1)
+
+
+def inlier_mean(error: Column, inlier: Column, least: int, share: float) -> Column:
+    """An aggregate: the mean error of inliers, or of all where they are fewer than least or than share of all."""
+    enough = F.count_if(inlier) >= F.greatest(F.lit(float(least)), F.bround(F.count("*") * share))
+    return F.when(enough, F.avg(F.when(inlier, error))).otherwise(F.avg(error))
+
+
 def stroke_check(count: Column, low: Column, high: Column) -> Column:
     away = F.when(count < low, low - count).when(count > high, count - high).otherwise(0)
     return check(F.greatest(F.lit(0.0), 1 - STROKE_PENALTY * away), F.when(away > 0, F.when(count == 0, EMPTY).otherwise(STROKES)))

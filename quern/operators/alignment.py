@@ -88,8 +88,7 @@ def homographies(points: DataFrame) -> DataFrame:
     good = _with_error(points, best).filter(F.col("error") <= INLIER).select(*points.columns)
     final = _fits(good, ["image"])
     inlier = F.col("error") <= INLIER
-    enough = F.count_if(inlier) >= F.greatest(F.lit(float(LEAST)), F.bround(F.count("*") * SHARE))
-    error = F.when(enough, F.avg(F.when(inlier, F.col("error")))).otherwise(F.avg("error"))
+    error = scoring.inlier_mean(F.col("error"), inlier, LEAST, SHARE)
     return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.count_if(inlier).alias("n_inliers"), error.alias("error")).filter("h is not null")
 
 

@@ -62,7 +62,7 @@ def rewritten(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
 def to_rewrite(specs: DataFrame, validations: DataFrame) -> DataFrame:
     """job_id, ord, character_id: the job's invalid characters in canonical order."""
     bad = validations.filter("not valid").select("job_id", "character_id").distinct()
-    return bad.join(F.broadcast(specs.select("ord", "character_id")), "character_id").select("job_id", "ord", "character_id")
+    return bad.join(specs.select("ord", "character_id"), "character_id").select("job_id", "ord", "character_id")
 
 
 def excluded(validations: DataFrame, out: DataFrame) -> DataFrame:
@@ -72,9 +72,20 @@ def excluded(validations: DataFrame, out: DataFrame) -> DataFrame:
     return marked.withColumns({"valid": F.col("valid") & ~gone, "warnings": F.when(gone, F.array(F.lit(EXCLUDED))).otherwise(F.col("warnings"))}).drop("_out").select(*validations.columns)
 
 
+def only_valid(glyphs: DataFrame, validations: DataFrame) -> DataFrame:
+    """The glyphs (job_id, character_id, ...) that are valid in their job."""
+    return glyphs.join(validations.filter("valid").select("job_id", "character_id"), ["job_id", "character_id"], "left_semi").select(*glyphs.columns)
+
+
+def toggled(rows: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of rows without those that marks also holds, and with those that only marks holds: a set toggle for any number of sets."""
+    both = rows.select(*key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(marks.select(*key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    return both.groupBy(*key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).filter("_a <> _b").select(*key)
+
+
 def unknown_ids(out: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows of out whose character isn't in the set: a request with any of them must be turned down whole."""
-    return out.join(F.broadcast(specs.select("character_id")), "character_id", "left_anti")
+    return out.join(specs.select("character_id"), "character_id", "left_anti")
 
 
 def event_log(rows: DataFrame, event: str, ts: str, fields: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -74,28 +75,41 @@ def outlines(runs: DataFrame) -> DataFrame:
     """glyph, d, subpaths, x0, y0, x1, y1: SVG path data (even-odd) of glyph runs, and its bounds."""
     c = corners(runs)
     kind = c.select("glyph").schema["glyph"].dataType.simpleString()
+    # A glyph's corners as one row: many glyphs are walked in one call.
+    glyphs = c.groupBy("glyph").agg(F.collect_list(F.struct(*(F.col(n).cast("long").alias(n) for n in "xyhv"))).alias("c"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+    def walk(x, y, h, v) -> list[str]:
         mates = []
-        for line, number in (("y", "h"), ("x", "v")):
-            order = np.lexsort((pdf[number].to_numpy(), pdf[line].to_numpy()))
+        for line, number in ((y, h), (x, v)):
+            order = np.lexsort((number, line))
             mate = np.empty(len(order), np.int64)
             mate[order[0::2]], mate[order[1::2]] = order[1::2], order[0::2]
-            mates.append(mate)
-        seen, paths = np.zeros(len(x), bool), []
-        for start in np.lexsort((x, y)):
+            mates.append(mate.tolist())
+        names, seen, paths = [f"{a} {b}" for a, b in zip(x.tolist(), y.tolist())], [False] * len(x), []
+        for start in np.lexsort((x, y)).tolist():
             if seen[start]:
                 continue
             loop, at, along = [], start, 0
             while not (seen[at] and along == 0):
                 seen[at] = True
-                loop.append(f"{x[at]} {y[at]}")
+                loop.append(names[at])
                 at, along = mates[along][at], 1 - along
             paths.append("M " + " L ".join(loop) + " Z")
-        return pd.DataFrame({"glyph": [pdf["glyph"].iloc[0]], "d": [" ".join(paths)], "subpaths": [len(paths)], "x0": [x.min()], "y0": [y.min()], "x1": [x.max()], "y1": [y.max()]})
+        return paths
 
-    return c.groupBy("glyph").applyInPandas(walk, f"glyph {kind}, d string, subpaths long, x0 long, y0 long, x1 long, y1 long")
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("c")
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = [lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in "xyhv"]
+            paths = [walk(*(f[a:b] for f in flat)) for a, b in zip(cuts, cuts[1:])]
+            bounds = [f(flat[i][a:b]) for i, f in ((0, np.min), (1, np.min), (0, np.max), (1, np.max)) for a, b in zip(cuts, cuts[1:])]
+            box = np.array(bounds, dtype=np.int64).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("glyph"), pa.array([" ".join(p) for p in paths]), pa.array([len(p) for p in paths], pa.int64()), *map(pa.array, box)], ["glyph", "d", "subpaths", "x0", "y0", "x1", "y1"])
+
+    return glyphs.mapInArrow(run, f"glyph {kind}, d string, subpaths long, x0 long, y0 long, x1 long, y1 long")
 
 
 def svg(d: Column, side: int = CANVAS) -> Column:
@@ -131,17 +145,29 @@ def png(gray: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def glyph_pngs(runs: DataFrame, side: int = CANVAS) -> DataFrame:
-    """glyph, png: each glyph's runs drawn with ink 255 on a square canvas."""
-    kind = runs.select("glyph").schema["glyph"].dataType.simpleString()
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((side, side), np.uint8)
-        for y, x0, x1 in pdf[["y", "x0", "x1"]].itertuples(index=False):
-            a[y, x0:x1] = 255
-        return pd.DataFrame({"glyph": [pdf["glyph"].iloc[0]], "png": [png(a)]})
+def glyph_pngs(runs: DataFrame, side: int = CANVAS, sizes: DataFrame | None = None) -> DataFrame:
+    """glyph, png: each glyph's runs drawn with ink 255 on a canvas of side, or of its own width and height in sizes (glyph, width, height).
 
-    return runs.groupBy("glyph").applyInPandas(draw, f"glyph {kind}, png binary")
+    Ink beyond the canvas isn't drawn; with sizes, a glyph without ink is an empty canvas.
+    """
+    kind = runs.select("glyph").schema["glyph"].dataType.simpleString()
+    drawn = runs.groupBy("glyph").agg(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")))).alias("r"))
+    if sizes is None:
+        drawn = drawn.withColumns({"width": F.lit(side), "height": F.lit(side)})
+    else:
+        drawn = sizes.select("glyph", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).join(drawn, "glyph", "left")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                a = np.zeros((row["height"], row["width"]), np.uint8)
+                for r in row["r"] or ():
+                    if 0 <= r["y"] < row["height"]:
+                        a[r["y"], max(0, r["x0"]) : max(0, r["x1"])] = 255
+                yield pa.RecordBatch.from_arrays([batch.column("glyph").slice(i, 1), pa.array([png(a)], pa.binary())], ["glyph", "png"])
+
+    return drawn.select("glyph", "width", "height", "r").mapInArrow(run, f"glyph {kind}, png binary")
 
 
 def packages(members: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def matched_by_position(left: DataFrame, right: DataFrame, key: list[str], left_
     return a.join(b, [*key, "_i", "_n"]).withColumnRenamed("_i", "position").drop("_n")
 
 
+def position_counts(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """key, found, expected, matches: how many rows of either side a key has, and whether they can be matched by position."""
+    both = left.groupBy(*key).agg(F.count("*").alias("found")).join(right.groupBy(*key).agg(F.count("*").alias("expected")), key, "full")
+    return both.fillna(0, ["found", "expected"]).withColumn("matches", F.col("found") == F.col("expected"))
+
+
+def row_gaps(df: DataFrame, page: list[str], height: str, share: float) -> DataFrame:
+    """page, gap: the vertical step that starts a new row, a share of the page's median height."""
+    return df.groupBy(*page).agg((share * F.median(height)).alias("gap"))
+
+
 def near_largest(df: DataFrame, key: list[str], value: str, ratio: float) -> DataFrame:
     """Rows of at least ratio times their key's largest value: an aggregate and a join, so that a hot key can be split."""
     top = df.groupBy(*key).agg(F.max(value).alias("_top"))

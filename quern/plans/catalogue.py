@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import geometry, scoring, text
-from quern.operators import gaps, ranking
+from quern.operators import extraction, gaps, jobs, ranking, raster, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,48 +125,49 @@ def row_cluster_reading_order(spark, d):
     return ranking.clustered_rows(rows, ["user_id"], "value", "event_id", 0.02 * C("m"), "event_id").select("user_id", "event_id", "row_id", "reading_order")
 
 
-MATCH = """WITH s AS (SELECT s_suppkey, s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
-c AS (SELECT c_custkey, c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 15 = 0)"""
+MATCH = """WITH s AS (SELECT o_orderkey, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+c AS (SELECT event_id, user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
 
 
 def _sides(spark, d):
-    left = read(spark, d, "supplier").select("s_suppkey", C("s_nationkey").alias("k"), "s_acctbal")
-    return left, read(spark, d, "customer").filter("c_custkey % 15 = 0").select("c_custkey", C("c_nationkey").alias("k"))
+    left = read(spark, d, "orders").select("o_orderkey", C("o_custkey").alias("k"), "o_totalprice")
+    return left, read(spark, d, "events").select("event_id", C("user_id").alias("k"))
 
 
-@query(MATCH + " SELECT k, i AS position, s_suppkey, c_custkey FROM s JOIN c USING (k, i, n)")
+@query(MATCH + " SELECT k, i AS position, o_orderkey, event_id FROM s JOIN c USING (k, i, n)")
 def positional_match(spark, d):
-    return ranking.matched_by_position(*_sides(spark, d), ["k"], ["s_acctbal", "s_suppkey"], ["c_custkey"]).select("k", "position", "s_suppkey", "c_custkey")
+    return ranking.matched_by_position(*_sides(spark, d), ["k"], ["o_totalprice", "o_orderkey"], ["event_id"]).select("k", "position", "o_orderkey", "event_id")
 
 
-@query("WITH s AS (SELECT s_nationkey AS k, count(*) AS found FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS k, count(*) AS expected FROM customer WHERE c_custkey % 15 = 0 GROUP BY 1) SELECT k, coalesce(found, 0) AS found, coalesce(expected, 0) AS expected, coalesce(found, 0) = coalesce(expected, 0) AS matches FROM s FULL JOIN c USING (k)")
+@query("WITH s AS (SELECT o_custkey AS k, count(*) AS found FROM orders GROUP BY 1), c AS (SELECT user_id AS k, count(*) AS expected FROM events GROUP BY 1) SELECT k, coalesce(found, 0) AS found, coalesce(expected, 0) AS expected, coalesce(found, 0) = coalesce(expected, 0) AS matches FROM s FULL JOIN c USING (k)")
 def positional_match_guard(spark, d):
-    a, b = _sides(spark, d)
-    both = a.groupBy("k").agg(F.count("*").alias("found")).join(b.groupBy("k").agg(F.count("*").alias("expected")), "k", "full")
-    both = both.fillna(0, ["found", "expected"])
-    return both.withColumn("matches", C("found") == C("expected"))
+    return ranking.position_counts(*_sides(spark, d), ["k"])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
 def semi_valid_only(spark, d):
-    return read(spark, d, "part").join(read(spark, d, "lineitem").filter("l_quantity >= 50"), C("p_partkey") == C("l_partkey"), "left_semi").select("p_partkey", "p_name")
+    parts = read(spark, d, "part").select(F.lit(0).alias("job_id"), C("p_partkey").alias("character_id"), "p_name")
+    verdicts = read(spark, d, "lineitem").select(F.lit(0).alias("job_id"), C("l_partkey").alias("character_id"), (C("l_quantity") >= 50).alias("valid"))
+    return jobs.only_valid(parts, verdicts).select(C("character_id").alias("p_partkey"), "p_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def anti_unknown_ids(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders").filter("o_totalprice > 450000"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
+    known = read(spark, d, "orders").filter("o_totalprice > 450000").select(C("o_custkey").alias("character_id"))
+    return jobs.unknown_ids(read(spark, d, "customer").select(C("c_custkey").alias("character_id")), known).select(C("character_id").alias("c_custkey"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 3 END, 1) AS high FROM orders")
+@query("""SELECT c_custkey, CASE WHEN substr(c_name, 1 + (c_custkey % 10)::int, 1) IN ('i', 'j', ':', ';', '"') THEN 2 ELSE 1 END AS most FROM customer""")
 def lookup_with_default(spark, d):
-    ranges = F.create_map(F.lit("F"), F.lit(2), F.lit("O"), F.lit(3))
-    return read(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(ranges, C("o_orderstatus")), F.lit(1)).alias("high"))
+    _, most = scoring.expected_strokes(F.substr("c_name", (1 + C("c_custkey") % 10).cast("int"), F.lit(1)))
+    return read(spark, d, "customer").select("c_custkey", most.alias("most"))
 
 
 @query("SELECT l.doc_id, CASE WHEN x.doc_id IS NOT NULL THEN 0 ELSE quality END AS quality FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE n_chars < 500) x USING (doc_id)")
 def force_override(spark, d):
-    out = read(spark, d, "documents").filter("n_chars < 500").select("doc_id").distinct().withColumn("_out", F.lit(True))
-    return read(spark, d, "labels").join(out, "doc_id", "left").select("doc_id", F.when(C("_out"), 0).otherwise(C("quality")).alias("quality"))
+    verdicts = read(spark, d, "labels").select(F.lit(0).alias("job_id"), C("doc_id").alias("character_id"), (C("quality") == 1).alias("valid"), F.array().cast("array<string>").alias("warnings"))
+    out = read(spark, d, "documents").filter("n_chars < 500").select(F.lit(0).alias("job_id"), C("doc_id").alias("character_id"))
+    return jobs.excluded(verdicts, out).select(C("character_id").alias("doc_id"), C("valid").cast("int").alias("quality"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
@@ -188,14 +189,14 @@ def relative_max_filter(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT (l_quantity * 20 <= 10 OR l_extendedprice / 100 <= 10 OR l_quantity * 20 + 15 >= 1000 - 10 OR l_extendedprice / 100 + 15 >= 1000 - 10)")
 def border_filter(spark, d):
-    x, y = C("l_quantity") * 20, C("l_extendedprice") / 100
-    touches = (x <= 10) | (y <= 10) | (x + 15 >= 1000 - 10) | (y + 15 >= 1000 - 10)
-    return read(spark, d, "lineitem").filter(~touches).select("l_orderkey", "l_linenumber", "l_partkey")
+    boxes = read(spark, d, "lineitem").withColumns({"x": C("l_quantity") * 20, "y": C("l_extendedprice") / 100, "w": F.lit(15), "h": F.lit(15), "width": F.lit(1000), "height": F.lit(1000)})
+    return raster.away_from_border(boxes).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT l_partkey, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity) + 1 AS x1, max(l_extendedprice) + 1 AS y1, count(*) AS area FROM lineitem GROUP BY 1")
 def bbox_aggregate(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_quantity").alias("x0"), F.min("l_extendedprice").alias("y0"), (F.max("l_quantity") + 1).alias("x1"), (F.max("l_extendedprice") + 1).alias("y1"), F.count("*").alias("area"))
+    runs = read(spark, d, "lineitem").select(C("l_partkey").alias("image"), C("l_extendedprice").alias("y"), C("l_quantity").alias("x0"), (C("l_quantity") + 1).alias("x1"))
+    return raster.measures(runs).select(C("image").alias("l_partkey"), "x0", "y0", "x1", "y1", C("ink").cast("long").alias("area"))
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 2) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 50")
@@ -229,20 +230,17 @@ def otsu_binarize(spark, d):
 
 @query("SELECT event_type, round(1.4::double * median(value), 6) AS gap FROM events GROUP BY 1")
 def median_threshold(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(r6(1.4 * F.median("value")).alias("gap"))
+    return ranking.row_gaps(read(spark, d, "events"), ["event_type"], "value", 1.4).withColumn("gap", r6(C("gap")))
 
 
 @query("SELECT l_orderkey, round(CASE WHEN count(*) FILTER (l_discount <= 0.05) >= greatest(4, round_even(count(*) * 0.5::double, 0)) THEN avg(l_quantity) FILTER (l_discount <= 0.05) ELSE avg(l_quantity) END, 6) AS error FROM lineitem GROUP BY 1")
 def inlier_mean_with_fallback(spark, d):
-    inlier = C("l_discount") <= 0.05
-    enough = F.count_if(inlier) >= F.greatest(F.lit(4.0), F.bround(F.count("*") * 0.5))
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(F.when(enough, F.avg(F.when(inlier, C("l_quantity")))).otherwise(F.avg("l_quantity"))).alias("error"))
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(scoring.inlier_mean(C("l_quantity"), C("l_discount") <= 0.05, 4, 0.5)).alias("error"))
 
 
 @query("SELECT s_nationkey, arg_min(s_suppkey, {v: round(s_acctbal + s_suppkey, 2), k: s_suppkey}) AS tl, arg_max(s_suppkey, {v: round(s_acctbal + s_suppkey, 2), k: -s_suppkey}) AS br, arg_min(s_suppkey, {v: round(s_acctbal - s_suppkey, 2), k: s_suppkey}) AS tr, arg_max(s_suppkey, {v: round(s_acctbal - s_suppkey, 2), k: -s_suppkey}) AS bl FROM supplier GROUP BY 1")
 def order_points_extremes(spark, d):
-    k, plus, minus = C("s_suppkey"), F.round(C("s_acctbal") + C("s_suppkey"), 2), F.round(C("s_acctbal") - C("s_suppkey"), 2)
-    return read(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by(k, F.struct(plus, k)).alias("tl"), F.max_by(k, F.struct(plus, -k)).alias("br"), F.min_by(k, F.struct(minus, k)).alias("tr"), F.max_by(k, F.struct(minus, -k)).alias("bl"))
+    return extraction.ordered_corners(read(spark, d, "supplier"), ["s_nationkey"], C("s_suppkey"), C("s_acctbal"), C("s_suppkey"))
 
 
 @query("SELECT p_partkey, (p_partkey // 56 + 1)::int AS page, (p_partkey % 56 // 7)::int AS row, (p_partkey % 7)::int AS col, 42.0::double + (p_partkey % 7) * 62 AS x, 725.0::double - (p_partkey % 56 // 7) * 72 AS y FROM part")
@@ -272,7 +270,9 @@ def fit_scale_place(spark, d):
 
 @query("SELECT l_partkey, round_even(max(l_quantity) - min(l_quantity) + 80, 0)::int AS advance, 40 - min(l_quantity) AS shift FROM lineitem GROUP BY 1")
 def advance_width(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.bround(F.max("l_quantity") - F.min("l_quantity") + 80).cast("int").alias("advance"), (40 - F.min("l_quantity")).alias("shift"))
+    wide, shift = geometry.advance(C("x0"), C("x1"), 40)
+    bounds = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_quantity").alias("x0"), F.max("l_quantity").alias("x1"))
+    return bounds.select("l_partkey", wide.alias("advance"), shift.alias("shift"))
 
 
 @query("""WITH c AS (SELECT p_partkey, p_name[1:1] AS c FROM part), k AS (SELECT *, CASE WHEN regexp_matches(c, '^[A-Z]$') THEN 'uppercase' WHEN regexp_matches(c, '^[a-z]$') THEN 'lowercase' WHEN regexp_matches(c, '^[0-9]$') THEN 'digit' ELSE 'punctuation' END AS kind FROM c)
@@ -302,10 +302,9 @@ def id_regex_gate(spark, d):
     return read(spark, d, "customer").select("c_custkey", text.is_job_id(F.md5("c_name")).alias("job"), text.is_template_id(C("c_name")).alias("template"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars > 15000 THEN 'too large' WHEN n_chars = 0 THEN 'empty' WHEN source NOT IN ('src0', 'src1', 'src2') THEN 'type' END AS rejected, printf('%.1f', n_chars / 1048576.0::double) AS mb FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars > 15000 THEN 'too large (' || printf('%.1f', n_chars / 1048576.0::double) || ' MB of 0 MB)' WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN source NOT IN ('src0', 'src1', 'src2') THEN 'type' END AS rejected FROM documents")
 def mime_size_gate(spark, d):
-    reason = F.when(C("n_chars") > 15000, "too large").when(C("n_chars") == 0, "empty").when(~C("source").isin("src0", "src1", "src2"), "type")
-    return read(spark, d, "documents").select("doc_id", reason.alias("rejected"), text.megabytes(C("n_chars")).alias("mb"))
+    return read(spark, d, "documents").select("doc_id", uploads.rejection(C("n_chars"), C("source").isin("src0", "src1", "src2"), 15000).alias("rejected"))
 
 
 @query("SELECT o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') AS orders, count(*) AS n FROM orders GROUP BY 1")
@@ -319,27 +318,24 @@ def nested_document_explode(spark, d):
     return nested.select("o_custkey", F.inline("elements"))
 
 
-@query("SELECT toxic, coalesce(array_to_string(list_sort(list(doc_id) FILTER (quality = 1)), ','), '') AS valid_ids, coalesce(array_to_string(list_sort(list(doc_id) FILTER (quality = 0)), ','), '') AS invalid_ids FROM labels GROUP BY 1")
+@query("SELECT toxic, doc_id // 4096 AS block, coalesce(array_to_string(list_sort(list(doc_id) FILTER (quality = 1)), ','), '') AS valid_ids, coalesce(array_to_string(list_sort(list(doc_id) FILTER (quality = 0)), ','), '') AS invalid_ids FROM labels GROUP BY 1, 2")
 def sorted_id_lists(spark, d):
     def ids(q):
         return F.array_join(F.array_sort(F.collect_list(F.when(C("quality") == q, C("doc_id")))).cast("array<string>"), ",")
 
-    return read(spark, d, "labels").groupBy("toxic").agg(ids(1).alias("valid_ids"), ids(0).alias("invalid_ids"))
+    # A list holds a range of ids, so that none grows with the table.
+    return read(spark, d, "labels").groupBy("toxic", F.expr("doc_id div 4096").alias("block")).agg(ids(1).alias("valid_ids"), ids(0).alias("invalid_ids"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.family'), 'Default') AS family FROM events")
 def json_extract_default(spark, d):
-    def of(key, default):
-        return F.coalesce(F.get_json_object("props", f"$.{key}"), F.lit(default))
-
-    return read(spark, d, "events").select("event_id", of("k", "none").alias("k"), of("family", "Default").alias("family"))
+    return read(spark, d, "events").select("event_id", text.json_field(C("props"), "k", "none").alias("k"), text.json_field(C("props"), "family", "Default").alias("family"))
 
 
 @query("SELECT toxic, (count(*) FILTER (quality = 1)) || ' of ' || count(*) || ' requested characters' AS coverage, CASE WHEN count(*) FILTER (quality = 0) > 0 THEN (count(*) FILTER (quality = 0)) || ' character(s) need a clearer rewrite and were left out of this font.' ELSE 'Every requested character was included.' END AS note FROM labels GROUP BY 1")
 def readme_coverage_text(spark, d):
     good, bad = F.count_if(C("quality") == 1), F.count_if(C("quality") == 0)
-    note = F.when(bad > 0, F.concat(bad, F.lit(" character(s) need a clearer rewrite and were left out of this font."))).otherwise("Every requested character was included.")
-    return read(spark, d, "labels").groupBy("toxic").agg(F.concat(good, F.lit(" of "), F.count("*"), F.lit(" requested characters")).alias("coverage"), note.alias("note"))
+    return read(spark, d, "labels").groupBy("toxic").agg(text.coverage(good, F.count("*")).alias("coverage"), text.coverage_note(bad).alias("note"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
@@ -347,9 +343,7 @@ def early_top1(spark, d):
     return read(spark, d, "orders").filter("o_orderstatus = 'F'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
 
 
-@query("WITH s AS (SELECT toxic, list_sort(list(doc_id)) AS ids FROM labels WHERE doc_id < 100 GROUP BY 1) SELECT toxic, array_to_string(CASE WHEN list_contains(ids, 7) THEN list_filter(ids, lambda x: x <> 7) ELSE list_append(ids, 7) END, ',') AS ids FROM s")
+@query("WITH a AS (SELECT DISTINCT toxic, doc_id FROM labels), b AS (SELECT DISTINCT 0 AS toxic, doc_id FROM documents WHERE lang = 'de') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def set_toggle(spark, d):
-    ids, x = C("ids"), F.lit(7).cast("long")
-    sets = read(spark, d, "labels").filter("doc_id < 100").groupBy("toxic").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    toggled = F.when(F.array_contains(ids, x), F.array_remove(ids, x)).otherwise(F.array_append(ids, x))
-    return sets.select("toxic", F.array_join(toggled.cast("array<string>"), ",").alias("ids"))
+    marks = read(spark, d, "documents").filter("lang = 'de'").select(F.lit(0).alias("toxic"), "doc_id")
+    return jobs.toggled(read(spark, d, "labels"), marks, ["toxic", "doc_id"])

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from quern.operators import alignment, jobs, outlines, raster, template
+from quern.operators import alignment, extraction, jobs, outlines, packaging, raster, template, uploads, validation
 from quern.plans.catalogue import r6, read
 from quern.streaming import status
 
@@ -116,12 +117,12 @@ def raster_normalised(spark, d):
 
 @query()
 def page_homographies(spark, d):
-    """Each nation's suppliers as a page of points, seen through a fixed projection, some far off."""
+    """Each 16 suppliers as a page of points, seen through a fixed projection, some far off."""
     s = read(spark, d, "supplier").filter("s_suppkey is not null and s_acctbal is not null")
     x, y = C("s_acctbal") / 10, (C("s_suppkey") * 37 % 1000).cast("double")
     far = F.when(C("s_suppkey") % 10 == 0, 80.0).otherwise(0.0)
     u, v = (1.1 * x + 0.05 * y + 12) / (1 + 1e-5 * x), (0.95 * y - 0.02 * x + 7) / (1 + 1e-5 * x)
-    points = s.select(C("s_nationkey").alias("image"), (C("s_suppkey") / 4).cast("int").alias("marker_id"), (C("s_suppkey") % 4).alias("corner"), x.alias("x"), y.alias("y"), (u + far).alias("u"), v.alias("v"))
+    points = s.select(F.expr("s_suppkey div 16").alias("image"), (C("s_suppkey") / 4).cast("int").alias("marker_id"), (C("s_suppkey") % 4).alias("corner"), x.alias("x"), y.alias("y"), (u + far).alias("u"), v.alias("v"))
     return alignment.homographies(points).select("image", "n_points", "n_inliers", F.round("error", 3).alias("error"))
 
 
@@ -232,3 +233,109 @@ def stream_latest_states(spark, d):
 @query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, {STATE_SQL} AS state, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, d):
     return status.event_counts(_changes(spark, d), "ts", "state").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+TRAPEZOID = "CASE WHEN {v} <= {a} OR {v} >= {d} THEN 0.0::double WHEN {v} < {b} THEN ({v} - {a}) / ({b} - {a}) WHEN {v} > {c} THEN ({d} - {v}) / ({d} - {c}) ELSE 1.0::double END".format(v="(ink / 64.0::double)", a=0.005, b=0.02, c=0.35, d=0.6)
+
+
+@query(f"""WITH {PARTS}, m AS (SELECT image, sum(x1 - x0) AS ink, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) + 1 AS y1, count(DISTINCT component) AS n FROM parts GROUP BY 1),
+gl AS (SELECT e.vec_id AS glyph, substr('ij:;AbC9', 1 + (label % 8)::int, 1) AS character, coalesce(ink, 0) AS ink, x0, y0, x1, y1, coalesce(n, 0) AS n FROM embeddings e LEFT JOIN m ON m.image = e.vec_id),
+k AS (SELECT *, {TRAPEZOID} AS s1, least(x1 - x0, y1 - y0) AS side, coalesce(x0 <= 2 OR y0 <= 2 OR x1 >= 6 OR y1 >= 6, false) AS touch, CASE WHEN character IN ('i', 'j', ':', ';') THEN 2 ELSE 1 END AS most FROM gl),
+t AS (SELECT *, coalesce(CASE WHEN side <= 6 THEN 0.0::double WHEN side >= 14 THEN 1.0::double ELSE (side - 6) / 8.0::double END, 0) AS s2, CASE WHEN touch THEN 0.5::double ELSE 1.0::double END AS s3,
+  greatest(0, 1 - 0.35::double * CASE WHEN n < 1 THEN 1 - n WHEN n > most THEN n - most ELSE 0 END) AS s4 FROM k),
+w AS (SELECT glyph, character, round(s1 * s2 * s3 * s4, 4) AS confidence, list_filter([CASE WHEN s1 < 0.85 THEN CASE WHEN ink / 64.0::double < 0.02 THEN 'Insufficient foreground pixels' ELSE 'Excessive noise' END END,
+  CASE WHEN s2 < 0.85 THEN CASE WHEN side IS NULL THEN 'Empty glyph' ELSE 'Glyph is extremely small' END END, CASE WHEN s3 < 0.85 THEN 'Glyph touches the crop boundary and may be cut off' END,
+  CASE WHEN s4 < 0.85 THEN CASE WHEN n = 0 THEN 'Empty glyph' ELSE 'Unexpected number of disconnected strokes' END END], lambda x: x IS NOT NULL) AS ws FROM t)
+SELECT glyph, character, confidence, confidence >= 0.5 AND len(ws) = 0 AS valid, CASE WHEN len(ws) = 0 AND confidence < 0.5 THEN 'Overall confidence too low (' || printf('%.2f', confidence) || ')' ELSE array_to_string(ws, '; ') END AS warnings FROM w""")
+def raster_validated(spark, d):
+    """Every vector as an 8 x 8 crop, validated from its runs."""
+    character = F.substr(F.lit("ij:;AbC9"), (1 + C("label") % 8).cast("int"), F.lit(1))
+    crops = read(spark, d, "embeddings").select(C("vec_id").alias("glyph"), character.alias("character"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit(None).cast("string").alias("error"))
+    return validation.validated(crops, _runs(spark, d).withColumnRenamed("image", "glyph")).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(f"WITH {PX} SELECT image, coalesce(min(x) FILTER (v > 150), min(x)) AS x0, coalesce(min(y) FILTER (v > 150), min(y)) AS y0, coalesce(max(x) FILTER (v > 150), max(x)) + 1 AS x1, coalesce(max(y) FILTER (v > 150), max(y)) + 1 AS y1 FROM px GROUP BY 1")
+def raster_content_box(spark, d):
+    return raster.content_box(_pixels(spark, d), 150)
+
+
+@query(f"""WITH {PX}, b AS (SELECT image, avg(v) AS brightness FROM px GROUP BY 1)
+SELECT image, image % 5 = 0 AS detected, CASE WHEN image % 5 <> 0 AND brightness < 126 THEN 'page not found' END AS failure, CASE WHEN image % 5 = 0 THEN 1.0::double WHEN brightness >= 126 THEN 0.0::double END AS left_x, CASE WHEN image % 5 = 0 THEN 6.0::double WHEN brightness >= 126 THEN 7.0::double END AS right_x FROM b""")
+def page_frames(spark, d):
+    """Corners found on every fifth page; bright others count as pages as a whole."""
+    images = _pixels(spark, d).groupBy("image").agg(F.avg("v").alias("brightness")).withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE)})
+    p = [F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")).alias(n) for n, x, y in (("tl", 1, 1), ("tr", 6, 1), ("br", 6, 6), ("bl", 1, 6))]
+    found = images.filter("image % 5 = 0").select("image", *p)
+    return raster.page_frames(images, found, 126.0).select("image", "detected", "failure", C("corners.tl.x").alias("left_x"), C("corners.br.x").alias("right_x"))
+
+
+@query(f"""WITH {ELEMENTS}, p AS (SELECT s_suppkey AS image, (1 + s_suppkey % 2)::int AS page, (300 + s_suppkey % 500)::int AS width, 900 AS height FROM supplier),
+b AS (SELECT image, p.page, e.id, p.width, p.height, e.x AS x, 841.8897637795277::double - (e.y + e.height) AS y FROM p JOIN e ON e.page = p.page),
+c AS (SELECT *, greatest(0, round_even(x, 0)::int - 10) AS x0, greatest(0, round_even(y, 0)::int - 10) AS y0, least(width, round_even(x + 52, 0)::int + 10) AS x1, least(height, round_even(y + 62, 0)::int + 10) AS y1 FROM b)
+SELECT image, page, id AS character_id, CASE WHEN ok THEN x0 ELSE 0 END AS x, CASE WHEN ok THEN y0 ELSE 0 END AS y, CASE WHEN ok THEN x1 - x0 ELSE 0 END AS width, CASE WHEN ok THEN y1 - y0 ELSE 0 END AS height, CASE WHEN NOT ok THEN 'window of ' || id || ' is outside the page' END AS error FROM (SELECT *, x1 > x0 AND y1 > y0 AS ok FROM c)""")
+def page_windows(spark, d):
+    """Suppliers as pages, some too narrow for the template: every box of every page."""
+    pages = read(spark, d, "supplier").select(C("s_suppkey").alias("image"), (1 + C("s_suppkey") % 2).cast("int").alias("page"), (300 + C("s_suppkey") % 500).cast("int").alias("width"), F.lit(900).alias("height"), F.lit(None).cast("array<double>").alias("h"))
+    return extraction.windows(pages, template.elements(template.characters(spark)), template.PAGE_HEIGHT, 72.0).drop("character")
+
+
+@query(f"WITH {ELEMENTS} SELECT l_orderkey, l_linenumber, l_partkey, id AS character_id, character, category FROM lineitem JOIN e ON ord = l_partkey % 76")
+def glyph_specs(spark, d):
+    """Line items as glyphs of known ids: each with its character; an unknown id would stop the job."""
+    specs = template.characters(spark)
+    names = F.lit([r.character_id for r in specs.orderBy("ord").collect()])  # the character set
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.get(names, (C("l_partkey") % 76).cast("int")).alias("character_id"))
+    return extraction.with_specs(rows, specs).drop("unicode")
+
+
+@query(f"WITH {ELEMENTS} SELECT p_partkey, ord, id AS character_id FROM part JOIN e ON ord = p_partkey % 80")
+def glyph_files(spark, d):
+    """Parts as stored glyph files, of which some have names outside the character set."""
+    specs = template.characters(spark)
+    names = F.lit([r.character_id for r in specs.orderBy("ord").collect()])  # the character set
+    at = (C("p_partkey") % 80).cast("int")
+    files = read(spark, d, "part").select("p_partkey", F.concat(F.coalesce(F.get(names, at), F.lit("other")), F.lit(".png")).alias("name"))
+    found = extraction.stored_glyphs(files.select("name").distinct(), specs)
+    return files.join(found, "name").select("p_partkey", "ord", "character_id")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS image, count(*) AS found FROM lineitem GROUP BY 1), w AS (SELECT o_orderkey AS image, o_orderkey % 7 + 1 AS expected FROM orders)
+SELECT image, CASE WHEN coalesce(found, 0) = 0 THEN 'no handwriting found' ELSE 'found ' || found || ' characters, expected ' || expected END AS error FROM w LEFT JOIN f USING (image) WHERE coalesce(found, 0) <> expected""")
+def plain_page_failures(spark, d):
+    """Orders as plain pages whose line items are the marks; they should have o_orderkey % 7 + 1."""
+    return _plain(spark, d)[1]
+
+
+@query(f"""WITH {ELEMENTS}, f AS (SELECT l_orderkey AS image, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::int AS position, l_partkey FROM lineitem JOIN f ON image = l_orderkey WHERE n = l_orderkey % 7 + 1""")
+def plain_page_glyphs(spark, d):
+    return _plain(spark, d)[0].select("image", "position", "l_partkey")
+
+
+def _plain(spark, d):
+    specs = template.characters(spark)
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    marks = read(spark, d, "lineitem").select(C("l_orderkey").alias("image"), place.alias("position"), "l_partkey")
+    wanted = read(spark, d, "orders").select(C("o_orderkey").alias("image"), F.explode(F.sequence(F.lit(1), (C("o_orderkey") % 7 + 1).cast("int"))).alias("position"))
+    names = F.lit([r.character_id for r in specs.orderBy("ord").collect()])  # the character set
+    return extraction.matched_marks(marks, wanted.withColumn("character_id", F.get(names, C("position") - 1)), specs)
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, (o_totalprice * 100)::bigint AS b, CASE o_orderstatus WHEN 'F' THEN '.jpg' WHEN 'O' THEN '.png' END AS ext FROM orders),
+j AS (SELECT *, CASE WHEN b > 15728640 THEN 'too large (' || printf('%.1f', b / 1048576.0::double) || ' MB of 15 MB)' WHEN b = 0 THEN 'empty' WHEN ext IS NULL THEN 'type' END AS error FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, error IS NULL ORDER BY o_orderkey) AS r FROM j)
+SELECT o_custkey, o_orderkey, error, CASE WHEN error IS NULL THEN r::int END AS page, CASE WHEN error IS NULL THEN 'page_' || r || ext END AS page_name FROM n""")
+def uploads_judged(spark, d):
+    """Orders as uploads of their customer's job."""
+    kind = F.when(C("o_orderstatus") == "F", "image/jpeg").when(C("o_orderstatus") == "O", "image/png").otherwise("application/pdf")
+    files = read(spark, d, "orders").select("o_custkey", "o_orderkey", (C("o_totalprice") * 100).cast("long").alias("n_bytes"), kind.alias("content_type"), F.lit("x").alias("name"))
+    return uploads.judged(files, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "error", "page", "page_name")
+
+
+@query("""WITH v AS (SELECT doc_id // 50 AS job_id, doc_id::varchar AS id, quality = 1 AS valid FROM labels)
+SELECT job_id, count(*) FILTER (valid) AS glyph_count, coalesce(array_to_string(list_sort(list(DISTINCT id) FILTER (valid)), ','), '') AS valid_characters, coalesce(array_to_string(list_sort(list(DISTINCT id) FILTER (NOT valid)), ','), '') AS invalid_characters FROM (SELECT DISTINCT * FROM v) GROUP BY 1""")
+def package_metadata(spark, d):
+    verdicts = read(spark, d, "labels").select(F.expr("doc_id div 50").alias("job_id"), C("doc_id").cast("string").alias("character_id"), (C("quality") == 1).alias("valid"))
+    names = verdicts.select("job_id").distinct().withColumns({"family_name": F.lit("Hand"), "style_name": F.lit("Regular"), "version": F.lit("1.0"), "template_id": F.lit("template_v1")})
+    made = packaging.metadata(verdicts, names)
+    return made.select("job_id", "glyph_count", F.array_join("valid_characters", ",").alias("valid_characters"), F.array_join("invalid_characters", ",").alias("invalid_characters"))

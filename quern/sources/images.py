@@ -31,6 +31,35 @@ def uploads(spark: SparkSession, path: str, pattern: str = "page_*") -> DataFram
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"), "content", F.col("modificationTime").alias("modified"))
 
 
+def sorted_files(files: DataFrame) -> DataFrame:
+    """Files in the order of their names."""
+    return files.orderBy("name")
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines in a folder that records() reads; what was there is replaced."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_pages(accepted: DataFrame, path: str) -> None:
+    """Accepted uploads (job, page_name, content) as a table by job; page_name is the file each would have."""
+    accepted.filter("page_name is not null").write.mode("append").parquet(path)
+
+
+def settings(given: dict[str, str | None], defaults: dict[str, object]) -> dict[str, object]:
+    """defaults, replaced by what is given, in the type of the default; a list is given as comma-separated text."""
+
+    def read(name: str, value: object) -> object:
+        own = given.get(name)
+        if own is None:
+            return value
+        if isinstance(value, list):
+            return [p.strip() for p in own.split(",") if p.strip()]
+        return own.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, bool) else type(value)(own)
+
+    return {name: read(name, value) for name, value in defaults.items()}
+
+
 def templates(spark: SparkSession, path: str) -> DataFrame:
     """Template documents; a file that isn't one is skipped."""
     schema = T.StructType.fromDDL(TEMPLATE).add("_bad", "string")
