@@ -34,6 +34,14 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "snappy") -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing needs any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    for folder in {f.rpartition("/")[0] for f in files if "/quern-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labels(edges: DataFrame, key: list[str]) -> DataFrame:
     """key, node, component of every node of edges (key, a, b); component is the smallest node reachable inside the key.
 
@@ -53,7 +61,8 @@ def labels(edges: DataFrame, key: list[str]) -> DataFrame:
         # Every node and its smaller neighbours get the smallest of them.
         least = large.groupBy(*key, "b").agg(F.min("a").alias("m"))
         moved = large.join(least, [*key, "b"]).filter("a <> m").select(*key, F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = stored(moved.union(least.select(*key, F.col("m").alias("a"), "b")).filter("a < b").distinct())
+        old, edges = edges, stored(moved.union(least.select(*key, F.col("m").alias("a"), "b")).filter("a < b").distinct())
+        removed(old)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(*key, F.col("a").alias("node"), F.col("a").alias("component")).distinct()
