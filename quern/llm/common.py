@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.components import scratch
+from quern.operators.components import stored as materialise
+
+__all__ = ["chunks", "crc_mod", "fresh", "materialise", "scratch", "shuffle_parts", "sized_broadcast", "small_batches", "table", "utf8"]
+
 #: Bytes of text that a worker turns into arrays at a time.
 CHUNK_BYTES = 2_000_000
 #: Rows up to which a narrow side (ids and numbers) is broadcast; beyond it the join shuffles.
@@ -21,25 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path under the shared folder that the session names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/quern-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later steps neither repeat nor depend on what made it."""
-    spark = df.sparkSession
-    path = path or scratch(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0)).cast("int")

@@ -1,31 +1,10 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
-
-Each round is two aggregations and two joins over edges; nothing is gathered per component, so one component may hold any
-share of the nodes (its join is an ordinary sort-merge join that adaptive execution can split).
-"""
+"""Connected components of one edge table, by the keyed ones of the library."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quern.llm.common import materialise
-
-ROUNDS = 60
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node gets that neighbourhood's smallest node."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours get the smallest of them. Edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), "b"))
+from quern.operators.components import labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,14 +12,4 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges are ignored; an empty table gives no rows.
     """
-    edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, before = materialise(edges), None
-    for _ in range(ROUNDS):
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before or not after[0]:
-            break
-        before = after
-        edges = materialise(_small_star(_large_star(edges).filter("a < b").distinct()).filter("a < b").distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return labels(edges, [])

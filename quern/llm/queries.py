@@ -19,46 +19,57 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document read back from the coded token file. Null text: the end id alone; empty table: no rows."""
     return token_output.token_digests(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules, then by the model. Null url: empty host and path, judged by the model."""
     return url_filter.judged_pages(table(spark, sf_dir, "pages"))
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, positions and likenesses of every document, its edited text and the next. Null text: empty."""
     return winnowing.edited_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero; null ids name no component."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from other rows. Null text or none of Unicode category L: und, score 0."""
     return language_id.identified_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document. Null text: statistics of 0, scored like any other."""
     return quality_rules.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in reply order without linked quotations. Null conv_id or turn: a conversation of its own."""
     return quotation.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probabilities of every document. Null text: the end alone."""
     return hmm_lm.scored_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null text: size 0; null source: a source of its own, last."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null text: no words; null item_id: ignored."""
     return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py on all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -87,5 +98,35 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: Passages, their units, links, replies and the walk through the tree spelled out; quotations meet own words by their text.
+OP7_SQL = r"""
+WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)),
+l AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM n),
+k AS (SELECT *, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS bare, regexp_full_match(line, '[\x20\x09-\x0D]*') AS blank FROM l),
+c AS (SELECT *, coalesce(lag(level) OVER w <> level, false)::int AS new, coalesce(lag(blank) OVER w <> blank, false)::int AS gap FROM k WINDOW w AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT *, sum(new) OVER w AS place, sum(gap) OVER w AS par FROM c WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+p AS MATERIALIZED (SELECT id, conv_id, turn, place, level, string_agg(line, chr(10) ORDER BY pos) AS raw, trim(regexp_replace(lower(string_agg(bare, ' ' ORDER BY pos)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM g GROUP BY ALL),
+spoken AS (SELECT conv_id, turn, norm AS u FROM p WHERE level = 0 UNION ALL SELECT conv_id, turn, trim(regexp_replace(lower(bare), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM g WHERE level = 0
+  UNION ALL SELECT conv_id, turn, trim(regexp_replace(lower(string_agg(bare, ' ' ORDER BY pos)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM g WHERE level = 0 AND NOT blank GROUP BY conv_id, turn, id, place, par),
+own AS MATERIALIZED (SELECT DISTINCT conv_id, turn, u FROM (SELECT * FROM spoken UNION ALL SELECT conv_id, turn, trim(unnest(regexp_extract_all(u, '[^.!?]+[.!?]*')), ' ') FROM spoken) WHERE u <> ''),
+q AS (SELECT * FROM p WHERE level > 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+whole AS MATERIALIZED (SELECT q.id, q.place, q.conv_id, q.turn, q.level, length(norm) AS n, max(own.turn) AS source FROM q JOIN own ON own.conv_id = q.conv_id AND own.u = q.norm AND own.turn < q.turn GROUP BY ALL),
+part AS (SELECT id, place, conv_id, turn, level, trim(unnest(regexp_extract_all(norm, '[^.!?]+[.!?]*')), ' ') AS u FROM q ANTI JOIN whole USING (id, place)),
+piece AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM part WHERE u <> ''),
+near AS (SELECT piece.r, max(own.turn) AS source FROM piece JOIN own ON own.conv_id = piece.conv_id AND own.u = piece.u AND own.turn < piece.turn GROUP BY 1),
+best AS (SELECT id, place, source, sum(length(u)) AS got FROM piece JOIN near USING (r) GROUP BY id, place, source QUALIFY row_number() OVER (PARTITION BY id, place ORDER BY sum(length(u)) DESC, source DESC) = 1),
+linked AS MATERIALIZED (SELECT * FROM whole UNION ALL SELECT id, place, conv_id, turn, level, sum(length(u)) AS n, any_value(source) FROM piece JOIN best USING (id, place) GROUP BY id, place, conv_id, turn, level HAVING any_value(got) * 2 >= n),
+quoted AS (SELECT conv_id, turn, source FROM linked GROUP BY conv_id, turn, level, source QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, sum(n) DESC, source DESC) = 1),
+t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, min(turn) OVER (PARTITION BY conv_id) AS thread FROM (SELECT DISTINCT conv_id, turn FROM n WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+a AS MATERIALIZED (SELECT t.*, coalesce(quoted.source, prev) AS parent, quoted.source IS NOT NULL AS quoting FROM t LEFT JOIN quoted USING (conv_id, turn)),
+tree AS (SELECT conv_id, turn, thread, quoting, [turn] AS path FROM a WHERE parent IS NULL UNION ALL SELECT a.conv_id, a.turn, a.thread, a.quoting, list_append(tree.path, a.turn) FROM tree JOIN a ON a.conv_id = tree.conv_id AND a.parent = tree.turn),
+kept AS (SELECT id, string_agg(raw, chr(10) ORDER BY place) AS text FROM p ANTI JOIN linked USING (id, place) GROUP BY id),
+said AS (SELECT n.conv_id, n.turn, role, '<|' || role || '|>' || chr(10) || trim(coalesce(kept.text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM n LEFT JOIN kept USING (id)),
+number AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path, role, said) - 1 AS i FROM said JOIN tree USING (conv_id, turn))
+SELECT conv_id, thread, i // 1024 AS block, count(*) AS n_messages, count(*) FILTER (quoting) AS n_quoting, string_agg(said, chr(10) ORDER BY i) AS chat FROM number GROUP BY conv_id, thread, block
+UNION ALL SELECT conv_id, turn, CASE WHEN turn IS NOT NULL THEN 0 END, 1, 0, said FROM said WHERE conv_id IS NULL OR turn IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op7_quotation": OP7_SQL, "op10_decontaminate": OP10_SQL}

@@ -2,9 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
+from quern.llm import queries
 from quern.llm import quotation as q
 
 
@@ -101,6 +103,18 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def sql_rows(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return sorted(con.execute(queries.oracle_sql()["op7_quotation"]).fetchall(), key=str)
+
+
+def test_sql_on_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted((tuple(r) for r in queries.op7_quotation(spark, "/root/testdata/sf0.01").collect()), key=str) == sql_rows(rows)
+
+
 def run(spark, rows):
     df = spark.createDataFrame([(*r, 0, "z") for r in rows], "conv_id long, turn long, role string, text string, thread int, id string")
     return sorted((tuple(r) for r in q.conversations(df).collect()), key=str)
@@ -136,6 +150,9 @@ def test_against_brute_force(spark, monkeypatch, local):
     rows += [(50, 0, "user", None), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "user", "> nothing known\n\nx"), (50, 1, "assistant", "other"), (None, 3, "user", "> a"), (51, None, "user", "lone"), (52, 7, "user", "y. " * 30_000), (53, 2, "user", "> quote\n  > > deep\n"), (54, -5, "u", "before"), (54, 1 << 40, "u", "> before\nlate")]
     assert run(spark, rows) == brute(rows)
     assert run(spark, [])[:1] == []
+    if local > 3:
+        monkeypatch.setattr(q, "BLOCK", 1024)
+        assert sql_rows(rows) == brute(rows)
 
 
 def test_reply_order(spark):
