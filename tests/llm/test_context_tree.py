@@ -1,4 +1,6 @@
 import math
+import unicodedata
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -111,3 +113,52 @@ def test_url_rules(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judged_pages(empty).count() == 0
     assert url_filter.keep_accepted(empty).count() == 0
+
+
+def test_language_query_against_brute_force(spark):
+    """Every prediction and score from the textbook recursion over all strings of all training rows."""
+    rng = np.random.default_rng(11)
+    words = {"xx": ["ab", "abba", "cab"], "yy": ["de", "edd", "eed", "ab"], "zz": ["éa", "aé", "b"]}
+    rows = [(i, " ".join(rng.choice(words[g], rng.integers(1, 7))), g) for i in range(45) for g in [list(words)[i % 3]]]
+    rows += [(100, "½ ² ①", None), (101, "½ ² 漢", None), (102, None, None), (103, "12 34", "xx"), (104, "ab de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identified_documents(docs).collect()}
+    train_rows = [(t.encode(), g) for i, t, g in rows if g and t is not None and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({g for _, g in train_rows})
+    texts, labels = [t for t, _ in train_rows], [langs.index(g) for _, g in train_rows]
+    for i, t, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if not t or not any(unicodedata.category(c).startswith("L") for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        nats = [brute(texts, labels, langs, language_id.ORDER, 1, False, t.encode(), k) for k in range(len(langs))]
+        odds = [math.exp(language_id.SHARPNESS * (x - max(nats)) / len(t.encode())) for x in nats]
+        assert got[i].lang_pred == langs[nats.index(max(nats))] and got[i].score == pytest.approx(max(odds) / sum(odds), rel=1e-3)
+
+
+def test_url_model_against_brute_force(spark):
+    """Verdicts of pages without a rule, from the textbook recursion and the threshold of best balanced accuracy."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"http://{h}.{d}{p}{i}") for i in range(60) for h, d, p in [[("shop", "net", "/de/"), ("spam", "com", "/en/"), ("news", "other", "/de/x"), ("spam", "else", "/en/")][rng.integers(0, 4)]]]
+    rows += [(900, None), (901, "http://long.other/" + "de/" * 20_000)]
+    got = {r.page_id: r for r in url_filter.judged_pages(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    ruled = [(r.host + r.path, r.verdict, zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if r.rule]
+    seen = [(a.encode(), v == "block") for a, v, held in sorted(ruled) if not held]
+    texts, labels = [a for a, _ in seen], [int(b) for _, b in seen]
+
+    def difference(address):
+        raw = address.encode()
+        one, two = (brute(texts, labels, 2, url_filter.ORDER, url_filter.LEAST, True, raw, k) for k in range(2))
+        return (one - two) / max(1, len(raw))
+
+    other = [(difference(a), v == "allow") for a, v, held in ruled if held]
+    assert {ok for _, ok in other} == {True, False}
+
+    def accuracy(at):
+        return sum(np.mean([(x >= at) == ok for x, ok in other if ok == kind]) for kind in (True, False))
+
+    plain = {i: r for i, r in got.items() if not r.rule and len(r.path) < 1000}
+    assert len(plain) > 20 and all(r.score == pytest.approx(difference(r.host + r.path), rel=1e-3, abs=1e-5) for r in plain.values())
+    accepted, refused = ([r.score for r in plain.values() if r.verdict == v] for v in ("allow", "block"))
+    _, at = url_filter.learn(spark.createDataFrame([(i, r.host + r.path, r.verdict) for i, r in got.items() if r.rule], "page_id long, address string, verdict string"))
+    assert accuracy(at) >= max(accuracy(x) for x, _ in other) - 1e-9 and all(x >= at for x in accepted) and all(x < at for x in refused)

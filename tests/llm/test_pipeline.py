@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql.functions import lit
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -41,3 +42,32 @@ def test_stages(spark):
         at += len(ids)
     assert sorted(map(tuple, cp.STAGES[-1][1](spark, kept[4], SF).collect())) == want
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == want
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing column names, and empty tables."""
+    good = " ".join(f"Sentence {i} has some plain words." for i in range(30))
+    rows = [(1, good, "en", "a", 5, "x"), (2, good, None, None, None, None), (3, good.replace("Sentence 3 ", "Line 3 "), "en", "b", 1, "y"), (4, None, None, "a", None, "z"), (5, "", "en", "a", 0, "z"), (6, "long words here " * 40_000, "en", "b", 9, "z"), (None, "no id but text", "en", "c", 3, "z"), (7, "of a benchmark item that has more than ten words in it", "en", "a", 3, "z"), (7, "of a benchmark item that has more than ten words in it", "en", "a", 3, "z"), (1 << 62, "a large id", "en", None, 3, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string").withColumns({"fp": lit(1), "_g": lit(2), "pattern": lit("p"), "start": lit(0)})
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 8)] + [(None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i1", "This is the text of a benchmark item that has more than ten words in it"), (None, "x"), ("i2", None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = docs
+    ids = []
+    for _, stage in cp.STAGES[:-1]:
+        kept = materialise(stage(spark, kept, folder))
+        assert kept.columns == docs.columns
+        ids.append(sorted({str(r.doc_id) for r in kept.collect()}))
+    every = sorted({str(r[0]) for r in rows})
+    assert ids[0] == every  # all labels say good
+    assert ids[1] == sorted(set(every) - {"2", "3", "5"})  # copies of 1, and 5 is as empty as 4
+    assert ids[2] == sorted(set(ids[1]) - {"7"})
+    assert set(ids[3]) <= set(ids[2])
+    out = cp.run(spark, folder).collect()
+    assert {str(r.doc_id) for r in out} <= set(ids[2]) and all(r.n_tokens >= 1 for r in out)
+    assert cp.STAGES[-1][1](spark, kept, folder).count() == kept.count()
+    docs.limit(0).write.parquet(f"{folder}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/none/{name}.parquet")
+    assert cp.run(spark, f"{folder}/none").count() == 0

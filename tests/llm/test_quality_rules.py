@@ -48,3 +48,51 @@ def test_edges(spark, labels):
     kept = q.keep_good(docs, marks)
     assert kept.columns == docs.columns and kept.count() == 6
     assert q.scored_documents(docs.limit(0), marks).count() == 0
+
+
+def test_statistics_against_plain_python():
+    letters = set(range(65, 91)) | set(range(97, 123))
+    for text in ["A good Text. With two lines,\nand a third!\nA good Text.", "é É ü 12,5 %", "x", "##! a\n\n\n", " \n\t", "W " * 50]:
+        raw, got = text.encode(), dict(zip(q.STATS, q.text_statistics(text.encode())))
+        words, lines = raw.split(), raw.split(b"\n")
+        n, alpha = len(raw), max(1, sum(b in letters or b > 127 for b in raw))
+        signs = set(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~")
+        want = {"n_bytes": n, "n_words": len(words), "newlines": raw.count(b"\n") / n}
+        if words:
+            want |= {"word_bytes": sum(map(len, words)) / len(words), "longest": max(map(len, words)), "upper": sum(65 <= b <= 90 for b in raw) / alpha, "digits": sum(48 <= b <= 57 for b in raw) / n}
+            want |= {"symbols": sum(b in signs for b in raw) / n, "stops": sum(b in b".," for b in raw) / n, "beyond_ascii": sum(b > 127 for b in raw) / n, "distinct_words": len(set(words)) / len(words)}
+            want |= {"distinct_pairs": len(set(zip(words, words[1:]))) / max(1, len(words) - 1), "top_word": max(map(words.count, words)) / len(words), "symbol_ends": sum(w[-1] in signs for w in words) / len(words)}
+            want |= {"capital_starts": sum(65 <= w[0] <= 90 for w in words) / len(words), "distinct_lines": len(set(lines)) / len(lines)}
+        assert got == pytest.approx({**dict.fromkeys(q.STATS, 0.0), **want})
+
+
+def test_paths_are_conjunctions_of_real_cuts():
+    rng = np.random.default_rng(2)
+    x = rng.random((500, 4))
+    y = (x[:, 0] > 0.5).astype(float)
+    cuts = [np.linspace(0.1, 0.9, 9) for _ in range(4)]
+    paths = q._paths(x, y, cuts, rng)
+    assert any(j == 0 and abs(cut - 0.5) < 1e-9 for p in paths for j, _, cut in p)
+    for p in paths:
+        holds = np.ones(500, dtype=bool)
+        for j, over, cut in p:
+            holds &= (x[:, j] > cut) == over
+            assert cut in cuts[j]
+        assert 1 <= len(p) <= q.DEPTH and holds.sum() >= q.LEAF
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(800, 6))
+    y = (rng.random(800) < 1 / (1 + np.exp(-(1.5 * z[:, 0] - z[:, 1])))).astype(float)
+    for penalty in (0.02, 0.1, 10.0):
+        bias, w = q._lasso(z, y, penalty, 3000)
+        p = 1 / (1 + np.exp(-(bias + z @ w)))
+        slope = z.T @ (p - y) / len(y)
+        assert abs((p - y).mean()) < 1e-6
+        for k in range(6):
+            if w[k]:
+                assert slope[k] == pytest.approx(-penalty * np.sign(w[k]), abs=1e-5)
+            else:
+                assert abs(slope[k]) <= penalty + 1e-6
+        assert penalty < 10 or not w.any()
