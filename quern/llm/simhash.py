@@ -36,6 +36,8 @@ STEP = 4
 KEYS, COPY_BITS = 4, 18
 #: Shingles of the rows of one group, or of a pair of its pieces, that a task may hold (8 bytes each; a longer text is alone).
 GROUP_SHINGLES = 4_000_000
+#: Rows with their tasks and keys (some 150 bytes each) up to which they are broadcast to find their texts.
+WIDE_ROWS = 100_000
 #: Bytes of shingle sets that a task gathers before it compares them.
 SET_BYTES = 16_000_000
 
@@ -357,7 +359,7 @@ def copy_links(values: DataFrame, texts: DataFrame, size: int, similarity: float
             columns = {c: batch.column(c) for c in ("tasks", "node", "fp", "n", "keys")}
             yield pa.RecordBatch.from_pydict({**columns, "shingles": pa.array(each, pa.binary())})
 
-    found = texts.join(sized_broadcast(met), same).select("text", "tasks", "node", "fp", "n", "keys")
+    found = texts.join(sized_broadcast(met, WIDE_ROWS), same).select("text", "tasks", "node", "fp", "n", "keys")
     found = found.mapInArrow(sets, "tasks array<struct<task long, turn int>>, node long, fp long, n long, keys array<long>, shingles binary")
     found = found.withColumn("_t", F.explode("tasks")).select("_t.*", "node", "fp", "n", "keys", "shingles")
 
