@@ -33,7 +33,7 @@ MARK = 256
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
 #: Words whose ids a worker keeps; beyond it the rarer ones are forgotten. Bytes of text that it encodes at a time.
-CACHE_WORDS, ENCODE_BYTES = 500_000, 1_500_000
+CACHE_WORDS, ENCODE_BYTES = 500_000, 5_000_000
 #: Words of characters that are letters before and after lowering and normalising, with stops and commas behind them.
 PLAIN = re.compile("[a-zÀ-ÖØ-öø-įı-ňŋ-ž]+[.,]*").fullmatch
 
