@@ -67,7 +67,9 @@ def windows_of(items: DataFrame) -> DataFrame:
 def _places(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, h, n_words, pos, shingle) of all shingles of n words. docs: (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), split_words(F.lower("text")).alias("words"))
-    return rows.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(shingle_hashes("words", n)).alias("pos", "shingle"))
+    # n_words comes before the places, or each of them would carry all words of its document.
+    rows = rows.withColumn("n_words", F.size("words"))
+    return rows.select("doc_id", "h", "n_words", F.posexplode(shingle_hashes("words", n)).alias("pos", "shingle"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
