@@ -27,8 +27,9 @@ from quern.llm.components import components
 
 #: Leaves of a trie, or of a pair of its pieces, that one task joins at once.
 TRIE_LEAVES = 2048
-#: Pairs of nodes that a traversal expands to at a time; more are taken in turns.
-PAIRS = 1 << 20
+#: Pairs of nodes that a traversal expands to at a time; more are taken in turns. Every level of the trie may hold as many
+#: (18 bytes each), and a Python worker shares its executor's memory.
+PAIRS = 1 << 15
 #: Bits by which the traversal descends at a time.
 STEP = 4
 #: Min-hashes that deal rows of similar texts out, and differing bits of 64 up to which a pair is compared by its shingles:
