@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.operators.components import scratch
 from quern.operators.components import stored as materialise
 
-__all__ = ["chunks", "crc_mod", "fresh", "materialise", "scratch", "shuffle_parts", "sized_broadcast", "small_batches", "table", "utf8"]
+__all__ = ["chunks", "crc_mod", "fresh", "materialise", "scratch", "shuffle_parts", "sized_broadcast", "small_batches", "small_enough", "table", "utf8"]
 
 #: Bytes of text that a worker turns into arrays at a time.
 CHUNK_BYTES = 2_000_000

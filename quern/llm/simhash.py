@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, fresh, materialise, shuffle_parts, sized_broadcast, small_batches, utf8
+from quern.llm.common import chunks, fresh, materialise, shuffle_parts, sized_broadcast, small_batches, small_enough, utf8
 from quern.llm.components import components
 
 #: Leaves of a trie, or of a pair of its pieces, that one task joins at once.
@@ -37,8 +37,9 @@ STEP = 4
 KEYS, COPY_BITS = 4, 18
 #: Shingles of the rows of one group, or of a pair of its pieces, that a task may hold (8 bytes each; a longer text is alone).
 GROUP_SHINGLES = 4_000_000
-#: Rows with their tasks and keys (some 150 bytes each) up to which they are broadcast to find their texts.
-WIDE_ROWS = 100_000
+#: Tasks of all rows together up to which rows, with keys and tasks (some 150 bytes, and 12 for each task), are broadcast to
+#: find their texts. Rows of a group that is cut have many tasks, so counting rows alone would bound nothing.
+WIDE_TASKS = 150_000
 #: Bytes of shingle sets that a task gathers before it compares them.
 SET_BYTES = 16_000_000
 
@@ -360,7 +361,8 @@ def copy_links(values: DataFrame, texts: DataFrame, size: int, similarity: float
             columns = {c: batch.column(c) for c in ("tasks", "node", "fp", "n", "keys")}
             yield pa.RecordBatch.from_pydict({**columns, "shingles": pa.array(each, pa.binary())})
 
-    found = texts.join(sized_broadcast(met, WIDE_ROWS), same).select("text", "tasks", "node", "fp", "n", "keys")
+    few = small_enough(met.select(F.explode("tasks")), WIDE_TASKS)
+    found = texts.join(F.broadcast(met) if few else met, same).select("text", "tasks", "node", "fp", "n", "keys")
     found = found.mapInArrow(sets, "tasks array<struct<task long, turn int>>, node long, fp long, n long, keys array<long>, shingles binary")
     found = found.withColumn("_t", F.explode("tasks")).select("_t.*", "node", "fp", "n", "keys", "shingles")
 

@@ -124,6 +124,7 @@ def test_keep_one_against_brute_force(spark, monkeypatch):
             rows.append((int(rng.integers(0, 1 << 62)), f"{passage} {text}" if pair % 2 else text))
     rows += [(1 << 62, "a b c d e f g h"), ((1 << 62) + 5, "A b c d e f g h"), (11, "a b"), (12, "a  b"), (13, "b a"), (14, None), (15, ""), (16, " \n"), (None, "q r"), (None, "q r"), (None, "s t u v w x y"), (17, "long " * 70000), (18, "LONG " * 70000), (19, "x y"), (19, "z z")]
     monkeypatch.setattr(s, "TRIE_LEAVES", 24)  # so that the passage's min-hashes are refined and cut into pieces
+    monkeypatch.setattr(s, "WIDE_TASKS", 50)  # so that rows with their tasks are too many to broadcast
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "_g": F.lit(1), "node": F.lit(2)})
     got = s.keep_one_of_each(df)
     assert got.columns == df.columns
