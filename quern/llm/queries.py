@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, hmm_lm, language_id, mixing, quality_rules, quotation, simhash, token_output, url_filter, winnowing
+from quern.llm import decontaminate, fill_middle, hmm_lm, language_id, line_dedup, mixing, quality_rules, quotation, simhash, token_output, url_filter, vector_codes, winnowing
 from quern.llm.common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -68,6 +68,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every whole vector with its errors. Null vectors or components, NaN and infinities: left out; null labels: one label."""
+    return vector_codes.coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document rearranged and put back. Null text: empty, which is plain."""
+    return fill_middle.middle_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that other documents keep. Null text: one empty line."""
+    return line_dedup.line_deduplicated(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py on all documents."""
     import corpus_pipeline
@@ -76,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_token_output, op2_url_filter, op3_winnowing, op4_simhash, op5_language_id, op6_quality_rules, op7_quotation, op8_hmm_lm, op9_mixing, op10_decontaminate)}
+    found = {f.__name__: f for f in (op1_token_output, op2_url_filter, op3_winnowing, op4_simhash, op5_language_id, op6_quality_rules, op7_quotation, op8_hmm_lm, op9_mixing, op10_decontaminate, op11_vector_codes, op12_fill_in_middle, op13_line_dedup)}
     return {**found, "pipeline": pipeline}
 
 
@@ -128,5 +143,47 @@ UNION ALL SELECT conv_id, turn, CASE WHEN turn IS NOT NULL THEN 0 END, 1, 0, sai
 """
 
 
+_NEAREST = "arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.id, v.p, c.e, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN {c} c USING (p, i) GROUP BY ALL) GROUP BY id, p"
+
+
+def _round(old: str, new: str) -> str:
+    """A round's assignments and the codebooks after it. Sums are divided downwards."""
+    return f"""{new}n AS MATERIALIZED (SELECT id, p, {_NEAREST.format(c=old)}), {new}s AS (SELECT v.p, e, i, sum(x)::bigint AS s, count(*) AS n FROM {new}n JOIN v USING (id, p) GROUP BY ALL),
+{new} AS MATERIALIZED (SELECT p, e, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM {old} LEFT JOIN {new}s USING (p, e, i))"""
+
+
+#: Two rounds of assignment and the last one, a row a component.
+OP11_SQL = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT id, g.i // (len(embedding) // 16) AS p, g.i % (len(embedding) // 16) AS i, floor(256 * embedding[g.i + 1]::double)::bigint AS x FROM k, range(len(k.embedding)) g(i)),
+c0 AS MATERIALIZED (SELECT p, id AS e, i, x FROM v WHERE id < 64),
+{_round("c0", "c1")},
+{_round("c1", "c2")},
+a AS MATERIALIZED (SELECT id, p, {_NEAREST.format(c="c2")}),
+r AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::bigint AS error FROM a GROUP BY id),
+h AS (SELECT sha256(string_agg(x::varchar, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM r JOIN k USING (id), h
+"""
+
+#: Units, draws and pieces spelled out; what is restored is the text.
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(doc_id::varchar, '')) AS d FROM documents),
+h AS (SELECT *, len(w)::bigint AS n, ('0x' || d[1:8])::bigint % (len(w) + 1) AS a, ('0x' || d[9:16])::bigint % (len(w) + 1) AS b, ('0x' || d[17:24])::bigint % 100 AS h3, ('0x' || d[25:32])::bigint % 100 AS h4 FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS u, greatest(a, b) AS v FROM h),
+c AS (SELECT *, array_to_string(w[1:u], '') AS p, array_to_string(w[u + 1:v], '') AS m, array_to_string(w[v + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::bigint END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::bigint END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE WHEN form = 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM c
+"""
+
+#: Lines, their keys, and the documents that hold them.
+OP13_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+o AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.top AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM o GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quotation": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op7_quotation": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_line_dedup": OP13_SQL}
