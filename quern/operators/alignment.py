@@ -26,9 +26,13 @@ def pages_of(detected: DataFrame) -> DataFrame:
     return vote(detected, ["image"], F.floor(F.col("marker_id") / 4) + 1, "seq").select("image", F.col("value").alias("page"))
 
 
-def point_pairs(detected: DataFrame, expected: DataFrame) -> DataFrame:
-    """image, marker_id, corner, x, y, u, v: detected corners joined to where the template has them (marker_id, corner, u, v)."""
-    return detected.join(expected, ["marker_id", "corner"]).select("image", "marker_id", "corner", "x", "y", "u", "v")
+def point_pairs(detected: DataFrame, expected: DataFrame, pages: DataFrame) -> DataFrame:
+    """image, marker_id, corner, x, y, u, v: detected corners joined to where the template has them (marker_id, corner, u, v).
+
+    pages: image, page (pages_of). Markers of any other page than the image's own are misread and don't count.
+    """
+    own = detected.join(pages, "image").filter(F.floor(F.col("marker_id") / 4) + 1 == F.col("page"))
+    return own.join(expected, ["marker_id", "corner"]).select("image", "marker_id", "corner", "x", "y", "u", "v")
 
 
 def _solve(points: np.ndarray) -> list[float] | None:
@@ -76,7 +80,7 @@ def _with_error(points: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def homographies(points: DataFrame) -> DataFrame:
-    """image, h, n_points, n_inliers, error of pages with four points or more (image, marker_id, corner, x, y, u, v).
+    """image, h, n_points, n_markers, n_inliers, error of pages with four points or more (image, marker_id, corner, x, y, u, v).
 
     error: mean over the inliers, or over all points if they are fewer than half or than four. Ties go to the first sample.
     """
@@ -89,13 +93,20 @@ def homographies(points: DataFrame) -> DataFrame:
     final = _fits(good, ["image"])
     inlier = F.col("error") <= INLIER
     error = scoring.inlier_mean(F.col("error"), inlier, LEAST, SHARE)
-    return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.count_if(inlier).alias("n_inliers"), error.alias("error")).filter("h is not null")
+    return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.countDistinct("marker_id").alias("n_markers"), F.count_if(inlier).alias("n_inliers"), error.alias("error")).filter("h is not null")
 
 
-def aligned(images: DataFrame, fits: DataFrame, expected_markers: int) -> DataFrame:
-    """image, h, confidence, failure: pages with too few markers, no homography or a low confidence fail, each with its reason."""
-    matched = F.col("n_points") / 4
-    confidence = scoring.alignment_confidence(matched, F.lit(float(expected_markers)), F.col("error"))
-    rows = images.select("image").distinct().join(fits, "image", "left").withColumn("confidence", F.coalesce(confidence, F.lit(0.0)))
-    failure = F.when(F.col("h").isNull() | (matched < MARKERS), "too few markers").when(F.col("confidence") < CONFIDENCE, "low confidence")
-    return rows.select("image", "h", "confidence", failure.alias("failure"))
+def aligned(images: DataFrame, pages: DataFrame, known: DataFrame, fits: DataFrame, expected_markers: int) -> DataFrame:
+    """image, page, h, markers, confidence, failure of every image. A page fails, in this order, without markers, with a page
+
+    number that the template (known: page) lacks, with too few markers of its page or no homography, or with a low
+    confidence. pages: as pages_of; fits: as homographies. A marker that was seen twice counts once.
+    """
+    rows = images.select("image").distinct().join(pages, "image", "left")
+    rows = rows.join(F.broadcast(known.select("page", F.lit(True).alias("_known")).distinct()), "page", "left")  # a template's pages
+    rows = rows.join(fits, "image", "left").withColumn("markers", F.coalesce("n_markers", F.lit(0)))
+    confidence = scoring.alignment_confidence(F.col("markers"), F.lit(float(expected_markers)), F.col("error"))
+    rows = rows.withColumn("confidence", F.coalesce(confidence, F.lit(0.0)))
+    failure = F.when(F.col("page").isNull(), "no markers").when(F.col("_known").isNull(), F.format_string("page %d is not part of the template", "page"))
+    failure = failure.when(F.col("h").isNull() | (F.col("markers") < MARKERS), "too few markers").when(F.col("confidence") < CONFIDENCE, "low confidence")
+    return rows.select("image", "page", "h", "markers", "confidence", failure.alias("failure"))

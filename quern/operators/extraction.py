@@ -14,7 +14,8 @@ from quern.functions import geometry
 from quern.operators import raster
 from quern.operators.alignment import projected
 
-PADDING = 10
+#: Fixed: pixels around a box of the template; marks on plain pages have their own padding.
+PADDING = 6
 
 
 def inverse(h: Column) -> Column:

@@ -63,16 +63,17 @@ def template_jobs(images: DataFrame, runs: DataFrame, detected: DataFrame, expec
     """Jobs on template photos. images: job_id, image, width, height. runs: image, y, x0, x1.
 
     detected: image, marker_id, corner, seq, x, y; expected: marker_id, corner, u, v (template pixels). elements: as
-    template.elements. out: job_id, character_id to leave out. A page fails that has no homography, too little confidence
-    or an empty window; of a character found on several pages the surest crop stays, the others are logged.
+    template.elements. out: job_id, character_id to leave out. A page fails that alignment.aligned turns down or that
+    has an empty window; of a character found on several pages the surest crop stays, the others are logged.
     """
-    fits = stored(alignment.homographies(alignment.point_pairs(detected, expected)))
-    placed = stored(alignment.aligned(images, fits, len(template.CORNERS)).join(alignment.pages_of(detected), "image", "left"))
-    good = placed.filter("failure is null and page is not null").join(images.select("job_id", "image", "width", "height"), "image")
+    voted = stored(alignment.pages_of(detected))
+    fits = stored(alignment.homographies(alignment.point_pairs(detected, expected, voted)))
+    placed = stored(alignment.aligned(images, voted, elements, fits, len(template.CORNERS)))
+    good = placed.filter("failure is null").join(images.select("job_id", "image", "width", "height"), "image")
     found, cut, failures = extraction.template_glyphs(good.select("image", "page", "width", "height", "h"), elements, runs, template.PAGE_HEIGHT, dpi)
     order = F.xxhash64("image", "character_id")
     found = stored(found.join(good.select("image", "job_id", F.col("confidence").alias("extraction_confidence")), "image").withColumn("seq", order))
-    reasons = placed.select("image", F.coalesce("failure", F.when(F.col("page").isNull(), "no markers")).alias("_f")).join(failures, "image", "left")
+    reasons = placed.select("image", F.col("failure").alias("_f")).join(failures, "image", "left")
     pages = images.select("job_id", "image").join(reasons, "image").select("job_id", F.col("image").alias("source_image"), F.coalesce("_f", "error").alias("error"))
     pages = stored(jobs.outcomes(pages, found.withColumnRenamed("image", "source_image")))
     aligned = good.select("job_id", "image", "page", "confidence")

@@ -126,6 +126,28 @@ def page_homographies(spark, d):
     return alignment.homographies(points).select("image", "n_points", "n_inliers", F.round("error", 3).alias("error"))
 
 
+@query("""WITH m AS (SELECT s_suppkey AS image, k AS seq, (s_suppkey % 3 + CASE WHEN (s_suppkey + k) % 5 = 0 THEN 1 ELSE 0 END) % 3 * 4 + k % 4 AS id FROM supplier, range(6) t(k) WHERE k < s_suppkey % 7),
+v AS (SELECT image, id // 4 + 1 AS page, count(*) AS votes, min(seq) AS seq FROM m GROUP BY 1, 2), p AS (SELECT image, page FROM v QUALIFY row_number() OVER (PARTITION BY image ORDER BY votes DESC, seq) = 1),
+n AS (SELECT image, count(DISTINCT id) AS markers FROM m JOIN p USING (image) WHERE id // 4 + 1 = page AND page < 3 GROUP BY image)
+SELECT s_suppkey AS image, page, coalesce(markers, 0) AS markers, round(coalesce(markers, 0) / 4.0::double, 3) AS confidence,
+  CASE WHEN page IS NULL THEN 'no markers' WHEN page = 3 THEN 'page 3 is not part of the template' WHEN markers < 3 THEN 'too few markers' END AS failure FROM supplier LEFT JOIN p ON image = s_suppkey LEFT JOIN n USING (image)""")
+def aligned_pages(spark, d):
+    """Suppliers as photos of pages 1 to 3 of a template of two pages, with up to six markers seen, some twice and some misread as another page's."""
+    boxes = template.elements(template.characters(spark))
+    marks = template.markers(boxes)
+    side = F.explode(F.array(*(F.struct(F.lit(i).alias("corner"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))))))
+    wanted = marks.withColumn("_c", side).select("marker_id", "_c.corner", (C("x") + C("_c.a") * C("size")).alias("u"), (template.PAGE_HEIGHT - C("y") - C("_c.b") * C("size")).alias("v"))
+    s = read(spark, d, "supplier").select(C("s_suppkey").alias("image"))
+    seen = s.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter(C("seq") < C("image") % 7)
+    other = F.when((C("image") + C("seq")) % 5 == 0, 1).otherwise(0)
+    seen = seen.withColumn("marker_id", ((C("image") % 3 + other) % 3 * 4 + C("seq") % 4).cast("int"))
+    place = wanted.select((C("marker_id") % 4).alias("_m"), "corner", (C("u") * 2 + 30).alias("x"), (C("v") * 2 + 10).alias("y")).distinct()
+    seen = seen.join(F.broadcast(place), C("marker_id") % 4 == C("_m")).drop("_m")
+    voted = alignment.pages_of(seen)
+    fits = alignment.homographies(alignment.point_pairs(seen, wanted, voted))
+    return alignment.aligned(s, voted, boxes, fits, 4).select("image", "page", "markers", F.round("confidence", 3).alias("confidence"), "failure")
+
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "".join(c for c, _ in template.SIGNS)
 NAMES = ", ".join(f"'{n}'" for _, n in template.SIGNS)
 QUOTED = LETTERS.replace("'", "''")
@@ -271,7 +293,7 @@ def page_frames(spark, d):
 
 @query(f"""WITH {ELEMENTS}, p AS (SELECT s_suppkey AS image, (1 + s_suppkey % 2)::int AS page, (300 + s_suppkey % 500)::int AS width, 900 AS height FROM supplier),
 b AS (SELECT image, p.page, e.id, p.width, p.height, e.x AS x, 841.8897637795277::double - (e.y + e.height) AS y FROM p JOIN e ON e.page = p.page),
-c AS (SELECT *, greatest(0, round_even(x, 0)::int - 10) AS x0, greatest(0, round_even(y, 0)::int - 10) AS y0, least(width, round_even(x + 52, 0)::int + 10) AS x1, least(height, round_even(y + 62, 0)::int + 10) AS y1 FROM b)
+c AS (SELECT *, greatest(0, round_even(x, 0)::int - 6) AS x0, greatest(0, round_even(y, 0)::int - 6) AS y0, least(width, round_even(x + 52, 0)::int + 6) AS x1, least(height, round_even(y + 62, 0)::int + 6) AS y1 FROM b)
 SELECT image, page, id AS character_id, CASE WHEN ok THEN x0 ELSE 0 END AS x, CASE WHEN ok THEN y0 ELSE 0 END AS y, CASE WHEN ok THEN x1 - x0 ELSE 0 END AS width, CASE WHEN ok THEN y1 - y0 ELSE 0 END AS height, CASE WHEN NOT ok THEN 'window of ' || id || ' is outside the page' END AS error FROM (SELECT *, x1 > x0 AND y1 > y0 AS ok FROM c)""")
 def page_windows(spark, d):
     """Suppliers as pages, some too narrow for the template: every box of every page."""

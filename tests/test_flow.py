@@ -88,7 +88,7 @@ def test_template_job_from_photo_to_results(spark):
     out = flow.template_jobs(images, runs, detected, spark.createDataFrame(expected, "marker_id int, corner int, u double, v double"), elements, DPI)
     pages = {r.source_image: r for r in out.pages.collect()}
     assert pages["p1"].succeeded and pages["p1"].glyphs_extracted == 56 and pages["p3"].succeeded
-    assert not pages["p2"].succeeded and pages["p2"].error == "too few markers"
+    assert not pages["p2"].succeeded and pages["p2"].error == "no markers"
     valid = {(r.job_id, r.character_id) for r in out.validations.collect() if r.valid}
     assert valid == {(1, "uppercase_A"), (1, "uppercase_L"), (1, "lowercase_c")}
     assert out.validations.count() == 112 and out.glyphs.filter("job_id = 1").count() == 56

@@ -189,12 +189,32 @@ def test_homography(spark):
     got = {r.image: r for r in fits.collect()}
     assert np.allclose(np.array(got["clean"].h).reshape(3, 3), h, atol=1e-6) and np.allclose(np.array(got["one off"].h).reshape(3, 3), h, atol=1e-6)
     assert got["one off"].n_inliers == 32 and got["one off"].error < 1e-6 and got["bad"].error > 8 and "few" not in got
-    done = {r.image: r.failure for r in alignment.aligned(points, fits, 9).collect()}
+    pages = points.selectExpr("image", "1 as page").distinct()
+    done = {r.image: r.failure for r in alignment.aligned(points, pages, pages, fits, 9).collect()}
     assert done == {"clean": None, "one off": None, "bad": "low confidence", "few": "too few markers"}
     seen = spark.createDataFrame([("p", 5, 0), ("p", 6, 1), ("p", 1, 2), ("q", 9, 0), ("q", 1, 1)], "image string, marker_id int, seq int")
     assert {r.image: r.page for r in alignment.pages_of(seen).collect()} == {"p": 2, "q": 3}
 
 
+def test_only_markers_of_the_voted_page_count(spark):
+    """Misread ids of another page neither help nor harm; too few of its own, or a page that the template lacks, fails."""
+    expected = [(m, c, 300.0 * (m % 2) + 20 * (c in (1, 2)), 400.0 * (m % 4 // 2) + 20 * (c > 1)) for m in range(8) for c in range(4)]
+    # image: the markers that are there (place, id as read).
+    photos = {"all": [(0, 0), (1, 1), (2, 2), (3, 3)], "three": [(0, 0), (1, 1), (2, 2), (3, 5), (3, 6)], "two": [(0, 0), (1, 1), (2, 6)], "twice": [(0, 0), (0, 0), (1, 1)], "beyond": [(0, 8), (1, 9), (2, 10), (3, 11)], "second": [(0, 4), (1, 5), (2, 6), (3, 3)]}
+    place = {(m, c): (u, v) for m, c, u, v in expected}
+    seen = [(name, m, c, seq, place[p, c][0] + 7, place[p, c][1] * 1.5) for name, ms in photos.items() for seq, (p, m) in enumerate(ms) for c in range(4)]
+    detected = spark.createDataFrame(seen, "image string, marker_id int, corner int, seq int, x double, y double")
+    wanted = spark.createDataFrame(expected, "marker_id int, corner int, u double, v double")
+    images = spark.createDataFrame([(n,) for n in [*photos, "none"]], "image string")
+    known, pages = spark.createDataFrame([(1,), (2,)], "page int"), alignment.pages_of(detected)
+    fits = alignment.homographies(alignment.point_pairs(detected, wanted, pages))
+    got = {r.image: (r.page, r.markers, r.confidence, r.failure) for r in alignment.aligned(images, pages, known, fits, 4).collect()}
+    assert got == {
+        "all": (1, 4, 1.0, None), "three": (1, 3, 0.75, None), "two": (1, 2, 0.5, "too few markers"), "twice": (1, 2, 0.5, "too few markers"),
+        "beyond": (3, 0, 0.0, "page 3 is not part of the template"), "second": (2, 3, 0.75, None), "none": (None, 0, 0.0, "no markers"),
+    }
+
+
 def test_records_and_templates(spark, tmp_path):
     boxes = template.elements(template.characters(spark))
     assert {r.page: r["count"] for r in boxes.groupBy("page").count().collect()} == {1: 56, 2: 20}
