@@ -14,7 +14,8 @@ so they find candidates for every true occurrence, and step 4 lowers A-Z only. W
 merged as intervals, so overlapping ones count a word once.
 
 Defined results: null texts have no words; rows that share doc_id and text get the same result; equal doc_ids with other
-texts are judged apart; an empty benchmark leaves every document clean; item_ids that are null are ignored.
+texts are judged apart; an empty benchmark leaves every document clean; windows of items without an item_id hit and contaminate
+like any other, but such an item has no id to list and isn't counted in n_items.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def shingle_hashes(words: str, n: int) -> Column:
 
 def windows_of(items: DataFrame) -> DataFrame:
     """(window, words, size, item_ids) of the distinct windows of items (item_id, text). window: the space-joined words."""
-    words = items.filter("item_id is not null").select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    words = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - WINDOW + 1, F.lit(1)))
     each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, WINDOW))).alias("words"))
     return each.select("item_id", "words", F.size("words").alias("size"), F.array_join("words", " ").alias("window")).distinct()

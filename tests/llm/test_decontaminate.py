@@ -16,7 +16,7 @@ def brute(docs, items):
         w, hit, ids = words(text), set(), set()
         for item_id, t in items:
             iw = words(t)
-            if not iw or item_id is None:
+            if not iw:
                 continue
             size = min(10, len(iw))
             for s in range(len(iw) - size + 1):
@@ -24,7 +24,7 @@ def brute(docs, items):
                 for p in range(len(w) - size + 1):
                     if w[p : p + size] == win:
                         hit |= set(range(p, p + size))
-                        ids.add(str(item_id))
+                        ids |= {str(item_id)} - {"None"}
         out.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -48,6 +48,8 @@ DOCS = [
     (5, None),
     (6, ""),
     (7, "solo"),
+    (70, "these are ignored item words"),
+    (71, "short item: ignored ITEM words"),
     (8, "then it runs away from ÉTÉ to the far hills. fox jumps over the lazy dog and then it runs"),
     (None, "a short item"),
     (9, "clean text"),
