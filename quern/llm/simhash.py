@@ -9,7 +9,9 @@ is dropped once they exceed the budget. Links become a forest in the task, so a
 
 Near copies (keep_one_of_each) need a wide budget, for which segments are too short to deal rows out by. There, rows that
 share one of KEYS min-hashes of their shingles meet in a trie (a pair of similarity 0.8 shares none of 4 in one case of
-600); the trie's pairs within COPY_BITS are candidates, and the shingle sets of both sides decide exactly.
+600); the trie's pairs within COPY_BITS are candidates, and the shingle sets of both sides decide exactly. Rows of a min-hash
+that many rows have (a passage in many texts, thousands of near copies) meet by BANDS pairs of further min-hashes instead, of
+which such a pair shares none in one case of 1,200; what is crowded even then is cut into pieces, every pair of which is a task.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ STEP = 4
 #: Min-hashes that deal rows of similar texts out, and differing bits of 64 up to which a pair is compared by its shingles:
 #: at a similarity of 0.8, 9.7 bits are expected and one pair of 300 has over 18.
 KEYS, COPY_BITS = 4, 18
+#: Pairs of further min-hashes for rows with a crowded one: at a similarity of 0.8 one pair of 1,200 shares none of 7.
+BANDS = 7
 #: Shingles of the rows of one group, or of a pair of its pieces, that a task may hold (8 bytes each; a longer text is alone).
 GROUP_SHINGLES = 4_000_000
-#: Tasks of all rows together up to which rows, with keys and tasks (some 150 bytes, and 12 for each task), are broadcast to
+#: Tasks of all rows together up to which rows, with keys and tasks (some 250 bytes, and 12 for each task), are broadcast to
 #: find their texts. Rows of a group that is cut have many tasks, so counting rows alone would bound nothing.
-WIDE_TASKS = 150_000
+WIDE_TASKS = 100_000
 #: Bytes of shingle sets that a task gathers before it compares them.
 SET_BYTES = 16_000_000
 
@@ -111,9 +115,10 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def copy_prints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, _h (hash of the text), and of the text's shingle set: fp, n, same (hash of the set) and keys (min-hashes)."""
+    """doc_id, _h (hash of the text), and of the text's shingle set: fp, n, same (hash of the set) and keys (KEYS min-hashes, then two for each band)."""
     small_batches(docs.sparkSession)
-    turns = _mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
+    width = KEYS + 2 * BANDS
+    turns = _mixed(np.arange(1, width + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -121,7 +126,7 @@ def copy_prints(docs: DataFrame, size: int) -> DataFrame:
             fp = _per_text(h, n, lambda x, _: _majority(x, n[n > 0]))
             same = _per_text(_mixed(h), n, np.add.reduceat)
             keys = np.stack([_per_text(_mixed(h ^ t), n, np.minimum.reduceat) for t in turns], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(n) + 1, KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(n) + 1, width, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "_h": batch.column("_h"), "fp": fp.view(np.int64), "n": n, "same": same.view(np.int64), "keys": lists})
 
     return docs.select("doc_id", "text", "_h").mapInArrow(run, "doc_id long, _h long, fp long, n long, same long, keys array<long>")
@@ -289,14 +294,21 @@ def row_hash() -> Column:
 
 
 def _candidates(c: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a run of tasks that the tries find, that similar sizes allow, and that no earlier min-hash brings together."""
+    """Row pairs of a run of tasks that the tries find, that similar sizes allow, and that no earlier min-hash or band brings together.
+
+    turn: the min-hash that a row is dealt by, or KEYS and the number of its band.
+    """
     order = np.lexsort((c["node"], c["fp"].view(np.uint64), c["task"]))
     keys, turn, n = np.stack(c["keys"]), c["turn"], c["n"]
     for i, j in _pairs(c["task"][order], c["fp"].view(np.uint64)[order], COPY_BITS):
         i, j = order[i], order[j]
         ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (c["node"][i] != c["node"][j])
+        i, j = i[ok], j[ok]
+        same, ok = keys[i] == keys[j], np.ones(len(i), dtype=bool)
         for k in range(KEYS - 1):
-            ok &= (turn[i] <= k) | (keys[i, k] != keys[j, k])
+            ok &= (turn[i] <= k) | (turn[i] >= KEYS) | ~same[:, k]
+        for b in range(BANDS - 1):
+            ok &= (turn[i] <= KEYS + b) | ~(same[:, KEYS + 2 * b] & same[:, KEYS + 2 * b + 1])
         yield i[ok], j[ok]
 
 
@@ -324,14 +336,14 @@ def copy_links(values: DataFrame, texts: DataFrame, size: int, similarity: float
     values: node, doc_id, _h, fp, n, keys; materialised, a row for each set. texts: doc_id, text, _h.
     """
     spark, kept = values.sparkSession, ["task", "turn", "node", "fp", "n", "keys"]
-    rows = values.select("node", "fp", "n", "keys", F.posexplode("keys").alias("turn", "key"))
-    # Rows of a frequent min-hash must share another one too; what is still too large is cut into pieces.
+    rows = values.select("node", "fp", "n", "keys", F.posexplode(F.slice("keys", 1, KEYS)).alias("turn", "key"))
+    # Rows with a frequent min-hash meet by bands; what is still too large is cut into pieces.
     crowded = (F.count("*") > TRIE_LEAVES) | (F.sum("n") > GROUP_SHINGLES)
     hot = sized_broadcast(materialise(rows.groupBy("turn", "key").agg(crowded.alias("_big")).filter("_big").drop("_big")))
     alone = rows.join(hot, ["turn", "key"], "left_anti").withColumn("task", F.xxhash64("turn", "key")).select(*kept)
-    second = F.expr("filter(transform(keys, (k, at) -> struct(at, k)), x -> x.at != turn)")
-    pairs = rows.join(hot, ["turn", "key"], "left_semi").withColumn("_x", F.explode(second))
-    pairs = pairs.withColumn("group", F.xxhash64("turn", "key", F.col("_x.at"), F.col("_x.k"))).withColumn("turn", F.lit(0))
+    crowd = rows.join(hot, ["turn", "key"], "left_semi").select("node", "fp", "n", "keys").dropDuplicates(["node"])
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct((b + KEYS).alias("turn"), F.xxhash64(b + KEYS, F.get("keys", b * 2 + KEYS), F.get("keys", b * 2 + KEYS + 1)).alias("group")))
+    pairs = crowd.withColumn("_b", F.explode(bands)).select("node", "fp", "n", "keys", "_b.turn", "_b.group")
     pieces = F.ceil(F.greatest(F.count("*") / TRIE_LEAVES, F.sum("n") / GROUP_SHINGLES) * 2)
     dealt = alone.unionByName(_dealt(pairs, ["group"], crowded, pieces, ["node"]).select(*kept))
 
@@ -343,7 +355,7 @@ def copy_links(values: DataFrame, texts: DataFrame, size: int, similarity: float
             yield pa.RecordBatch.from_pydict({k: c[k][some] for k in ("task", "turn", "node")})
 
     tasks = dealt.repartition(shuffle_parts(spark), "task").sortWithinPartitions("task", "node").mapInArrow(meet, "task long, turn int, node long")
-    # A node's tasks are as many as min-hashes, or as pairs of pieces of a frequent one.
+    # A node's tasks are as many as min-hashes and bands, or as pairs of pieces of a frequent one.
     met = tasks.groupBy("node").agg(F.collect_set(F.struct("task", "turn")).alias("tasks"))
     met = materialise(met.join(values, "node").withColumnsRenamed({"doc_id": "_d", "_h": "_k"}))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))
@@ -384,8 +396,8 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """The rows of docs without near copies: of each group the row with the smallest doc_id stays (null ids come last).
 
     Rows link when the Jaccard similarity of their sets of size-word shingles is at least similarity; groups are what links
-    connect. Every link found is exact; a pair at the very threshold is missed in about one case of 200 (see KEYS and
-    COPY_BITS). Equal rows are copies, of which one stays; texts without words, null included, are copies of each other;
+    connect. Every link found is exact; a pair at the very threshold is missed in about one case of 200, however many rows
+    share a min-hash (see KEYS, BANDS and COPY_BITS). Equal rows are copies, of which one stays; texts without words, null included, are copies of each other;
     texts of fewer than size words have one shingle, all of their words. An empty table stays empty.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("_h"))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -139,6 +140,23 @@ def test_keep_one_against_brute_force(spark, monkeypatch):
     assert near > 100 and want <= set(found) and len(found) <= len(groups) + 0.02 * near, (len(found), len(groups), near)
 
 
+@pytest.mark.parametrize("leaves", [2048, 2])
+def test_recall_of_pairs_at_the_threshold(spark, monkeypatch, leaves):
+    """Pairs of similarity 0.8125 whose texts all share a passage: as few are missed when all their min-hashes are crowded."""
+    rng, rows, pairs = np.random.default_rng(11), [], 600
+    for p in range(pairs):
+        words = [f"p{p}w{i}" for i in range(183)]
+        at = [30, 70, 110, 150]  # five shingles each: 20 of 179 on either side, so 159 of 199 and a little more with the passage
+        other = [f"other{p}x{i}" if i in at else w for i, w in enumerate(words)]
+        passage = [f"shared{i}" for i in range(11)]
+        rows += [(2 * p, " ".join(passage + words)), (2 * p + 1, " ".join(passage + other))]
+    a, b = grams_of(rows[0][1]), grams_of(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    monkeypatch.setattr(s, "TRIE_LEAVES", leaves)
+    left = {r.doc_id for r in s.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(0, 2 * pairs, 2)} <= left and len(left) - pairs <= 0.012 * pairs, len(left) - pairs
+
+
 def test_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
