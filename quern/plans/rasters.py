@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.operators import alignment, extraction, jobs, outlines, packaging, raster, template, uploads, validation
+from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, raster, skew, template, uploads, validation
 from quern.plans.catalogue import r6, read
 from quern.streaming import status
 
@@ -102,6 +102,62 @@ def raster_merged_boxes(spark, d):
     return raster.merged_boxes(raster.boxes(raster.labelled(_runs(spark, d))), F.lit(1.5))
 
 
+def _stencil(value: str, weights: list[float], line: str, at: str) -> str:
+    """The weighted sum over a bounded frame; the line's ends count again beyond them."""
+    parts = []
+    for k, w in enumerate(weights):
+        step = k - len(weights) // 2
+        near = value if not step else f"coalesce({'lag' if step < 0 else 'lead'}({value}, {abs(step)}) OVER (PARTITION BY {line} ORDER BY {at}), {'first' if step < 0 else 'last'}_value({value}) OVER (PARTITION BY {line} ORDER BY {at} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+        parts.append(f"{near} * {w!r}::double")
+    return " + ".join(parts)
+
+
+@query(f"""WITH {PX}, a AS (SELECT image, x, y, v, {_stencil('v::double', filters.gaussian(5), 'image, y', 'x')} AS m FROM px), b AS (SELECT image, x, y, v, round({_stencil('m', filters.gaussian(5), 'image, x', 'y')}, 6) AS mean FROM a)
+SELECT image, x, y FROM b WHERE v <= mean - 15""")
+def raster_adaptive_ink(spark, d):
+    """Pixels that are darker than their 5 x 5 neighbourhood."""
+    return filters.adaptive_ink(_pixels(spark, d), 5)
+
+
+NEAR = PX + """,
+wide AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM ink, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
+firm AS (SELECT image, x, y FROM ink JOIN (SELECT a.image, a.x, a.y, count(*) AS n FROM ink a JOIN ink b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL) USING (image, x, y)
+  WHERE n = (least(x + 1, 7) - greatest(x - 1, 0) + 1) * (least(y + 1, 7) - greatest(y - 1, 0) + 1)),
+open AS (SELECT DISTINCT image, x + dx AS x, y + dy AS y FROM firm, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7)"""
+RUNS_OF = "SELECT image, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS k FROM {}) GROUP BY image, y, k"
+
+
+def _sizes(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(C("vec_id").alias("image"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
+
+
+@query(f"WITH {NEAR} {RUNS_OF.format('wide')}")
+def raster_dilated(spark, d):
+    return filters.dilated(_runs(spark, d), _sizes(spark, d), 1, 1)
+
+
+@query(f"WITH {NEAR} {RUNS_OF.format('firm')}")
+def raster_eroded(spark, d):
+    return filters.eroded(_runs(spark, d), _sizes(spark, d), 1, 1)
+
+
+@query(f"WITH {NEAR} {RUNS_OF.format('open')}")
+def raster_opened(spark, d):
+    return filters.opened(_runs(spark, d), _sizes(spark, d), 1, 1)
+
+
+@query(f"""WITH {PX}, e AS (SELECT DISTINCT image, unnest([min(x0), max(x1) - 1]) AS x, y FROM runs GROUP BY image, y),
+side AS (SELECT a.image, b.x - a.x AS dx, b.y - a.y AS dy FROM e a JOIN e b ON a.image = b.image AND (a.x <> b.x OR a.y <> b.y) JOIN e c ON c.image = a.image GROUP BY a.image, a.x, a.y, b.x, b.y HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0),
+box AS (SELECT side.image, dx, dy, round((max(e.x * dx + e.y * dy) - min(e.x * dx + e.y * dy)) * (max(e.y * dx - e.x * dy) - min(e.y * dx - e.x * dy)) / (dx * dx + dy * dy)::double, 6) AS area, round(degrees(atan2(dy::double, dx::double)), 6) AS deg FROM side JOIN e USING (image) GROUP BY side.image, dx, dy),
+ang AS (SELECT image, area, round(deg - 90 * floor(deg / 90), 6) AS raw FROM box), n AS (SELECT image, count(*) AS ink FROM ink GROUP BY 1),
+best AS (SELECT image, raw, raw + 45 - 90 * floor((raw + 45) / 90) - 45 AS lean FROM ang QUALIFY row_number() OVER (PARTITION BY image ORDER BY area, round(abs(raw + 45 - 90 * floor((raw + 45) / 90) - 45), 6), raw) = 1)
+SELECT vec_id AS image, CASE WHEN ink >= 12 THEN CASE WHEN abs(coalesce(lean, 0)) > 15 THEN 0 ELSE round(coalesce(lean, 0), 4) END END AS angle, CASE WHEN coalesce(ink, 0) < 12 THEN 'not enough ink to estimate the rotation' END AS failure
+FROM embeddings LEFT JOIN n ON n.image = vec_id LEFT JOIN best ON best.image = vec_id""")
+def raster_skew(spark, d):
+    """The skew of every vector's ink, of which twelve pixels are enough here."""
+    return skew.skew(_sizes(spark, d), _runs(spark, d), 12).withColumn("angle", F.round("angle", 4))
+
+
 @query()
 def raster_outlines(spark, d):
     runs = _runs(spark, d).withColumnRenamed("image", "glyph")
