@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quern.functions import geometry
-from quern.operators import raster
+from quern.operators import raster, rectify
 from quern.operators.alignment import projected
 
 #: Fixed: pixels around a box of the template; marks on plain pages have their own padding.
@@ -56,15 +56,21 @@ def page_failures(found: DataFrame) -> DataFrame:
     return found.filter("error is not null").groupBy("image").agg(F.min_by("error", "character_id").alias("error"))
 
 
-def template_glyphs(pages: DataFrame, elements: DataFrame, runs: DataFrame, page_height: float, dpi: float, padding: int = PADDING) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(glyphs, their runs, failures of pages): every box of every good page cut out, specks removed.
+def template_glyphs(pages: DataFrame, elements: DataFrame, runs: DataFrame, page_size: tuple[float, float], dpi: float, padding: int = PADDING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(glyphs, their runs, failures of pages): every box of every good page cut out upright, specks removed.
 
+    pages: image, page and h (photo to template pixels; null: the photo is upright). page_size: width and height in points; boxes
+    are padded and clamped in template pixels, where the page is upright, and their ink is fetched from the photo.
     glyphs: glyph (image/character_id), image, page, character, character_id, x, y, width, height.
     """
-    found = windows(pages, elements, page_height, dpi, padding)
+    width, height = (geometry.page_pixels(F.lit(v), dpi) for v in page_size)
+    flat = pages.select("image", "page", width.alias("width"), height.alias("height"), F.lit(None).cast("array<double>").alias("h"))
+    found = windows(flat, elements, page_size[1], dpi, padding)
     failures = page_failures(found)
     glyphs = found.join(failures.select("image"), "image", "left_anti").drop("error").withColumn("glyph", F.concat_ws("/", F.col("image").cast("string"), "character_id"))
-    return glyphs, raster.cut(runs, glyphs), failures
+    back = pages.select("image", F.when(F.col("h").isNotNull(), inverse(F.col("h"))).alias("back"))
+    ink = rectify.upright(runs, glyphs.join(back, "image")).withColumnRenamed("glyph", "image")
+    return glyphs, raster.without_specks(raster.labelled(ink)).select(F.col("image").alias("glyph"), "y", "x0", "x1"), failures
 
 
 def with_specs(rows: DataFrame, specs: DataFrame) -> DataFrame:

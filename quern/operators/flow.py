@@ -70,7 +70,7 @@ def template_jobs(images: DataFrame, runs: DataFrame, detected: DataFrame, expec
     fits = stored(alignment.homographies(alignment.point_pairs(detected, expected, voted)))
     placed = stored(alignment.aligned(images, voted, elements, fits, len(template.CORNERS)))
     good = placed.filter("failure is null").join(images.select("job_id", "image", "width", "height"), "image")
-    found, cut, failures = extraction.template_glyphs(good.select("image", "page", "width", "height", "h"), elements, runs, template.PAGE_HEIGHT, dpi)
+    found, cut, failures = extraction.template_glyphs(good.select("image", "page", "h"), elements, runs, (template.PAGE_WIDTH, template.PAGE_HEIGHT), dpi)
     order = F.xxhash64("image", "character_id")
     found = stored(found.join(good.select("image", "job_id", F.col("confidence").alias("extraction_confidence")), "image").withColumn("seq", order))
     reasons = placed.select("image", F.col("failure").alias("_f")).join(failures, "image", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, raster, skew, template, uploads, validation
+from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, raster, rectify, skew, template, uploads, validation
 from quern.plans.catalogue import r6, read
 from quern.streaming import status
 
@@ -102,6 +102,19 @@ def raster_merged_boxes(spark, d):
     return raster.merged_boxes(raster.boxes(raster.labelled(_runs(spark, d))), F.lit(1.5))
 
 
+#: A turned and slanted view: from the crop's pixels to the photo's.
+BACK = [0.6125, -0.3537, 1.0391, 0.3537, 0.6125, -1.6207, 0.0111, -0.0173, 1.0]
+VIEW = ["floor(({} * u + {} * v + {}) / ({} * u + {} * v + {}) + 0.5)".format(*(f"({x}::double)" for x in BACK[i : i + 3] + BACK[6:])) for i in (0, 3)]
+
+
+@query(f"""WITH {PX}, t AS (SELECT u, v, {VIEW[0]} AS x, {VIEW[1]} AS y FROM range(1, 12) a(u), range(12) b(v)), seen AS (SELECT image, u - 1 AS x, v AS y FROM ink JOIN t USING (x, y))
+SELECT image, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS k FROM seen) GROUP BY image, y, k""")
+def raster_upright(spark, d):
+    """Every vector as a photo of a page that is turned by 30 degrees and slanted, cut out upright."""
+    boxes = read(spark, d, "embeddings").select(C("vec_id").alias("image"), C("vec_id").alias("glyph"), F.lit(1).alias("x"), F.lit(0).alias("y"), F.lit(11).alias("width"), F.lit(12).alias("height"), F.lit(BACK).alias("back"))
+    return rectify.upright(_runs(spark, d), boxes).withColumnRenamed("glyph", "image")
+
+
 def _stencil(value: str, weights: list[float], line: str, at: str) -> str:
     """The weighted sum over a bounded frame; the line's ends count again beyond them."""
     parts = []
