@@ -31,7 +31,8 @@ class Result:
     events: DataFrame
 
 
-def _events(rows: DataFrame, event: str, fields: list[str]) -> DataFrame:
+def events_of(rows: DataFrame, event: str, fields: list[str]) -> DataFrame:
+    """job_id, event, fields (JSON): one event a row."""
     return rows.select("job_id", F.lit(event).alias("event"), F.to_json(F.struct(*fields)).alias("fields"))
 
 
@@ -46,8 +47,8 @@ def _finished(glyphs: DataFrame, runs: DataFrame, pages: DataFrame, out: DataFra
     results = stored(jobs.job_results(pages, verdicts))
     done = results.filter("state = 'completed'")
     counts = results.withColumn("total", F.col("valid") + F.col("invalid"))
-    events = [*before, _events(counts, "VALIDATION_COMPLETED", ["total", "valid", "invalid"]), _events(done, "JOB_COMPLETED", ["job_id"])]
-    events.append(_events(results.filter("state = 'failed'").withColumnRenamed("error", "reason"), "JOB_FAILED", ["reason"]))
+    events = [*before, events_of(counts, "VALIDATION_COMPLETED", ["total", "valid", "invalid"]), events_of(done, "JOB_COMPLETED", ["job_id"])]
+    events.append(events_of(results.filter("state = 'failed'").withColumnRenamed("error", "reason"), "JOB_FAILED", ["reason"]))
     every = events[0]
     for e in events[1:]:
         every = every.unionByName(e)
@@ -56,7 +57,7 @@ def _finished(glyphs: DataFrame, runs: DataFrame, pages: DataFrame, out: DataFra
 
 def _page_events(pages: DataFrame) -> list[DataFrame]:
     good = pages.filter("succeeded")
-    return [_events(good, "GLYPHS_EXTRACTED", ["source_image", "glyphs_extracted"]), _events(pages.filter("not succeeded"), "PAGE_FAILED", ["source_image", "error"])]
+    return [events_of(good, "GLYPHS_EXTRACTED", ["source_image", "glyphs_extracted"]), events_of(pages.filter("not succeeded"), "PAGE_FAILED", ["source_image", "error"])]
 
 
 def template_jobs(images: DataFrame, runs: DataFrame, detected: DataFrame, expected: DataFrame, elements: DataFrame, dpi: float, out: DataFrame | None = None) -> Result:
@@ -76,10 +77,11 @@ def template_jobs(images: DataFrame, runs: DataFrame, detected: DataFrame, expec
     reasons = placed.select("image", F.col("failure").alias("_f")).join(failures, "image", "left")
     pages = images.select("job_id", "image").join(reasons, "image").select("job_id", F.col("image").alias("source_image"), F.coalesce("_f", "error").alias("error"))
     pages = stored(jobs.outcomes(pages, found.withColumnRenamed("image", "source_image")))
+    created = events_of(images.select("job_id").distinct(), "JOB_CREATED", ["job_id"])
     aligned = good.select("job_id", "image", "page", "confidence")
     best = jobs.best_glyphs(found, "seq")
     lost = found.select("job_id", "image", "character_id", "seq").join(best.select("job_id", "character_id", "seq"), ["job_id", "character_id", "seq"], "left_anti")
-    events = [_events(aligned, "PAGE_ALIGNED", ["image", "page", "confidence"]), *_page_events(pages), _events(lost, "DUPLICATE_GLYPH_DISCARDED", ["image", "character_id"])]
+    events = [created, events_of(aligned, "PAGE_ALIGNED", ["image", "page", "confidence"]), *_page_events(pages), events_of(lost, "DUPLICATE_GLYPH_DISCARDED", ["image", "character_id"])]
     return _finished(best, cut, pages, out, events)
 
 
@@ -95,8 +97,9 @@ def plain_jobs(images: DataFrame, runs: DataFrame, expected: DataFrame, specs: D
     found = stored(found)
     pages = images.select("job_id", "image").join(failures, "image", "left").select("job_id", F.col("image").alias("source_image"), "error")
     pages = stored(jobs.outcomes(pages, found.withColumnRenamed("image", "source_image")))
-    started = _events(images, "FREEFORM_JOB_STARTED", ["image"])
-    return _finished(jobs.best_glyphs(found, "seq"), raster.cut(runs, found), pages, out, [started, *_page_events(pages)])
+    created = events_of(images.select("job_id").distinct(), "JOB_CREATED", ["job_id"])
+    started = events_of(images, "FREEFORM_JOB_STARTED", ["image"])
+    return _finished(jobs.best_glyphs(found, "seq"), raster.cut(runs, found), pages, out, [created, started, *_page_events(pages)])
 
 
 def rewritten(old: Result, new: Result) -> Result:
@@ -106,12 +109,19 @@ def rewritten(old: Result, new: Result) -> Result:
     after = new.glyphs.select(*names).withColumns({"_run": F.lit(1), "glyph": F.concat(F.lit("1/"), "glyph")})
     glyphs = jobs.rewritten(before, after, "_run").select(*names)
     runs = old.runs.withColumn("glyph", F.concat(F.lit("0/"), "glyph")).unionByName(new.runs.withColumn("glyph", F.concat(F.lit("1/"), "glyph")))
-    started = new.glyphs.select("job_id").distinct()
-    pages = old.pages.unionByName(new.pages)
-    return _finished(glyphs, runs, pages, None, [_events(started, "REWRITE_STARTED", ["job_id"])])
+    tried = stored(new.pages.groupBy("job_id").agg(F.min(F.when(~F.col("succeeded"), F.coalesce("error", F.lit("no glyphs")))).alias("reason")))
+    got = new.glyphs.groupBy("job_id").agg(F.count("*").alias("characters"))
+    events = [
+        events_of(tried, "REWRITE_STARTED", ["job_id"]),
+        events_of(got, "REWRITE_EXTRACTED", ["characters"]),
+        events_of(tried.filter("reason is not null"), "REWRITE_FAILED", ["reason"]),
+    ]
+    # A rewrite that fails leaves its job's pages as they were.
+    pages = old.pages.unionByName(new.pages.filter("succeeded"))
+    return _finished(glyphs, runs, pages, None, events)
 
 
 def without(done: Result, out: DataFrame) -> Result:
     """The jobs judged again with the characters of out (job_id, character_id) left out."""
     started = out.select("job_id").distinct()
-    return _finished(done.glyphs, done.runs, done.pages, out, [_events(started, "EXCLUDE_STARTED", ["job_id"])])
+    return _finished(done.glyphs, done.runs, done.pages, out, [events_of(started, "EXCLUDE_STARTED", ["job_id"])])

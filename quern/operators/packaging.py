@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import outlines
 
-#: Ids in one row of a metadata list; character sets are far smaller.
-LIST = 4096
+#: The name of a job's package, and what its notes say of the other files.
+PACKAGE = "package.zip"
+CONTENTS = (("preview.png", "a sample of the font"), ("preview.pdf", "a sample of the font for printing"), ("glyphs.zip", "every glyph as a drawing (SVG)"), ("metadata.json", "names, version and character coverage"))
+#: Names that a font may have besides those it needs.
+OPTIONAL = ("creator", "description", "generated_at")
 
 
 def metadata(validations: DataFrame, names: DataFrame) -> DataFrame:
     """job_id, glyph_count, valid_characters, invalid_characters (sorted) and document (JSON), one row a job.
 
-    names: job_id, family_name, style_name, version, template_id. A job's ids are distinct, at most the character set.
+    names: job_id, family_name, style_name, version, template_id, and any of creator, description and generated_at (text). A
+    job's ids are distinct, at most the character set.
     """
     ids = validations.select("job_id", "character_id", "valid").distinct()
     lists = ids.groupBy("job_id").agg(F.count_if("valid").alias("glyph_count"), *(F.array_sort(F.collect_set(F.when(F.col("valid") == v, F.col("character_id")))).alias(n) for v, n in ((True, "valid_characters"), (False, "invalid_characters"))))
     rows = names.join(lists, "job_id")
-    fields = ("family_name", "style_name", "version", "template_id", "glyph_count", "valid_characters", "invalid_characters")
+    creator, description, made = ([c] if c in names.columns else [] for c in OPTIONAL)
+    fields = ("family_name", "style_name", "version", *creator, *description, "template_id", *made, "glyph_count", "valid_characters", "invalid_characters")
     return rows.select("job_id", "family_name", "style_name", "glyph_count", "valid_characters", "invalid_characters", F.to_json(F.struct(*fields)).alias("document"))
 
 
@@ -29,7 +34,10 @@ def notes(validations: DataFrame, names: DataFrame) -> DataFrame:
     bad = F.count_if(~F.col("valid"))
     rows = validations.groupBy("job_id").agg(text.coverage(F.count_if("valid"), F.count("*")).alias("coverage"), text.coverage_note(bad).alias("note"))
     rows = names.join(rows, "job_id")
-    lines = [F.col("family_name"), F.repeat(F.lit("="), F.length("family_name")), F.lit(""), F.lit("Character coverage"), F.lit("-" * 19), F.concat("coverage", F.lit(" were included in this font.")), F.col("note"), F.lit("")]
+    font = text.postscript_name(F.col("family_name"), F.col("style_name"))
+    files = [F.concat(font, F.lit(".ttf: TrueType font (install this one or the other)")), F.concat(font, F.lit(".otf: OpenType font"))]
+    files += [F.lit(f"{name}: {what}") for name, what in CONTENTS]
+    lines = [F.col("family_name"), F.repeat(F.lit("="), F.length("family_name")), F.lit(""), F.lit("Contents"), F.lit("-" * 8), *files, F.lit(""), F.lit("Character coverage"), F.lit("-" * 19), F.concat("coverage", F.lit(" were included in this font.")), F.col("note"), F.lit("")]
     return rows.select("job_id", "coverage", "note", F.concat_ws("\n", *lines).alias("document"))
 
 

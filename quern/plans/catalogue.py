@@ -126,20 +126,22 @@ def row_cluster_reading_order(spark, d):
 
 
 MATCH = """WITH s AS (SELECT o_orderkey, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-c AS (SELECT event_id, user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+c AS (SELECT l_partkey, l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"""
 
 
 def _sides(spark, d):
     left = read(spark, d, "orders").select("o_orderkey", C("o_custkey").alias("k"), "o_totalprice")
-    return left, read(spark, d, "events").select("event_id", C("user_id").alias("k"))
+    return left, read(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_suppkey", C("l_orderkey").alias("k"))
 
 
-@query(MATCH + " SELECT k, i AS position, o_orderkey, event_id FROM s JOIN c USING (k, i, n)")
+@query(MATCH + " SELECT k, i AS position, o_orderkey, l_partkey FROM s JOIN c USING (k, i, n)")
 def positional_match(spark, d):
-    return ranking.matched_by_position(*_sides(spark, d), ["k"], ["o_totalprice", "o_orderkey"], ["event_id"]).select("k", "position", "o_orderkey", "event_id")
+    """A customer's orders against the lines of the order of that number, where there are as many."""
+    matched = ranking.matched_by_position(*_sides(spark, d), ["k"], ["o_totalprice", "o_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    return matched.select("k", "position", "o_orderkey", "l_partkey")
 
 
-@query("WITH s AS (SELECT o_custkey AS k, count(*) AS found FROM orders GROUP BY 1), c AS (SELECT user_id AS k, count(*) AS expected FROM events GROUP BY 1) SELECT k, coalesce(found, 0) AS found, coalesce(expected, 0) AS expected, coalesce(found, 0) = coalesce(expected, 0) AS matches FROM s FULL JOIN c USING (k)")
+@query("WITH s AS (SELECT o_custkey AS k, count(*) AS found FROM orders GROUP BY 1), c AS (SELECT l_orderkey AS k, count(*) AS expected FROM lineitem GROUP BY 1) SELECT k, coalesce(found, 0) AS found, coalesce(expected, 0) AS expected, coalesce(found, 0) = coalesce(expected, 0) AS matches FROM s FULL JOIN c USING (k)")
 def positional_match_guard(spark, d):
     return ranking.position_counts(*_sides(spark, d), ["k"])
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue, rasters
+from quern.plans import catalogue, flows, rasters
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,8 +18,8 @@ def duck():
     return con
 
 
-PLANS = {**catalogue.queries(), **rasters.queries()}
-SQL = {**catalogue.oracle_sql(), **rasters.oracle_sql()}
+PLANS = {**catalogue.queries(), **rasters.queries(), **flows.queries()}
+SQL = {**catalogue.oracle_sql(), **rasters.oracle_sql(), **flows.oracle_sql()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

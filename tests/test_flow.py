@@ -10,7 +10,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quern.functions import geometry, text
-from quern.operators import extraction, flow, jobs, outlines, packaging, raster, template, uploads, validation
+from quern.operators import delivery, extraction, flow, jobs, outlines, packaging, raster, template, uploads, validation
+from quern.sources import file_table
 from quern.sources import images as sources
 from quern.streaming import status
 
@@ -74,7 +75,7 @@ def corner_table(spark):
     return expected
 
 
-def test_template_job_from_photo_to_results(spark):
+def test_template_job_from_photo_to_results(spark, tmp_path):
     """Job 1: a good page twice and a page without markers; job 2: only a blank page, seen through a shifted camera."""
     first, elements = template_page(spark, {"uppercase_A", "uppercase_L", "lowercase_c"})
     expected = corner_table(spark)
@@ -96,7 +97,7 @@ def test_template_job_from_photo_to_results(spark):
     assert (results[1].state, results[1].failed_pages, results[1].valid, results[1].invalid) == ("completed", 1, 3, 53)
     assert (results[2].state, results[2].error) == ("failed", "no valid glyphs")
     events = {(r.job_id, r.event): r.n for r in out.events.groupBy("job_id", "event").agg(F.count("*").alias("n")).collect()}
-    assert events == {(1, "PAGE_ALIGNED"): 2, (2, "PAGE_ALIGNED"): 1, (1, "GLYPHS_EXTRACTED"): 2, (2, "GLYPHS_EXTRACTED"): 1, (1, "PAGE_FAILED"): 1, (1, "DUPLICATE_GLYPH_DISCARDED"): 56, (1, "VALIDATION_COMPLETED"): 1, (2, "VALIDATION_COMPLETED"): 1, (1, "JOB_COMPLETED"): 1, (2, "JOB_FAILED"): 1}
+    assert events == {(1, "PAGE_ALIGNED"): 2, (2, "PAGE_ALIGNED"): 1, (1, "GLYPHS_EXTRACTED"): 2, (2, "GLYPHS_EXTRACTED"): 1, (1, "PAGE_FAILED"): 1, (1, "DUPLICATE_GLYPH_DISCARDED"): 56, (1, "VALIDATION_COMPLETED"): 1, (2, "VALIDATION_COMPLETED"): 1, (1, "JOB_COMPLETED"): 1, (2, "JOB_FAILED"): 1, (1, "JOB_CREATED"): 1, (2, "JOB_CREATED"): 1}
     # Left out by hand, then nothing else changes.
     less = flow.without(out, spark.createDataFrame([(1, "uppercase_A")], "job_id long, character_id string"))
     a = less.validations.filter("character_id = 'uppercase_A' and job_id = 1").first()
@@ -109,6 +110,55 @@ def test_template_job_from_photo_to_results(spark):
     both = flow.rewritten(out, again)
     assert {(r.job_id, r.character_id) for r in both.validations.collect() if r.valid} == valid | {(1, "uppercase_B")}
     assert both.jobs.filter("job_id = 1").first().valid == 4 and both.events.filter("event = 'REWRITE_STARTED'").count() == 1
+    assert [json.loads(r.fields) for r in both.events.filter("event = 'REWRITE_EXTRACTED'").collect()] == [{"characters": 2}] and both.events.filter("event = 'REWRITE_FAILED'").count() == 0
+    # A photo with too few marks fails: the job stays as it was.
+    short = flow.plain_jobs(spark.createDataFrame([(1, "re2", 400, 300)], "job_id long, image string, width int, height int"), spark.createDataFrame(runs_of(page, "re2"), "image string, y int, x0 int, x1 int"), spark.createDataFrame([("re2", i, c) for i, c in enumerate(("uppercase_B", "uppercase_A", "uppercase_C"), 1)], "image string, position int, character_id string"), template.characters(spark))
+    same = flow.rewritten(out, short)
+    assert {(r.job_id, r.character_id) for r in same.validations.collect() if r.valid} == valid and sorted(same.jobs.collect()) == sorted(out.jobs.collect())
+    assert [json.loads(r.fields) for r in same.events.filter("event = 'REWRITE_FAILED'").collect()] == [{"reason": "found 2 characters, expected 3"}]
+    # The tail: drawings, archives and packages of the completed job; the files come back from their folder as they were.
+    made = delivery.delivered(both, template.characters(spark), names_of(spark, [1, 2]), fonts_of(spark, [1, 2]))
+    assert {(r.job_id, r.state) for r in made.jobs.collect()} == {(1, "completed"), (2, "failed")}
+    assert {(r.job_id, r.character_id) for r in made.svgs.collect()} == valid | {(1, "uppercase_B")} and made.svgs.filter("svg like '%M %Z%'").count() == 4
+    assert {(r.job_id, r.event) for r in made.events.collect() if r.job_id == 1} >= {(1, e) for e in ("VALIDATION_COMPLETED", "FONT_GENERATED", "PREVIEW_GENERATED", "PACKAGE_CREATED", "JOB_COMPLETED")}
+    file_table.write_files(made.files.unionByName(delivery.glyph_files(both)), str(tmp_path / "files"))
+    back = {(r.job_id, r.name): bytes(r.content) for r in file_table.read_files(spark, str(tmp_path / "files")).collect()}
+    assert {n for j, n in back if n.endswith(".svg")} == {"uppercase_A.svg", "uppercase_B.svg", "uppercase_L.svg", "lowercase_c.svg"} and {j for j, n in back if not n.endswith(".png")} == {"1"}
+    with zipfile.ZipFile(io.BytesIO(back["1", "package.zip"])) as z:
+        assert z.namelist() == ["MyHand-Regular.otf", "MyHand-Regular.ttf", "README.txt", "glyphs.zip", "metadata.json", "preview.pdf", "preview.png"]
+        said = json.loads(z.read("metadata.json"))
+        assert said["creator"] == "someone" and said["generated_at"] == "2024-01-01T00:00:00+00:00" and said["glyph_count"] == 4 and "MyHand-Regular.ttf" in z.read("README.txt").decode()
+        with zipfile.ZipFile(io.BytesIO(z.read("glyphs.zip"))) as inner:
+            assert inner.read("uppercase_A.svg") == back["1", "uppercase_A.svg"]
+
+
+def names_of(spark, ids):
+    rows = [(i, "My Hand", "Regular", "1.0", "t", "someone", "a hand", "2024-01-01T00:00:00+00:00") for i in ids]
+    return spark.createDataFrame(rows, "job_id long, family_name string, style_name string, version string, template_id string, creator string, description string, generated_at string")
+
+
+def fonts_of(spark, ids, kinds=("ttf", "otf", "png", "pdf")):
+    return spark.createDataFrame([(i, k, k.encode()) for i in ids for k in kinds], "job_id long, kind string, content binary")
+
+
+def test_deliveries_that_fail(spark):
+    """A job without a preview, one without names and one whose valid glyph has no ink fail alone."""
+    glyphs = [(f"{j}/{c}", j, f"p{j}", c[-1], c, 20, 20, 1.0, 1) for j in (1, 2, 3, 4) for c in ("uppercase_A", "lowercase_p")]
+    runs = [(g[0], y, 5, 15) for g in glyphs for y in range(5, 15) if g[0] != "3/lowercase_p"]
+    verdicts = [(g[1], g[4], g[3], True, 1.0, []) for g in glyphs]
+    done = flow.Result(
+        spark.createDataFrame(glyphs, "glyph string, job_id long, image string, character string, character_id string, width int, height int, extraction_confidence double, seq long"),
+        spark.createDataFrame(runs, "glyph string, y int, x0 int, x1 int"),
+        spark.createDataFrame([], "job_id long, source_image string, succeeded boolean, error string, glyphs_extracted long"),
+        spark.createDataFrame(verdicts, "job_id long, character_id string, character string, valid boolean, confidence double, warnings array<string>"),
+        spark.createDataFrame([(j, "completed", 1, 0, 2, 0, None) for j in (1, 2, 3, 4)], "job_id long, state string, pages long, failed_pages long, valid long, invalid long, error string"),
+        spark.createDataFrame([(j, "JOB_COMPLETED", "{}") for j in (1, 2, 3, 4)], "job_id long, event string, fields string"),
+    )
+    fonts = fonts_of(spark, [1, 3, 4]).unionByName(fonts_of(spark, [2], ("ttf", "otf", "pdf")))
+    made = delivery.delivered(done, template.characters(spark), names_of(spark, [1, 2, 3]), fonts)
+    assert {r.job_id: (r.state, r.error) for r in made.jobs.collect()} == {1: ("completed", None), 2: ("failed", "missing: png"), 3: ("failed", "no contours of lowercase_p"), 4: ("failed", "no names")}
+    assert {r.job_id for r in made.packages.collect()} == {1} == {r.job_id for r in made.files.collect()}
+    assert {(r.job_id, r.event) for r in made.events.collect()} == {(1, "FONT_GENERATED"), (2, "FONT_GENERATED"), (1, "PREVIEW_GENERATED"), (1, "PACKAGE_CREATED"), (1, "JOB_COMPLETED"), (2, "JOB_FAILED"), (3, "JOB_FAILED"), (4, "JOB_FAILED")}
 
 
 def test_plain_jobs(spark):
