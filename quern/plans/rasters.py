@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, raster, rectify, skew, template, uploads, validation
+from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, paths, polygons, raster, rectify, skew, template, uploads, validation
 from quern.plans.catalogue import r6, read
 from quern.streaming import status
 
@@ -115,6 +115,43 @@ def raster_upright(spark, d):
     return rectify.upright(_runs(spark, d), boxes).withColumnRenamed("glyph", "image")
 
 
+NEXT = "lead(x, 1, fx) OVER w AS nx, lead(y, 1, fy) OVER w AS ny, CASE WHEN i + 2 <= n THEN lead(x, 2) OVER w WHEN i + 1 = n THEN fx ELSE sx END AS ox, CASE WHEN i + 2 <= n THEN lead(y, 2) OVER w WHEN i + 1 = n THEN fy ELSE sy END AS oy"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_partkey % 1000 AS x, l_suppkey AS y, row_number() OVER o AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+f AS (SELECT *, first_value(x) OVER a AS fx, first_value(y) OVER a AS fy, coalesce(nth_value(x, 2) OVER a, x) AS sx, coalesce(nth_value(y, 2) OVER a, y) AS sy FROM p WINDOW a AS (PARTITION BY l_orderkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+q AS (SELECT *, {NEXT} FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY i)),
+t AS (SELECT *, sign((nx - x) * (oy - ny) - (ny - y) * (ox - nx)) AS turn FROM q)
+SELECT l_orderkey, round(sum(x * ny - nx * y) / 2.0::double, 6) AS area, round(sum(sqrt(((nx - x) * (nx - x) + (ny - y) * (ny - y))::double)), 4) AS perimeter, count(*) >= 3 AND NOT (max(turn) > 0 AND min(turn) < 0) AS convex FROM t GROUP BY 1""")
+def polygon_measures(spark, d):
+    """Every order's lines as the corners of a polygon."""
+    point = F.struct(C("l_linenumber").alias("n"), (C("l_partkey") % 1000).alias("x"), C("l_partkey").alias("p"), C("l_suppkey").alias("y"))
+    order = F.array_sort(F.collect_list(F.struct("_p.n", "_p.p", "_p.y", "_p.x")))
+    loops = read(spark, d, "lineitem").select("l_orderkey", point.alias("_p")).groupBy("l_orderkey").agg(order.alias("p"))
+    return loops.select("l_orderkey", r6(polygons.signed_area(C("p"))).alias("area"), F.round(polygons.perimeter(C("p")), 4).alias("perimeter"), polygons.convex(C("p")).alias("convex"))
+
+
+#: Eight points a vector, in hundredths: a line, a cubic and a quadratic segment, and the way back.
+TURNS = """WITH c AS (SELECT vec_id, list_transform(embedding[1:14], lambda e: round(e::double * 100, 2)) AS e FROM embeddings WHERE len(embedding) >= 14),
+s AS (SELECT vec_id, a, e[1 + a] AS m, e[3 + a] AS l, e[5 + a] AS c1, e[7 + a] AS c2, e[9 + a] AS c3, e[11 + a] AS q1, e[13 + a] AS q2 FROM c, range(2) t(a)),
+k AS (SELECT *, c3 - 3 * c2 + 3 * c1 - l AS p, 2 * (l - 2 * c1 + c2) AS q, c1 - l AS r, (c3 - q1) / nullif(c3 - 2 * q1 + q2, 0) AS tq FROM s),
+t AS (SELECT *, CASE WHEN q * q >= 4 * p * r THEN sqrt(q * q - 4 * p * r) END AS root FROM k),
+u AS (SELECT *, CASE WHEN abs(p) < 1e-9 THEN -r / nullif(q, 0) ELSE (-q - root) / (2 * nullif(p, 0)) END AS t1, CASE WHEN abs(p) >= 1e-9 THEN (-q + root) / (2 * p) END AS t2 FROM t),
+v AS (SELECT vec_id, a, unnest([m, l, c3, q2, CASE WHEN tq > 0 AND tq < 1 THEN (1 - tq) * (1 - tq) * c3 + 2 * tq * (1 - tq) * q1 + tq * tq * q2 END,
+  CASE WHEN t1 > 0 AND t1 < 1 THEN (1 - t1) ** 3 * l + 3 * t1 * (1 - t1) ** 2 * c1 + 3 * t1 ** 2 * (1 - t1) * c2 + t1 ** 3 * c3 END, CASE WHEN t2 > 0 AND t2 < 1 THEN (1 - t2) ** 3 * l + 3 * t2 * (1 - t2) ** 2 * c1 + 3 * t2 ** 2 * (1 - t2) * c2 + t2 ** 3 * c3 END]) AS v FROM u)"""
+
+
+@query(TURNS + " SELECT vec_id, round(min(v) FILTER (a = 0), 4) AS x0, round(min(v) FILTER (a = 1), 4) AS y0, round(max(v) FILTER (a = 0), 4) AS x1, round(max(v) FILTER (a = 1), 4) AS y1 FROM v GROUP BY 1")
+def path_bounds(spark, d):
+    """Every vector as a path of lines and curves: what it covers, not what its control points do."""
+    e = F.transform("embedding", lambda v: F.round(v.cast("double") * 100, 2).cast("decimal(18,2)").cast("string"))
+    p = [F.concat(F.get("_e", F.lit(i)), F.lit(" "), F.get("_e", F.lit(i + 1))) for i in range(0, 14, 2)]
+    text = F.concat(F.lit("M "), p[0], F.lit(" L "), p[1], F.lit(" C "), F.concat_ws(" ", *p[2:5]), F.lit(" Q "), F.concat_ws(" ", *p[5:7]), F.lit(" Z"))
+    drawn = read(spark, d, "embeddings").filter(F.size("embedding") >= 14).withColumn("_e", e).select("vec_id", text.alias("d"))
+    found = paths.bounds(drawn, "vec_id", "d")
+    return found.select("vec_id", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 def _stencil(value: str, weights: list[float], line: str, at: str) -> str:
     """The weighted sum over a bounded frame; the line's ends count again beyond them."""
     parts = []
