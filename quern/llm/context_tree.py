@@ -14,6 +14,8 @@ import numpy as np
 
 #: Symbol 0 stands for bytes that training has not seen, 1 for the start of a text.
 OTHER, START = 0, 1
+#: Classes whose numbers are worked out at a time, in doubles; the tree itself holds single precision.
+CLASSES = 4
 
 
 @dataclass
@@ -58,6 +60,31 @@ class ContextTree:
         return out
 
 
+def _numbers(counts: np.ndarray, context: np.ndarray, parent: np.ndarray, levels: list[np.ndarray], interpolate: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(value, cost) of all nodes for some classes, from their counts. levels: the nodes of each depth."""
+    total, n_classes = counts.shape
+    sums, kinds = np.zeros((total, n_classes)), np.zeros((total, n_classes))
+    np.add.at(sums, context[1:], counts[1:])
+    np.add.at(kinds, context[1:], counts[1:] > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(sums > 0, np.log(kinds / (sums + kinds)), 0.0)
+        cost = np.zeros((total, n_classes))
+        cost[0] = escape[0]
+        chance = np.full((total, n_classes), 1 / 256)
+        value = np.full((total, n_classes), np.log(1 / 256))
+        for at in levels[1:]:
+            cost[at] = cost[parent[at]] + escape[at]
+        for at in levels[1:]:
+            up, s = parent[at], context[at]
+            if interpolate:
+                known = sums[s] > 0
+                chance[at] = np.where(known, (counts[at] + kinds[s] * chance[up]) / (sums[s] + kinds[s]), chance[up])
+                value[at] = np.log(chance[at]) - cost[s]
+            else:
+                value[at] = np.where(counts[at] > 0, np.log(counts[at] / (sums[s] + kinds[s])) - cost[s], value[up])
+    return value, cost
+
+
 def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, least: int = 2, interpolate: bool = False) -> ContextTree:
     """A tree from texts with labels (indexes of classes).
 
@@ -81,7 +108,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
     start[first] = True
     # Level by level: node of each position, -1 where the string is too rare or would reach beyond the text's start.
     nodes, total = [np.zeros(len(x), dtype=np.int64)], 1
-    links, counts, context_of, parent_of, depths = [], [np.zeros((1, n_classes))], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    links, counts, context_of, parent_of, depths = [], [np.zeros((1, n_classes), np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     open_ = np.ones(len(x), dtype=bool)
     for k in range(order + 1):
         back = np.arange(len(x)) - k
@@ -96,7 +123,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
         node[at] = ids[inverse]
         example = at[where[keep]]
         links.append((names[keep], ids[keep]))
-        counts.append(both[keep].astype(np.float64))
+        counts.append(both[keep].astype(np.int32))
         parent_of.append(names[keep] // width)
         context_of.append(np.where(example > 0, nodes[k][example - 1], 0))
         depths.append(np.full(int(keep.sum()), k + 1))
@@ -111,26 +138,9 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
     # The start of a text is a context but is never predicted.
     names, ids = links[0]
     counts[ids[names % width == START]] = 0
-    sums, kinds = np.zeros((total, n_classes)), np.zeros((total, n_classes))
-    np.add.at(sums, context[1:], counts[1:])
-    np.add.at(kinds, context[1:], counts[1:] > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        escape = np.where(sums > 0, np.log(kinds / (sums + kinds)), 0.0)
-        cost = np.zeros((total, n_classes))
-        cost[0] = escape[0]
-        chance = np.full((total, n_classes), 1 / 256)
-        value = np.full((total, n_classes), np.log(1 / 256))
-        for d in range(1, order + 2):
-            at = np.flatnonzero(depth == d)
-            cost[at] = cost[parent[at]] + escape[at]
-        for d in range(1, order + 2):
-            at = np.flatnonzero(depth == d)
-            up, s = parent[at], context[at]
-            if interpolate:
-                known = sums[s] > 0
-                chance[at] = np.where(known, (counts[at] + kinds[s] * chance[up]) / (sums[s] + kinds[s]), chance[up])
-                value[at] = np.log(chance[at]) - cost[s]
-            else:
-                value[at] = np.where(counts[at] > 0, np.log(counts[at] / (sums[s] + kinds[s])) - cost[s], value[up])
-    value, cost = (np.concatenate([v, np.zeros((1, n_classes))]).astype(np.float32) for v in (value, cost))
+    value, cost = np.zeros((total + 1, n_classes), np.float32), np.zeros((total + 1, n_classes), np.float32)
+    levels = [np.flatnonzero(depth == d) for d in range(order + 2)]
+    for c in range(0, n_classes, CLASSES):
+        block = slice(c, c + CLASSES)
+        value[:total, block], cost[:total, block] = _numbers(counts[:, block].astype(np.float64), context, parent, levels, interpolate)
     return ContextTree(order, classes, symbol, child, np.append(parent, 0), np.append(depth, 0), value, cost)

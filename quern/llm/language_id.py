@@ -3,9 +3,10 @@
 Each language has a context tree of bytes with escape probabilities; a text's score in a language is its exact code length
 under the frozen statistics, and the shortest wins.
 
-The trees are fitted on a seeded sample of FIT_DOCS whole documents a language, or of fewer where FIT_ALL documents of all
-languages are reached (documented bounds); all other steps cover all rows and whole texts. Defined results: null texts and texts without a letter are ``und`` with score 0, and so is all
-text if no language was learned; documents without lang teach nothing; equal rows get equal results.
+The trees are fitted on a seeded sample of FIT_DOCS whole documents a language, or of fewer where these would be more than the
+language's share of FIT_BYTES (documented bounds, as expected numbers; every language keeps its share and one document at
+least, however many there are). All other steps cover all rows and whole texts. Defined results: null texts and texts without a letter are ``und`` with
+score 0, and so is all text if no language was learned; documents without lang teach nothing; equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import chunks, crc_mod, sized_broadcast, small_batches, utf8
 from quern.llm.context_tree import ContextTree, train
 
-#: Documents of each language, and of all together, as expected, that the trees see.
-FIT_DOCS, FIT_ALL = 250, 50_000
+#: Documents of each language that the trees see, and bytes of all together: so many for FIT_LANGUAGES languages and less for more,
+#: since every string has numbers for all languages.
+FIT_DOCS, FIT_BYTES, FIT_LANGUAGES = 250, 4_000_000, 6
 #: Bytes of context. Strings of the sample that occur at least so often are kept: all, since escapes are estimated from rare ones.
 ORDER, LEAST = 4, 1
 #: Nats a byte are multiplied by this before languages are weighed against each other.
@@ -39,14 +41,15 @@ def has_letter(text: bytes) -> bool:
 def learn(docs: DataFrame, held_out: int = 5) -> ContextTree | None:
     """Trees from docs (doc_id, text, lang) without those whose crc32(doc_id) mod held_out is 0."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", held_out) != 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(place).alias("least")).collect()  # a row per language
+    if not sizes:
         return None
     # Rows whose hash is under their language's rate: about as many of each, whichever tasks they are in.
-    each = min(FIT_DOCS, FIT_ALL / len(counts))
-    rates = [(lang, int(min(1.0, each / n) * (1 << 30))) for lang, n in sorted(counts.items())]
+    most = FIT_BYTES * min(1.0, FIT_LANGUAGES / len(sizes)) / len(sizes)
+    rates = sorted((r["lang"], max(r["least"] + 1, int(min(1.0, FIT_DOCS / r["n"], most / max(1, r["bytes"])) * (1 << 30)))) for r in sizes)
     known = known.join(sized_broadcast(docs.sparkSession.createDataFrame(rates, "lang string, _rate long")), "lang")
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)) < F.col("_rate"))
+    sample = known.filter(place < F.col("_rate"))
     rows = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())
     langs = sorted({lang for lang, _ in rows})
     if not langs:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import language_id, url_filter
+from quern.llm import context_tree, language_id, url_filter
 from quern.llm.common import table
 from quern.llm.context_tree import train
 
@@ -162,3 +162,30 @@ def test_url_model_against_brute_force(spark):
     accepted, refused = ([r.score for r in plain.values() if r.verdict == v] for v in ("allow", "block"))
     _, at = url_filter.learn(spark.createDataFrame([(i, r.host + r.path, r.verdict) for i, r in got.items() if r.rule], "page_id long, address string, verdict string"))
     assert accuracy(at) >= max(accuracy(x) for x, _ in other) - 1e-9 and all(x >= at for x in accepted) and all(x < at for x in refused)
+
+
+def test_classes_in_blocks_give_the_same_numbers(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(list(b"abcd "), 80)) for _ in range(40)]
+    labels = np.arange(40) % 7
+    for interpolate in (False, True):
+        got = []
+        for many in (100, 3, 1):
+            monkeypatch.setattr(context_tree, "CLASSES", many)
+            tree = context_tree.train(texts, labels, list("pqrstuv"), 3, 1, interpolate)
+            got.append((tree.value, tree.cost))
+        assert all((a == got[0][0]).all() and (b == got[0][1]).all() for a, b in got)
+        assert np.isfinite(got[0][0]).all() and got[0][0].any()
+
+
+def test_sample_of_many_languages_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FIT_BYTES", 60_000)
+    rows = [(i, f"{chr(97 + i % 20)}{chr(97 + i % 20)} wort {i} " * (1 if i % 3 else 40), f"l{i % 20:02}") for i in range(2000)]
+    seen = []
+    real = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda texts, *a: seen.append(sum(map(len, texts))) or real(texts, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tree = language_id.learn(docs)
+    assert len(tree.classes) == 20 and 5_000 < seen[0] < 40_000  # 18,000 expected
+    got = language_id.language_of(docs, tree).join(docs, "doc_id")
+    assert got.filter("lang_pred = lang").count() > 1900
