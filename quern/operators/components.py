@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 60
@@ -34,6 +34,12 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "snappy") -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """(stored(df), values of the aggregates counts over all its rows): they are observed while the rows are written, without another pass."""
+    seen = Observation()
+    return stored(df.observe(seen, *(c.alias(n) for n, c in counts.items()))), seen.get
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing needs any more."""
     spark, files = df.sparkSession, df.inputFiles()

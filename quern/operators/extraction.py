@@ -16,6 +16,8 @@ from quern.operators.alignment import projected
 
 #: Fixed: pixels around a box of the template; marks on plain pages have their own padding.
 PADDING = 6
+#: The source of a glyph that lies stored and comes from no photo at hand.
+EXISTING = "existing"
 
 
 def inverse(h: Column) -> Column:

@@ -16,9 +16,8 @@ def near_pairs(df: DataFrame, key: list[str], idx: str, value: str, gap: float)
     return near.select(*key, "a", "b", F.abs(F.col("_va") - F.col("_vb")).alias("distance"))
 
 
-def merged_runs(df: DataFrame, key: list[str], idx: str, value: str, gap: float) -> DataFrame:
-    """key, group, n, low, high: values that chain within less than gap (components of near_pairs in one dimension)."""
+def chain(df: DataFrame, key: list[str], idx: str, value: str, gap: float) -> DataFrame:
+    """key, a, b of neighbours by value that lie within less than gap: they connect just what all near pairs do, with one edge a row."""
     by = Window.partitionBy(*key).orderBy(value, idx)
-    rows = df.withColumn("_new", F.coalesce((F.col(value) - F.lag(value).over(by) >= gap).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*key, "_run").agg(F.min(idx).alias("group"), F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).drop("_run")
+    rows = df.select(*key, F.col(idx).alias("b"), F.lag(idx).over(by).alias("a"), (F.col(value) - F.lag(value).over(by)).alias("_d"))
+    return rows.filter(F.col("_d") < gap).select(*key, "a", "b")

@@ -15,6 +15,8 @@ from quern.operators import outlines
 
 #: Fixed: share of the photo that a page covers at least, and of the perimeter that its outline may be simplified by.
 LEAST_SHARE, TOLERANCE = 0.2, 0.02
+#: Share of the photo from which an outline is the photo's own frame.
+FRAME_SHARE = 0.98
 
 
 def _next(p: Column, i: Column, step: int = 1) -> Column:
@@ -92,11 +94,11 @@ def page_corners(images: DataFrame, bright: DataFrame, least: float = LEAST_SHAR
     """image, tl, tr, br, bl (points x, y) of photos on which a page is found, for raster.page_frames.
 
     images: image, width, height. bright: runs (image, y, x0, x1) of what is brighter than the photo's threshold. Outlines smaller
-    than least of the photo aren't looked at; of those that simplify to a convex polygon of four corners, the largest is the page.
+    than least of the photo, and its own frame, aren't looked at; of those that simplify to a convex polygon of four corners, the largest is the page.
     """
     loops = outlines.outlines(bright.withColumnRenamed("image", "glyph")).select(F.col("glyph").alias("image"), F.explode(outlines.subpath_points(F.col("d"))).alias("p"))
     sized = loops.join(images.select("image", "width", "height"), "image").withColumn("area", F.abs(signed_area(F.col("p"))))
-    large = sized.filter(F.col("area") >= least * F.col("width") * F.col("height"))
+    large = sized.filter((F.col("area") >= least * F.col("width") * F.col("height")) & (F.col("area") < FRAME_SHARE * F.col("width") * F.col("height")))
     four = large.withColumn("q", simplified(F.col("p"), tolerance * perimeter(F.col("p")))).filter((F.size("q") == 4) & convex(F.col("q")))
     best = four.groupBy("image").agg(F.max_by("q", F.struct("area", "q")).alias("q"))
 

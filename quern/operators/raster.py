@@ -39,13 +39,26 @@ def runs_of_pixels(ink: DataFrame) -> DataFrame:
     return ink.withColumn("_g", F.col("x") - rank).groupBy("image", "y", "_g").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("_g")
 
 
-def _gray(row: dict) -> np.ndarray:
-    """Gray values of one image row (height, width, channels, data in BGR order), after a 3 x 3 median."""
+#: Rows of a photo whose neighbourhoods are sorted at a time: nine bytes a pixel of these rows.
+STRIP = 256
+
+
+def _plain_gray(row: dict) -> np.ndarray:
+    """Gray values of one image row (height, width, channels, data in BGR order)."""
     a = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
-    g = a[:, :, 0] if row["channels"] == 1 else np.rint(a[:, :, :3] @ np.array(GRAY)).astype(np.uint8)
-    p = np.pad(g, 1, mode="edge")
-    h, w = g.shape
-    return np.median(np.stack([p[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0).astype(np.uint8)
+    return a[:, :, 0] if row["channels"] == 1 else np.rint(a[:, :, :3] @ np.array(GRAY, np.float32)).astype(np.uint8)
+
+
+def _gray(row: dict) -> np.ndarray:
+    """Gray values of one image row after a 3 x 3 median, strip by strip."""
+    g = _plain_gray(row)
+    p, (h, w), out = np.pad(g, 1, mode="edge"), g.shape, np.empty_like(g)
+    for at in range(0, h, STRIP):
+        n = min(STRIP, h - at)
+        near = np.stack([p[at + i : at + i + n, j : j + w] for i in range(3) for j in range(3)])
+        near.partition(4, axis=0)
+        out[at : at + n] = near[4]
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -88,22 +101,51 @@ def _threshold(gray: np.ndarray) -> int:
     return int(np.round(between, 3).argmax())
 
 
-def image_runs(images: DataFrame) -> DataFrame:
-    """Ink runs of photos: dark ink at or under each image's own Otsu threshold, found in the same task."""
+def _cut_runs(images: DataFrame, chosen) -> DataFrame:
+    """Runs of the pixels that chosen(image row) marks, found in the task that holds the image."""
     kind = images.select("image").schema["image"].dataType.simpleString()
-    schema = f"image {kind}, y int, x0 int, x1 int"
 
     def cut(batches):
         for row in _rows(batches):
-            gray = _gray(row)
-            ink = np.pad((gray <= _threshold(gray)).astype(np.int8), ((0, 0), (1, 1)))
-            step = np.diff(ink, axis=1)
+            step = np.diff(np.pad(chosen(row).astype(np.int8), ((0, 0), (1, 1))), axis=1)
             y, x0 = np.nonzero(step == 1)
             x1 = np.nonzero(step == -1)[1]
             yield pa.RecordBatch.from_arrays([pa.array([row["image"]] * len(y), pa.string() if kind == "string" else pa.int64()), *(pa.array(c, pa.int32()) for c in (y, x0, x1))], ["image", "y", "x0", "x1"])
 
     named = images.filter("height > 0 and width > 0").select("image", "height", "width", "channels", "data")
-    return named.mapInArrow(cut, schema)
+    return named.mapInArrow(cut, f"image {kind}, y int, x0 int, x1 int")
+
+
+def image_runs(images: DataFrame) -> DataFrame:
+    """Ink runs of photos: dark ink at or under each image's own Otsu threshold, found in the same task."""
+
+    def dark(row):
+        gray = _gray(row)
+        return gray <= _threshold(gray)
+
+    return _cut_runs(images, dark)
+
+
+def bright_runs(images: DataFrame, above: int | None = None) -> DataFrame:
+    """Runs brighter than above, or, by default, than each image's own Otsu threshold: paper on photos, ink of stored crops."""
+
+    def bright(row):
+        gray = _plain_gray(row) if above is not None else _gray(row)
+        return gray > (_threshold(gray) if above is None else above)
+
+    return _cut_runs(images, bright)
+
+
+def brightness(images: DataFrame) -> DataFrame:
+    """image, brightness: the mean gray value of photos; unreadable ones have no row."""
+    kind = images.select("image").schema["image"].dataType.simpleString()
+
+    def mean(batches):
+        for row in _rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([row["image"]], pa.string() if kind == "string" else pa.int64()), pa.array([float(_plain_gray(row).mean(dtype=np.float64))])], ["image", "brightness"])
+
+    named = images.filter("height > 0 and width > 0").select("image", "height", "width", "channels", "data")
+    return named.mapInArrow(mean, f"image {kind}, brightness double")
 
 
 def _per_image(rows: DataFrame, names: list[str], work, schema: str, per: int = 2000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import geometry, scoring, text
-from quern.operators import extraction, gaps, jobs, ranking, raster, uploads
+from quern.operators import components, extraction, gaps, jobs, ranking, raster, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -210,7 +210,12 @@ def range_self_join_gap(spark, d):
 r AS (SELECT *, sum(CASE WHEN s_acctbal - p >= 800 THEN 1 ELSE 0 END) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING) AS run FROM o)
 SELECT s_nationkey, min(s_suppkey) AS "group", count(*) AS n, min(s_acctbal) AS low, max(s_acctbal) AS high FROM r GROUP BY s_nationkey, run""")
 def connected_components_merge(spark, d):
-    return gaps.merged_runs(read(spark, d, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal", 800)
+    """Suppliers of a nation that chain within 800 of one another, as connected components."""
+    rows = read(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    near = gaps.chain(rows, ["s_nationkey"], "s_suppkey", "s_acctbal", 800)
+    found = components.components(rows, near, ["s_nationkey"], "s_suppkey")
+    each = rows.join(found, ["s_nationkey", "s_suppkey"])
+    return each.groupBy("s_nationkey", C("component").alias("group")).agg(F.count("*").alias("n"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
 
 
 OTSU = """h AS (SELECT p_brand, p_size AS v, count(*)::double AS n FROM part GROUP BY ALL),
@@ -309,14 +314,20 @@ def mime_size_gate(spark, d):
     return read(spark, d, "documents").select("doc_id", uploads.rejection(C("n_chars"), C("source").isin("src0", "src1", "src2"), 15000).alias("rejected"))
 
 
-@query("SELECT o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') AS orders, count(*) AS n FROM orders GROUP BY 1")
+#: Orders in one nested row: a range of ids, so that no customer's row grows with the table.
+RANGE = 65536
+
+
+@query(f"SELECT o_custkey, o_orderkey // {RANGE} AS block, array_to_string(list_sort(list(o_orderkey)), ',') AS orders, count(*) AS n FROM orders GROUP BY 1, 2")
 def nested_document_build(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("orders"), F.count("*").alias("n"))
+    """Customers with their orders nested, a row for each range of ids."""
+    rows = read(spark, d, "orders").groupBy("o_custkey", F.expr(f"o_orderkey div {RANGE}").alias("block"))
+    return rows.agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("orders"), F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
 def nested_document_explode(spark, d):
-    nested = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("elements"))
+    nested = read(spark, d, "orders").groupBy("o_custkey", F.expr(f"o_orderkey div {RANGE}").alias("block")).agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("elements"))
     return nested.select("o_custkey", F.inline("elements"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quern.functions import text
 from quern.operators import alignment, extraction, filters, jobs, outlines, packaging, paths, polygons, raster, rectify, skew, template, uploads, validation
 from quern.plans.catalogue import r6, read
 from quern.streaming import status
@@ -262,21 +263,41 @@ e AS (SELECT (i // 56 + 1)::int AS page, i::int AS ord, character, category || '
   round(80::double + (i % 56 % 7) * 62, 2) AS x, round(841.8897637795277::double - 42 - 28 - 54 - (i % 56 // 7) * 72 - 62, 2) AS y, 52.0::double AS width, 62.0::double AS height FROM s)"""
 
 
-@query(f"WITH {ELEMENTS} SELECT * FROM e")
+#: Parts, or nations, as characters of a set, in the order of their keys.
+def _set_sql(table: str, key: str, name: str) -> str:
+    return f"""s AS (SELECT row_number() OVER (ORDER BY {key}) - 1 AS i, {name}[1:1] AS character, {key}::varchar AS id FROM {table}),
+e AS (SELECT (i // 56 + 1)::int AS page, i::int AS ord, character, id, printf('U+%04X', unicode(character)) AS unicode, round(80::double + (i % 56 % 7) * 62, 2) AS x,
+  round(841.8897637795277::double - 42 - 28 - 54 - (i % 56 // 7) * 72 - 62, 2) AS y, 52.0::double AS width, 62.0::double AS height FROM s)"""
+
+
+def _set(spark, d, table: str, key: str, name: str) -> DataFrame:
+    """Rows of a table without gaps in its keys as a character set."""
+    rows = read(spark, d, table)
+    first = rows.agg(F.min(key)).first()[0] or 0  # one number
+    character = F.substring(name, 1, 1)
+    return rows.select((C(key) - first).cast("int").alias("ord"), character.alias("character"), C(key).cast("string").alias("character_id"), text.category(character).alias("category"), text.codepoint(character).alias("unicode"))
+
+
+@query(f"WITH {_set_sql('part', 'p_partkey', 'p_name')} SELECT * FROM e")
 def template_elements(spark, d):
-    return template.elements(template.characters(spark))
+    """Parts as the characters of a template: their boxes on as many pages as it takes."""
+    return template.elements(_set(spark, d, "part", "p_partkey", "p_name")).drop("category")
 
 
-@query("""SELECT p::int AS page, ((p - 1) * 4 + i)::int AS marker_id, ['top_left', 'top_right', 'bottom_left', 'bottom_right'][i + 1] AS corner,
-CASE WHEN i % 2 = 1 THEN 595.2755905511812::double - 70 ELSE 42.0::double END AS x, CASE WHEN i < 2 THEN 841.8897637795277::double - 70 ELSE 42.0::double END AS y, 28.0::double AS size FROM range(1, 3) a(p), range(4) b(i)""")
+@query(f"""WITH {_set_sql('part', 'p_partkey', 'p_name')}, p AS (SELECT DISTINCT page AS p FROM e)
+SELECT p AS page, ((p - 1) * 4 + i)::int AS marker_id, ['top_left', 'top_right', 'bottom_left', 'bottom_right'][i + 1] AS corner,
+CASE WHEN i % 2 = 1 THEN 595.2755905511812::double - 70 ELSE 42.0::double END AS x, CASE WHEN i < 2 THEN 841.8897637795277::double - 70 ELSE 42.0::double END AS y, 28.0::double AS size FROM p, range(4) b(i)""")
 def template_markers(spark, d):
-    return template.markers(template.elements(template.characters(spark)))
+    return template.markers(template.elements(_set(spark, d, "part", "p_partkey", "p_name")))
 
 
-@query("SELECT 'template_v1' AS template_id, 76 AS character_count, 2 AS pages")
+@query(f"""WITH {_set_sql('nation', 'n_nationkey', 'n_name')} SELECT 'nations' AS template_id, count(*)::int AS character_count, max(page)::int AS pages, string_agg(character || ' ' || x || ' ' || y, ',' ORDER BY ord) AS first_page FROM e WHERE page = 1""")
 def template_document(spark, d):
-    boxes = template.elements(template.characters(spark))
-    return template.document(boxes, template.markers(boxes), "template_v1", "1.0").select("template_id", "character_count", F.size("pages").alias("pages"))
+    """Nations, which are few, as the characters of one nested document."""
+    boxes = template.elements(_set(spark, d, "nation", "n_nationkey", "n_name"))
+    made = template.document(boxes, template.markers(boxes), "nations", "1.0")
+    said = F.transform(C("pages")[0]["elements"], lambda e: F.concat_ws(" ", e["character"], e["x"].cast("string"), e["y"].cast("string")))
+    return made.select("template_id", "character_count", F.size("pages").alias("pages"), F.array_join(said, ",").alias("first_page"))
 
 
 STATE = {"signup": "created", "view": "uploading", "click": "processing", "purchase": "completed", "error": "failed"}

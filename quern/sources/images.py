@@ -25,27 +25,24 @@ def photos(spark: SparkSession, path: str, pattern: str = "*", drop_invalid: boo
     return read.select(name.alias("image"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def stored_crops(spark: SparkSession, path: str) -> DataFrame:
+    """job_id, name, height, width, channels, data of the PNGs in the folders of jobs (path/job_id/name); ones that can't be read are left out."""
+    read = spark.read.format("image").option("pathGlobFilter", "*.png").option("dropInvalid", True).load(f"{path}/*")
+    place = [F.regexp_extract("image.origin", r"([^/]+)/([^/]+)$", i).alias(n) for i, n in ((1, "job_id"), (2, "name"))]
+    return read.select(*place, "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
 def uploads(spark: SparkSession, path: str, pattern: str = "page_*") -> DataFrame:
     """name, n_bytes, content, modified of files in a landing folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"), "content", F.col("modificationTime").alias("modified"))
 
 
-def sorted_files(files: DataFrame) -> DataFrame:
-    """Files in the order of their names."""
-    return files.orderBy("name")
-
-
 def write_records(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines in a folder that records() reads; what was there is replaced."""
     rows.write.mode("overwrite").json(path)
 
 
-def write_pages(accepted: DataFrame, path: str) -> None:
-    """Accepted uploads (job, page_name, content) as a table by job; page_name is the file each would have."""
-    accepted.filter("page_name is not null").write.mode("append").parquet(path)
-
-
 def settings(given: dict[str, str | None], defaults: dict[str, object]) -> dict[str, object]:
     """defaults, replaced by what is given, in the type of the default; a list is given as comma-separated text."""
 
