@@ -5,8 +5,8 @@ CLASSES by their last bytes, and within a class a word has (c + 1) / (N + V + 1)
 
 Training: word counts over all training documents; then every document is written once as symbols of two bytes, and
 Baum-Welch runs over these: tasks add up expected counts and only sums of fixed size (STATES by symbols) reach the driver.
-A few rounds run over a seeded sample of START_DOCS documents (a documented bound) to find a start; then rounds over every
-training document follow until the log-likelihood a token rises by less than SETTLED, ROUNDS at most.
+A few rounds run over a seeded sample of START_SHARE of the documents, START_DOCS at least, to find a start; then rounds over
+every training document follow until the log-likelihood a token rises by less than SETTLED, ROUNDS at most.
 
 Long texts are trained on in runs of SPAN words. A run also reads the LEAD words before and behind it, which bring its
 states to where they would be, so moves across cuts are counted and only a text's first word counts as a start.
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import chunks, crc_mod, materialise, small_batches, utf8
 
 STATES, OWN_WORDS, CLASSES, DICTIONARY = 8, 8192, 512, 200_000
-START_DOCS, START_ROUNDS, ROUNDS, SETTLED = 1200, 6, 3, 0.002
+#: Documents that the start is found on: a share of all, and so many at least. Rounds over these, and over all documents at most.
+START_SHARE, START_DOCS, START_ROUNDS, ROUNDS, SETTLED = 1 / 32, 1200, 6, 6, 0.002
 #: Words of a run in training, words that it reads before and behind, and words of a run in scoring.
 SPAN, LEAD, SCORE_SPAN = 512, 32, 2048
 #: Bytes of text, and of symbols, that a task holds as arrays at a time.
@@ -311,7 +312,7 @@ def _first_model(texts: list[np.ndarray], size: int) -> Model:
 def learn(training: DataFrame, words: Words) -> tuple[Model, list[float]]:
     """The model from training (hash, symbols; materialised), and the log-likelihood before each round over all of it."""
     n, size = words.ends, words.end + 1
-    rate = min(1.0, START_DOCS / max(1, n))
+    rate = min(1.0, max(START_SHARE, START_DOCS / max(1, n)))
     sample = materialise(training.filter(F.pmod("hash", F.lit(1 << 30)) < int(rate * (1 << 30))))
     first = sample.orderBy("hash", "symbols").select("symbols").limit(200).collect()
     model, history = _first_model([np.frombuffer(r[0], dtype="<u2").astype(np.int64) for r in first], size), []
