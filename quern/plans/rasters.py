@@ -215,7 +215,12 @@ def raster_outlines(spark, d):
     return outlines.outlines(runs).withColumn("svg", outlines.svg(C("d"), SIDE)).drop("d")
 
 
-@query()
+@query(f"""WITH {PX}, b AS (SELECT image, min(x0) AS bx, min(y) AS b0, max(x1) - min(x0) AS w, max(y) + 1 - min(y) AS h FROM runs GROUP BY 1),
+k AS (SELECT b.*, CASE WHEN label % 3 = 0 THEN 90.0::double ELSE 0.0::double END AS below, CASE WHEN label % 2 = 0 THEN 300.0::double ELSE 200.0::double END AS tall FROM b JOIN embeddings ON vec_id = image),
+f AS (SELECT *, least((tall + below) / h, 400.0::double / w) AS s FROM k), n AS (SELECT *, greatest(1, round_even(w * s, 0))::int AS nw, greatest(1, round_even(h * s, 0))::int AS nh FROM f),
+p AS (SELECT *, greatest(0, least(375 + below::int - nh, 500 - nh)) AS top, greatest(0, least(round_even((500 - nw) / 2.0::double, 0)::int, 500 - nw)) AS lft FROM n),
+r AS (SELECT image, ceil((y - b0) * nh / h - 0.5::double)::int + top AS a, ceil((y - b0 + 1) * nh / h - 0.5::double)::int + top AS z, ceil((x0 - bx) * nw / w - 0.5::double)::int + lft AS c, ceil((x1 - bx) * nw / w - 0.5::double)::int + lft AS d FROM runs JOIN p USING (image))
+SELECT image, sum((z - a) * (d - c))::bigint AS ink, min(c) AS x0, min(a) AS y0, max(d) AS x1, max(z) AS y1 FROM r WHERE z > a AND d > c GROUP BY 1""")
 def raster_normalised(spark, d):
     runs = _runs(spark, d).withColumnRenamed("image", "glyph")
     kinds = read(spark, d, "embeddings").select(C("vec_id").alias("glyph"), (C("label") % 2 == 0).alias("tall"), (C("label") % 3 == 0).alias("descender"))
