@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quern.functions import geometry, scoring, text
 from quern.operators import components, extraction, gaps, jobs, ranking, raster, uploads
@@ -201,6 +202,19 @@ def bbox_aggregate(spark, d):
     return raster.measures(runs).select(C("image").alias("l_partkey"), "x0", "y0", "x1", "y1", C("ink").cast("long").alias("area"))
 
 
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 200 AS x, l_suppkey % 300 AS y, l_quantity AS w, 10 + l_linenumber AS h FROM lineitem),
+p AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(w) OVER o AS pw, lag(h) OVER o AS ph FROM b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w))
+SELECT l_orderkey, l_linenumber, x, y, round(sqrt(greatest(px - (x + w), x - (px + pw), 0) ** 2 + greatest(py - (y + h), y - (py + ph), 0) ** 2), 4) AS gap FROM p WHERE px IS NOT NULL""")
+def box_edge_gaps(spark, d):
+    """Every line of an order as a box: how far its edges are from those of the line before."""
+    size = {"x": C("l_partkey") % 200, "y": C("l_suppkey") % 300, "w": C("l_quantity"), "h": 10 + C("l_linenumber")}
+    boxes = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in size.items()))
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x", "y", "w")
+    pairs = boxes.withColumns({f"_{n}": F.lag(n).over(by) for n in size}).filter("_x is not null")
+    gap = geometry.edge_gap(*(C(n) for n in size), *(C(f"_{n}") for n in size))
+    return pairs.select("l_orderkey", "l_linenumber", "x", "y", F.round(gap, 4).alias("gap"))
+
+
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.s_acctbal - b.s_acctbal), 2) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 50")
 def range_self_join_gap(spark, d):
     return gaps.near_pairs(read(spark, d, "supplier"), [], "s_suppkey", "s_acctbal", 50).withColumn("distance", F.round("distance", 2))
