@@ -152,7 +152,8 @@ def maybe_known(filters: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
 class LineIndex:
     """One state of the index; adding and deleting give new states and leave this one as it is.
 
-    pairs: doc_id, hi, lo. runs: hi, lo, refs, top, version, newest by version; refs 0: nobody holds the key any more.
+    pairs: doc_id, hi, lo. runs: hi, lo, refs, top, version, newest by version; refs 0: nobody holds the key any more. keys: how
+    many keys somebody holds.
     """
 
     pairs: DataFrame
@@ -160,6 +161,7 @@ class LineIndex:
     filters: DataFrame
     shards: int = 1
     version: int = 0
+    keys: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession, id_type: str = "long") -> LineIndex:
@@ -177,17 +179,16 @@ class LineIndex:
         """Counts of the given keys (hi, lo, distinct, materialised) alone."""
         return LineIndex(self.pairs, self.runs.join(sized_broadcast(keys.select(*KEY)), KEY, "left_semi"), self.filters, self.shards, self.version).counts()
 
-    def _changed(self, pairs: DataFrame, run: DataFrame, filters: DataFrame, shards: int) -> LineIndex:
+    def _changed(self, pairs: DataFrame, run: DataFrame, filters: DataFrame, shards: int, keys: int) -> LineIndex:
         run = materialise(run.select(*KEY, "refs", "top", F.lit(self.version + 1).alias("version")))
-        return LineIndex(pairs, self.runs.unionByName(run) if self.version else run, filters, shards, self.version + 1)
+        return LineIndex(pairs, self.runs.unionByName(run) if self.version else run, filters, shards, self.version + 1, keys)
 
     def _not_held(self, docs: DataFrame, new: DataFrame) -> DataFrame:
         """new without the pairs that the index holds; only documents that it knows can have any."""
-        ids = docs.select(F.col("doc_id").alias("_d")).distinct()
-        known = materialise(ids.join(self.pairs.select("doc_id").distinct(), _same_id(), "left_semi"))
-        if not known.limit(1).count():
+        ids = sized_broadcast(materialise(docs.select(F.col("doc_id").alias("_d")).distinct()))
+        held = materialise(self.pairs.join(ids, _same_id(), "left_semi"))
+        if not held.limit(1).count():
             return new
-        held = self.pairs.join(sized_broadcast(known), _same_id(), "left_semi")
         held = held.withColumnsRenamed({"doc_id": "_d", "hi": "_hi", "lo": "_lo"})
         return new.join(held, _same_id() & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left_anti")
 
@@ -197,19 +198,19 @@ class LineIndex:
         new = materialise(self._not_held(docs, new) if self.version else new)
         batch = materialise(new.groupBy(*KEY).agg(F.count("*").alias("refs"), F.max("doc_id").alias("top")))
         if not self.version:
-            shards = shards_for(batch.count())
-            return self._changed(new, batch, materialise(filters_with(self.filters, batch, shards)), shards)
-        before = self.counts()
-        shards, filters = max(self.shards, shards_for(batch.count() + before.count())), self.filters
+            n = batch.count()
+            shards = shards_for(n)
+            return self._changed(new, batch, materialise(filters_with(self.filters, batch, shards)), shards, n)
+        shards, filters = max(self.shards, shards_for(self.keys + batch.count())), self.filters
         if shards > self.shards:  # the exact table has all keys, so the filters can be dealt anew
-            filters = materialise(filters_with(filters.limit(0), before, shards))
+            filters = materialise(filters_with(filters.limit(0), self.counts(), shards))
         tested = materialise(maybe_known(filters, batch, shards))
         maybe = materialise(tested.filter("known").drop("known"))
         held = materialise(self._counts_of(maybe))
         fresh = materialise(tested.filter("not known").drop("known").unionByName(maybe.join(held, KEY, "left_anti")))
         both = maybe.join(held.select(*KEY), KEY, "left_semi").unionByName(held)
         both = both.groupBy(*KEY).agg(F.sum("refs").alias("refs"), F.max("top").alias("top"))
-        return self._changed(self.pairs.unionByName(new), fresh.unionByName(both), materialise(filters_with(filters, fresh, shards)), shards)
+        return self._changed(self.pairs.unionByName(new), fresh.unionByName(both), materialise(filters_with(filters, fresh, shards)), shards, self.keys + fresh.count())
 
     def deleted(self, ids: DataFrame) -> LineIndex:
         """The index without the documents that ids (doc_id) names; those that it doesn't hold change nothing."""
@@ -221,7 +222,8 @@ class LineIndex:
         tops = joined(left, held.drop("top"), KEY, "refs").groupBy(*KEY).agg(F.max("doc_id").alias("top"))
         run = held.drop("top").join(minus, KEY).join(tops, KEY, "left").select(*KEY, (F.col("refs") - F.col("n")).alias("refs"), "top")
         run = materialise(run)
-        return self._changed(left, run, materialise(filters_without(self.filters, run.filter("refs = 0"), self.shards)), self.shards)
+        free = run.filter("refs = 0")
+        return self._changed(left, run, materialise(filters_without(self.filters, free, self.shards)), self.shards, self.keys - free.count())
 
     def _maybe_in(self, often: DataFrame) -> DataFrame:
         """The pairs whose key may be in often (hi, lo; materialised): all of these, and few others."""
