@@ -42,23 +42,30 @@ class JobStates(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get() if self.last.exists() else None
+        soonest = None
         for pdf in rows:
             for state, ts, seq in zip(pdf["state"], pdf["ts"], pdf["seq"]):
                 at = (_micros(ts), int(seq))
                 if last is None or at > (last[1], last[2]):
                     self.waiting.updateValue(at, (state,))
-                    self.handle.registerTimer(at[0] // 1000 + 1)
+                    soonest = at[0] if soonest is None else min(soonest, at[0])
+        if soonest is not None:
+            self.handle.registerTimer(soonest // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] < until)
+        # All that the watermark has passed is due; a job has one timer, for the first of the rows that still wait.
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [(tuple(k), v[0]) for k, v in self.waiting.iterator()]
+        due = sorted((r for r in rows if r[0][0] < until), key=lambda r: r[0])
         last = self.last.get() if self.last.exists() else None
         out = []
         for at, state in due:
             out.append((state, *at, last[0] if last else None, _allowed(last[0] if last else None, state), None))
             last = (state, *at)
             self.waiting.removeKey(at)
+        if len(due) < len(rows):
+            self.handle.registerTimer(min(at for (at, _), _ in rows if at >= until) // 1000 + 1)
         if self.timeout_ms is not None and last and last[0] == "processing":
             ends = last[1] // 1000 + self.timeout_ms + 1
             if due and until < ends * 1000:
