@@ -81,4 +81,5 @@ def json_field(document: Column, key: str, default: str) -> Column:
 
 
 def megabytes(n: Column) -> Column:
-    return F.format_string("%.1f", n / 1048576)
+    """With one decimal, ties to even (format_string alone rounds them up). A whole number of bytes gives an exact quotient."""
+    return F.format_string("%.1f", F.bround(n / 1048576, 1))

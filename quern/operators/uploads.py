@@ -18,7 +18,7 @@ def rejection(n_bytes: Column, accepted_type: Column, most: int = MAX_BYTES) ->
     return F.when(n_bytes > most, large).when(F.coalesce(n_bytes, F.lit(0)) == 0, "empty").when(~F.coalesce(accepted_type, F.lit(False)), "type")
 
 
-def judged(files: DataFrame, job: str, order: list[str], most: int = MAX_BYTES, numbered_before: DataFrame | None = None) -> DataFrame:
+def judged(files: DataFrame, job: str, order: list[str | Column], most: int = MAX_BYTES, numbered_before: DataFrame | None = None) -> DataFrame:
     """files (job, n_bytes, content_type; or name where content_type is null) with error, page and page_name.
 
     Accepted pages are numbered in order behind those a job has already (numbered_before: job, pages) and named page_N with
