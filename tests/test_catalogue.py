@@ -53,3 +53,12 @@ def test_uploads_at_odd_prices(spark, tmp_path):
     more = "SELECT * FROM (VALUES (20, 1, 'O', NULL), (NULL, 1, 'O', 5.0::double), (21, 1, NULL, 5.0::double), (22, 1, 'F', 0.0::double), (23, 0, 'F', 157286.405::double), (24, 0, 'F', 0.004::double))"
     duckdb.execute(f"COPY ({rows} UNION ALL {more}) TO '{tmp_path}/orders.parquet'")
     assert _same(spark, "uploads_judged", tmp_path)
+
+
+def test_nested_document_is_whole(spark, tmp_path):
+    """A customer is one row however far apart the ids of its orders are."""
+    ids = "SELECT unnest([70000, 3, 140000, NULL, 10, 9]) AS o_orderkey, unnest([1, 1, 1, 1, 2, NULL]) AS o_custkey UNION ALL SELECT NULL, 3"
+    duckdb.execute(f"COPY ({ids}) TO '{tmp_path}/orders.parquet'")
+    assert _same(spark, "nested_document_build", tmp_path)
+    got = {r.o_custkey: (r.orders, r.n) for r in catalogue.queries()["nested_document_build"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("3,70000,140000", 4), 2: ("10", 1), None: ("9", 1), 3: (None, 1)}
