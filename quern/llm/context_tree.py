@@ -108,7 +108,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
     start[first] = True
     # Level by level: node of each position, -1 where the string is too rare or would reach beyond the text's start.
     nodes, total = [np.zeros(len(x), dtype=np.int64)], 1
-    links, counts, context_of, parent_of, depths = [], [np.zeros((1, n_classes), np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    older, counts, context_of, parent_of, depths = [np.zeros(1, np.int64)], [np.zeros((1, n_classes), np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     open_ = np.ones(len(x), dtype=bool)
     for k in range(order + 1):
         back = np.arange(len(x)) - k
@@ -122,7 +122,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
         node = np.full(len(x), -1, dtype=np.int64)
         node[at] = ids[inverse]
         example = at[where[keep]]
-        links.append((names[keep], ids[keep]))
+        older.append(names[keep] % width)
         counts.append(both[keep].astype(np.int32))
         parent_of.append(names[keep] // width)
         context_of.append(np.where(example > 0, nodes[k][example - 1], 0))
@@ -130,17 +130,65 @@ def train(texts: list[bytes], labels: np.ndarray, classes: list, order: int, lea
         total += int(keep.sum())
         nodes.append(node)
         open_ = ok & (node >= 0) & ~start[np.maximum(back, 0)]
-    counts, context, parent, depth = (np.concatenate(v) for v in (counts, context_of, parent_of, depths))
+    return _assembled(order, classes, symbol, *(np.concatenate(v) for v in (counts, context_of, parent_of, depths, older)), interpolate)
+
+
+def _assembled(order: int, classes: list, symbol: np.ndarray, counts: np.ndarray, context: np.ndarray, parent: np.ndarray, depth: np.ndarray, older: np.ndarray, interpolate: bool) -> ContextTree:
+    """The tree of nodes numbered by depth, the root first. older: the symbol of each that its parent lacks."""
+    total, n_classes = counts.shape
     inner = int((depth <= order).sum())  # nodes are numbered by depth, so those that may have children come first
-    child = np.full((inner + 1, width), total, dtype=np.int32)
-    for names, ids in links:
-        child[names // width, names % width] = ids
+    child = np.full((inner + 1, int(symbol.max(initial=1)) + 1), total, dtype=np.int32)
+    child[parent[1:], older[1:]] = np.arange(1, total)
     # The start of a text is a context but is never predicted.
-    names, ids = links[0]
-    counts[ids[names % width == START]] = 0
+    counts[(depth == 1) & (older == START)] = 0
     value, cost = np.zeros((total + 1, n_classes), np.float32), np.zeros((total + 1, n_classes), np.float32)
     levels = [np.flatnonzero(depth == d) for d in range(order + 2)]
     for c in range(0, n_classes, CLASSES):
         block = slice(c, c + CLASSES)
         value[:total, block], cost[:total, block] = _numbers(counts[:, block].astype(np.float64), context, parent, levels, interpolate)
     return ContextTree(order, classes, symbol, child, np.append(parent, 0), np.append(depth, 0), value, cost)
+
+
+#: Strings as numbers: BITS a byte, the last one lowest; bytes count from 1, and AHEAD stands for the start of a text.
+BITS, AHEAD = 9, 257
+
+
+def counted(texts: list[bytes], labels: np.ndarray, n_classes: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the strings of up to order + 1 bytes in texts, [string, class]: how often each occurs). order: 6 at most."""
+    raw = np.frombuffer(b"".join(b"\0" + t for t in texts), dtype=np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    x = raw.astype(np.int64) + 1
+    x[first] = AHEAD
+    label, place = np.repeat(labels, sizes), np.arange(len(x)) - np.repeat(first, sizes)
+    key, keys, own = np.zeros(len(x), dtype=np.int64), [], []
+    for k in range(order + 1):
+        at = np.flatnonzero(place >= k) if k else np.arange(len(x))
+        key[at] += x[at - k] << (BITS * k)
+        keys.append(key[at])
+        own.append(label[at])
+    names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return names, np.bincount(inverse * n_classes + np.concatenate(own), minlength=len(names) * n_classes).reshape(-1, n_classes)
+
+
+def grown(keys: np.ndarray, counts: np.ndarray, classes: list, order: int, least: int, interpolate: bool) -> ContextTree:
+    """The tree that train makes, from the strings of all texts and their counts (as counted gives them, each string once)."""
+    keep = (counts.sum(1) >= least) | (keys == AHEAD)
+    keys, counts = keys[keep], counts[keep]
+    depth = sum((keys >> (BITS * k) > 0).astype(np.int64) for k in range(order + 1))
+    by = np.lexsort((keys, depth))
+    keys, counts, depth = keys[by], counts[by], depth[by]
+    starts = np.searchsorted(depth, np.arange(order + 3))
+    parent, context = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for d in range(2, order + 2):
+        level, above = slice(starts[d], starts[d + 1]), slice(starts[d - 1], starts[d])
+        parent[level] = np.searchsorted(keys[above], keys[level] & ((1 << (BITS * (d - 1))) - 1)) + starts[d - 1] + 1
+        context[level] = np.searchsorted(keys[above], keys[level] >> BITS) + starts[d - 1] + 1
+    single = keys[starts[1] : starts[2]]
+    known = single[single < AHEAD] - 1
+    symbol = np.zeros(256, dtype=np.uint8 if len(known) < 250 else np.int16)
+    symbol[known] = np.arange(2, 2 + len(known))
+    oldest = keys >> (BITS * (depth - 1))
+    older = np.where(oldest == AHEAD, START, symbol[np.minimum(oldest, 256) - 1])
+    root = np.zeros(1, np.int64)
+    return _assembled(order, classes, symbol, np.vstack([np.zeros((1, len(classes)), counts.dtype), counts]), *(np.concatenate([root, v]) for v in (context, parent, depth, older)), interpolate)

@@ -189,3 +189,22 @@ def test_sample_of_many_languages_is_bounded_by_bytes(spark, monkeypatch):
     assert len(tree.classes) == 20 and 5_000 < seen[0] < 40_000  # 18,000 expected
     got = language_id.language_of(docs, tree).join(docs, "doc_id")
     assert got.filter("lang_pred = lang").count() > 1900
+
+
+def test_url_models_and_threshold_see_every_url(spark, monkeypatch):
+    """More URLs a side than the 20,000 that used to be sampled: the numbers are those of all, the threshold that of all held out."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"{'abcd'[rng.integers(0, 4)]}.{'net' if ok else 'com'}/{'de' if ok ^ (i % 9 == 0) else 'en'}/{i % 500}", "allow" if ok else "block") for i in range(60_000) for ok in [bool(i % 3)]]
+    ruled = spark.createDataFrame(rows, "page_id long, address string, verdict string").repartition(5)
+    tree, at = url_filter.learn(ruled)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows])
+    labels, texts = np.array([int(v == "block") for _, _, v in rows]), [a.encode() for _, a, _ in rows]
+    whole = train([t for t, h in zip(texts, held) if not h], labels[~held], ["allow", "block"], url_filter.ORDER, url_filter.LEAST, True)
+    probe = texts[:200] + [b"", b"zz.org/\xff"]
+    assert np.allclose(tree.log_probabilities(probe), whole.log_probabilities(probe), rtol=1e-6)
+    found, allow = url_filter._differences([t for t, h in zip(texts, held) if h], whole), labels[held] == 0
+    values = np.unique(found)
+    edges = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    gain = np.array([(found[~allow] < e).sum() * allow.sum() - (found[allow] < e).sum() * (~allow).sum() for e in edges])
+    best = np.flatnonzero(gain == gain.max())
+    assert at == pytest.approx(edges[best[len(best) // 2]], abs=1e-9)
