@@ -1,16 +1,19 @@
 """Page to template: page votes, point pairs, homographies by seeded consensus, reprojection errors, confidences.
 
-Each page's point pairs are drawn into TRIES samples of four; every (page, sample) is solved by itself, all scored by
-a join, and the winner is fitted again to its inliers. A page has four points a marker, so groups stay small.
+Each page's point pairs are gathered in one row, and TRIES samples of four are drawn as numbers of points. A task solves and
+scores a page's samples together, and the winner is fitted again to its inliers: no row is written per sample. A page has
+four points a marker, so groups stay small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quern.functions import scoring
 from quern.operators.ranking import vote
@@ -19,6 +22,8 @@ from quern.operators.ranking import vote
 INLIER, SHARE, LEAST, MARKERS, CONFIDENCE = 5.0, 0.5, 4, 3, 0.6
 #: Samples of four points drawn a page.
 TRIES = 200
+#: Samples that are tried first: one that all points agree with needs no others.
+FIRST = 8
 
 
 def pages_of(detected: DataFrame) -> DataFrame:
@@ -35,25 +40,69 @@ def point_pairs(detected: DataFrame, expected: DataFrame, pages: DataFrame) -> D
     return own.join(expected, ["marker_id", "corner"]).select("image", "marker_id", "corner", "x", "y", "u", "v")
 
 
-def _solve(points: np.ndarray) -> list[float] | None:
-    """The homography from (x, y) to (u, v): least squares on normalised points; None if they don't determine one."""
+def _solved(points: np.ndarray) -> np.ndarray:
+    """[group, 9]: the homography from (x, y) to (u, v) of each group of points [group, point, 4], or nan if they don't determine one.
+
+    Least squares on normalised points.
+    """
 
     def centred(p):
-        m = p.mean(axis=0)
-        s = np.sqrt(2) / max(np.sqrt(((p - m) ** 2).sum(axis=1)).mean(), 1e-12)
-        return (p - m) * s, np.array([[s, 0, -s * m[0]], [0, s, -s * m[1]], [0, 0, 1]])
-
-    if len(points) < 4:
-        return None
-    (a, ta), (b, tb) = centred(points[:, :2]), centred(points[:, 2:])
-    one, nil = np.ones((len(a), 1)), np.zeros((len(a), 3))
-    p = np.hstack([a, one])
-    m = np.vstack([np.hstack([p, nil, -p * b[:, :1]]), np.hstack([nil, p, -p * b[:, 1:]])])
-    _, s, vt = np.linalg.svd(m, full_matrices=len(m) < 9)
-    if s[7] < 1e-9 * s[0]:
-        return None
-    h = np.linalg.inv(tb) @ vt[8].reshape(3, 3) @ ta
-    return None if abs(h[2, 2]) < 1e-12 else (h / h[2, 2]).ravel().tolist()
+        m = p.mean(axis=1, keepdims=True)
+        s = np.sqrt(2) / np.maximum(np.sqrt(((p - m) ** 2).sum(axis=2)).mean(axis=1), 1e-12)
+        t = np.zeros((len(p), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2], t[:, 2, 2] = -s[:, None] * m[:, 0], 1
+        return (p - m) * s[:, None, None], t
+
+    n, k = points.shape[:2]
+    if k < 4 or not n:
+        return np.full((n, 9), np.nan)
+    (a, ta), (b, tb) = centred(points[..., :2]), centred(points[..., 2:])
+    p, nil = np.concatenate([a, np.ones((n, k, 1))], axis=2), np.zeros((n, k, 3))
+    m = np.concatenate([np.concatenate([p, nil, -p * b[..., :1]], axis=2), np.concatenate([nil, p, -p * b[..., 1:]], axis=2)], axis=1)
+    _, s, vt = np.linalg.svd(m, full_matrices=2 * k < 9)
+    h = (np.linalg.inv(tb) @ vt[:, 8].reshape(-1, 3, 3) @ ta).reshape(-1, 9)
+    h[(s[:, 7] < 1e-9 * s[:, 0]) | (np.abs(h[:, 8]) < 1e-12)] = np.nan
+    return h / h[:, 8:]
+
+
+def _solve(points: np.ndarray) -> list[float] | None:
+    h = _solved(points[None])[0]
+    return None if np.isnan(h[0]) else h.tolist()
+
+
+def _inliers(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """[homography, point]: whether it takes the point within INLIER of where it should be."""
+    x, y, u, v = points.T
+    g = h[:, :, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = g[:, 6] * x + g[:, 7] * y + g[:, 8]
+        d[d == 0] = np.nan
+        return np.sqrt(((g[:, 0] * x + g[:, 1] * y + g[:, 2]) / d - u) ** 2 + ((g[:, 3] * x + g[:, 4] * y + g[:, 5]) / d - v) ** 2) <= INLIER
+
+
+def _consensus(points: np.ndarray, samples: np.ndarray) -> list[float] | None:
+    """The homography of the sample [sample, 4] with the most inliers among points, the first among equals, fitted to them."""
+    known = ~np.isnan(points).any(axis=1)
+    best = np.zeros(len(points), dtype=bool)
+    for some in (samples[:FIRST], samples[FIRST:]):
+        names, which = np.unique(some, axis=0, return_inverse=True)
+        names = np.where(known[names].all(axis=1)[:, None, None], points[names], np.nan)
+        whole = ~np.isnan(names[:, 0, 0])
+        h = np.full((len(names), 9), np.nan)
+        h[whole] = _solved(_sorted(names[whole]))
+        good = _inliers(h, points)
+        n = good.sum(axis=1)[which.ravel()]
+        if n.max(initial=0) > best.sum():
+            best = good[which.ravel()[n.argmax()]]
+        if best.sum() == known.sum():
+            break
+    return _solve(_sorted(points[best][None])[0])
+
+
+def _sorted(points: np.ndarray) -> np.ndarray:
+    """Each group's points by x, y, u, v."""
+    return np.take_along_axis(points, np.lexsort(points.transpose(2, 0, 1)[::-1], axis=-1)[..., None], axis=1)
 
 
 def _fits(points: DataFrame, key: list[str]) -> DataFrame:
@@ -74,26 +123,36 @@ def projected(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return (h[0] * x + h[1] * y + h[2]) / d, (h[3] * x + h[4] * y + h[5]) / d
 
 
-def _with_error(points: DataFrame, fits: DataFrame) -> DataFrame:
-    p, q = projected(F.col("h"), F.col("x"), F.col("y"))
-    return points.join(fits, "image").withColumn("error", F.sqrt((p - F.col("u")) ** 2 + (q - F.col("v")) ** 2))
-
-
 def homographies(points: DataFrame) -> DataFrame:
     """image, h, n_points, n_markers, n_inliers, error of pages with four points or more (image, marker_id, corner, x, y, u, v).
 
     error: mean over the inliers, or over all points if they are fewer than half or than four. Ties go to the first sample.
     """
-    drawn = points.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
-    rank = F.row_number().over(Window.partitionBy("image", "sample").orderBy(F.xxhash64("sample", "marker_id", "corner"), "marker_id", "corner"))
-    tries = _fits(drawn.withColumn("_r", rank).filter("_r <= 4"), ["image", "sample"])
-    scored = _with_error(points, tries).groupBy("image", "sample").agg(F.count_if(F.col("error") <= INLIER).alias("n"), F.first("h").alias("h"))
-    best = scored.groupBy("image").agg(F.max_by("h", F.struct("n", -F.col("sample"))).alias("h"))
-    good = _with_error(points, best).filter(F.col("error") <= INLIER).select(*points.columns)
-    final = _fits(good, ["image"])
+    at = [F.col(c).cast("double").alias(c) for c in ("x", "y", "u", "v")]
+    pages = points.filter("image is not null").groupBy("image").agg(F.sort_array(F.collect_list(F.struct("marker_id", "corner", *at))).alias("_p")).filter(F.size("_p") >= 4)
+    # Many tasks however small the rows are: what a page costs are its samples. By a hash, as a join by image may have dealt them already.
+    pages = pages.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("image"))
+    # The four points of least hash; of equal ones the first by marker and corner, as they are sorted.
+    hashed = lambda s: F.transform("_p", lambda p, i: F.struct(F.xxhash64(s, p["marker_id"], p["corner"]).alias("h"), i.alias("i")))
+    drawn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda s: F.slice(F.sort_array(hashed(s)), 1, 4)["i"]))
+    rows = pages.withColumn("_s", drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("_p")
+            flat, starts = p.flatten(), np.cumsum([0, *p.value_lengths().to_pylist()])
+            each = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "u", "v")], axis=1)
+            samples = batch.column("_s").flatten().to_numpy().reshape(-1, TRIES, 4)
+            h = [_consensus(each[i:j], s) for i, j, s in zip(starts[:-1], starts[1:], samples)]
+            yield pa.RecordBatch.from_arrays([batch.column("image"), p, pa.array(h, pa.list_(pa.float64()))], names=["image", "_p", "h"])
+
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("image", "_p"))
+    found = rows.mapInArrow(run, f"{kinds}, h array<double>").filter("h is not null")
+    p, q = projected(F.col("h"), F.col("x"), F.col("y"))
+    each = found.select("image", "h", F.inline("_p")).withColumn("error", F.sqrt((p - F.col("u")) ** 2 + (q - F.col("v")) ** 2))
     inlier = F.col("error") <= INLIER
     error = scoring.inlier_mean(F.col("error"), inlier, LEAST, SHARE)
-    return _with_error(points, final).groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.countDistinct("marker_id").alias("n_markers"), F.count_if(inlier).alias("n_inliers"), error.alias("error")).filter("h is not null")
+    return each.groupBy("image").agg(F.first("h").alias("h"), F.count("*").alias("n_points"), F.countDistinct("marker_id").alias("n_markers"), F.count_if(inlier).alias("n_inliers"), error.alias("error"))
 
 
 def aligned(images: DataFrame, pages: DataFrame, known: DataFrame, fits: DataFrame, expected_markers: int) -> DataFrame:

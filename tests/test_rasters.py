@@ -254,3 +254,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == 4
     assert {(str(r.start), r.state): r.n for r in status.event_counts(df, "ts", "state").collect()}[("2024-01-01 00:00:00", "created")] == 2
+
+
+def test_samples_of_a_page_are_no_rows(spark):
+    """Each page is one row while its samples are solved: nothing is multiplied by their number, sorted or shuffled."""
+    rows = [(i, m, c, 100.0 * m + c, 50.0 * c * m + m, 100.0 * m + c + 3, 50.0 * c * m + m - 1) for i in range(3) for m in range(4) for c in range(4)]
+    fits = alignment.homographies(spark.createDataFrame(rows, "image int, marker_id int, corner int, x double, y double, u double, v double"))
+    plan = fits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate explode" not in plan and "Join" not in plan
+    assert {r.image: (r.n_points, r.n_inliers) for r in fits.collect()} == {i: (16, 16) for i in range(3)}
