@@ -263,3 +263,21 @@ def test_samples_of_a_page_are_no_rows(spark):
     plan = fits._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate explode" not in plan and "Join" not in plan
     assert {r.image: (r.n_points, r.n_inliers) for r in fits.collect()} == {i: (16, 16) for i in range(3)}
+
+
+def test_first_samples_settle_a_page(monkeypatch):
+    """A sample that all points agree with needs no others; else the first of those with the most inliers wins, as one by one."""
+    rng, solved = np.random.default_rng(4), []
+    real = alignment._solved
+    monkeypatch.setattr(alignment, "_solved", lambda p: solved.append(len(p)) or real(p))
+    for far in (0, 3):
+        points = rng.random((16, 4)) * 500
+        points[:, 2:] = points[:, :2] * [1.1, 0.9] + [7, 3]
+        points[:far, 2] += 80
+        samples = np.array([rng.permutation(16)[:4] for _ in range(200)])
+        solved.clear()
+        got = alignment._consensus(points, samples)
+        assert sum(solved) <= 9 if not far else sum(solved) > 100
+        good = [alignment._inliers(h, points)[0] if (h := real(alignment._sorted(points[s][None]))) is not None else None for s in samples]
+        first = max(range(200), key=lambda i: (good[i].sum(), -i))
+        assert got == alignment._solve(alignment._sorted(points[good[first]][None])[0]) and good[first].sum() == 16 - far
