@@ -32,10 +32,16 @@ def latest(changes: DataFrame, key: str, columns: list[str], order: str) -> Data
     return changes.groupBy(key).agg(*newest, F.min(order).alias("created_at"), F.max(order).alias("updated_at"))
 
 
-def outcomes(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """job_id, source_image, succeeded, error, glyphs_extracted. pages: job_id, source_image, error; a failed page counts no glyphs."""
-    counts = glyphs.groupBy("job_id", "source_image").agg(F.count("*").alias("n"))
-    rows = pages.join(counts, ["job_id", "source_image"], "left")
+def outcomes(pages: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
+    """job_id, source_image, succeeded, error, glyphs_extracted. pages: job_id, source_image, error; a failed page counts no glyphs.
+
+    Without glyphs, pages has a row for every glyph, all of a page with one error: one aggregation finds pages and counts.
+    """
+    if glyphs is None:
+        rows = pages.groupBy("job_id", "source_image", "error").agg(F.count("*").alias("n"))
+    else:
+        counts = glyphs.groupBy("job_id", "source_image").agg(F.count("*").alias("n"))
+        rows = pages.join(counts, ["job_id", "source_image"], "left")
     good = F.col("error").isNull()
     return rows.select("job_id", "source_image", good.alias("succeeded"), "error", F.when(good, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("glyphs_extracted"))
 

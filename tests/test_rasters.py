@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import alignment, components, jobs, outlines, raster, template
+from quern.plans import rasters
 from quern.sources import images as sources
 from quern.streaming import status
 
@@ -281,3 +282,13 @@ def test_first_samples_settle_a_page(monkeypatch):
         good = [alignment._inliers(h, points)[0] if (h := real(alignment._sorted(points[s][None]))) is not None else None for s in samples]
         first = max(range(200), key=lambda i: (good[i].sum(), -i))
         assert got == alignment._solve(alignment._sorted(points[good[first]][None])[0]) and good[first].sum() == 16 - far
+
+
+def test_outcomes_are_one_aggregation(spark, tmp_path):
+    """Pages and their glyphs come from one table without a join; missing keys are a group like any other."""
+    lines = spark.createDataFrame([(1, 2), (1, 2), (1, 5), (None, 2), (None, 2)], "l_suppkey long, l_partkey long")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = rasters.queries()["job_page_outcomes"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.job_id, r.source_image): (r.succeeded, r.error, r.glyphs_extracted) for r in got.collect()}
+    assert found == {(1, 2): (True, None, 2), (1, 5): (False, "page not found", 0), (None, 2): (True, None, 2)}
