@@ -1,8 +1,9 @@
 """Page to template: page votes, point pairs, homographies by seeded consensus, reprojection errors, confidences.
 
-Each page's point pairs are gathered in one row, and TRIES samples of four are drawn as numbers of points. A task solves and
-scores a page's samples together, and the winner is fitted again to its inliers: no row is written per sample. A page has
-four points a marker, so groups stay small.
+Each page's point pairs are gathered in one row, and samples of four are drawn as numbers of points, the same for pages with the
+same markers. A task solves the first samples of many pages together; a page with a sample that all its points agree with is
+settled, and for the others alone all TRIES are drawn, solved and scored. The winner is fitted again to its inliers: no row is
+written per sample. A page has four points a marker, so groups stay small.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ INLIER, SHARE, LEAST, MARKERS, CONFIDENCE = 5.0, 0.5, 4, 3, 0.6
 TRIES = 200
 #: Samples that are tried first: one that all points agree with needs no others.
 FIRST = 8
+#: Pages whose first samples are solved together.
+BLOCK = 1000
 
 
 def pages_of(detected: DataFrame) -> DataFrame:
@@ -72,8 +75,11 @@ def _solve(points: np.ndarray) -> list[float] | None:
 
 
 def _inliers(h: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """[homography, point]: whether it takes the point within INLIER of where it should be."""
-    x, y, u, v = points.T
+    """[homography, point]: whether it takes the point within INLIER of where it should be.
+
+    points: [point, 4], or [homography, point, 4] where each has its own.
+    """
+    x, y, u, v = np.moveaxis(points, -1, 0)
     g = h[:, :, None]
     with np.errstate(invalid="ignore", divide="ignore"):
         d = g[:, 6] * x + g[:, 7] * y + g[:, 8]
@@ -85,7 +91,7 @@ def _consensus(points: np.ndarray, samples: np.ndarray) -> list[float] | None:
     """The homography of the sample [sample, 4] with the most inliers among points, the first among equals, fitted to them."""
     known = ~np.isnan(points).any(axis=1)
     best = np.zeros(len(points), dtype=bool)
-    for some in (samples[:FIRST], samples[FIRST:]):
+    for some in np.split(samples, [FIRST << i for i in range(8) if FIRST << i < len(samples)]):  # few first, then twice as many
         names, which = np.unique(some, axis=0, return_inverse=True)
         names = np.where(known[names].all(axis=1)[:, None, None], points[names], np.nan)
         whole = ~np.isnan(names[:, 0, 0])
@@ -100,6 +106,32 @@ def _consensus(points: np.ndarray, samples: np.ndarray) -> list[float] | None:
     return _solve(_sorted(points[best][None])[0])
 
 
+def _settled(points: np.ndarray, counts: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each page, whether all its points agree with one of samples [page, sample, 4], and [page, 9]: the fit to them, or nan.
+
+    points: [point, 4] of all pages, counts of them a page. A page gets what _consensus gives if it is settled.
+    """
+    pages, starts = np.arange(len(counts)), np.cumsum(counts) - counts
+    of, known = np.repeat(pages, counts), ~np.isnan(points).any(axis=1)
+    wanted = np.bincount(of[known], minlength=len(pages))
+    done, fits = wanted == 0, np.full((len(pages), 9), np.nan)
+    for some in samples.transpose(1, 0, 2):
+        left = pages[~done]
+        fours = points[starts[left, None] + some[left]]
+        whole = ~np.isnan(fours).any(axis=(1, 2))
+        h = np.full((len(pages), 9), np.nan)
+        h[left[whole]] = _solved(_sorted(fours[whole]))
+        at = ~done[of]
+        good = _inliers(h[of[at]], points[at, None])[:, 0]
+        done |= np.bincount(of[at][good], minlength=len(pages)) == wanted
+        if done.all():
+            break
+    for k in np.unique(wanted[done & (wanted > 0)]):
+        same = done & (wanted == k)
+        fits[same] = _solved(_sorted(points[known & same[of]].reshape(-1, k, 4)))
+    return done, fits
+
+
 def _sorted(points: np.ndarray) -> np.ndarray:
     """Each group's points by x, y, u, v."""
     return np.take_along_axis(points, np.lexsort(points.transpose(2, 0, 1)[::-1], axis=-1)[..., None], axis=1)
@@ -134,20 +166,34 @@ def homographies(points: DataFrame) -> DataFrame:
     pages = pages.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("image"))
     # The four points of least hash; of equal ones the first by marker and corner, as they are sorted.
     hashed = lambda s: F.transform("_p", lambda p, i: F.struct(F.xxhash64(s, p["marker_id"], p["corner"]).alias("h"), i.alias("i")))
-    drawn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda s: F.slice(F.sort_array(hashed(s)), 1, 4)["i"]))
-    rows = pages.withColumn("_s", drawn)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drawn = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.slice(F.sort_array(hashed(s)), 1, 4)["i"]))
+
+    def read(batch: pa.RecordBatch, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[point, 4] of all pages, how many a page has, and the samples of pages that have any."""
+        p = batch.column("_p")
+        each = np.stack([p.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "u", "v")], axis=1)
+        return each, p.value_lengths().to_numpy(), batch.column("_s").flatten().to_numpy().reshape(-1, tries, 4)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(i, BLOCK)
+                done, fits = _settled(*read(batch, FIRST))
+                h = pa.array([None if np.isnan(f[0]) else f for f in fits], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("_p"), pa.array(done), h], names=["image", "_p", "_done", "h"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("_p")
-            flat, starts = p.flatten(), np.cumsum([0, *p.value_lengths().to_pylist()])
-            each = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "u", "v")], axis=1)
-            samples = batch.column("_s").flatten().to_numpy().reshape(-1, TRIES, 4)
-            h = [_consensus(each[i:j], s) for i, j, s in zip(starts[:-1], starts[1:], samples)]
-            yield pa.RecordBatch.from_arrays([batch.column("image"), p, pa.array(h, pa.list_(pa.float64()))], names=["image", "_p", "h"])
+            (each, counts, samples), h = read(batch, TRIES), batch.column("h").to_pylist()
+            ends = np.cumsum(counts)
+            for i, s in zip(np.flatnonzero(~batch.column("_done").to_numpy(zero_copy_only=False)), samples, strict=True):
+                h[i] = _consensus(each[ends[i] - counts[i] : ends[i]], s)
+            yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("_p"), pa.array(h, pa.list_(pa.float64()))], names=["image", "_p", "h"])
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("image", "_p"))
-    found = rows.mapInArrow(run, f"{kinds}, h array<double>").filter("h is not null")
+    first = pages.withColumn("_s", drawn(FIRST)).mapInArrow(settle, f"{kinds}, _done boolean, h array<double>")
+    rest = first.withColumn("_s", F.when(~F.col("_done"), drawn(TRIES)))
+    found = rest.mapInArrow(search, f"{kinds}, h array<double>").filter("h is not null")
     p, q = projected(F.col("h"), F.col("x"), F.col("y"))
     each = found.select("image", "h", F.inline("_p")).withColumn("error", F.sqrt((p - F.col("u")) ** 2 + (q - F.col("v")) ** 2))
     inlier = F.col("error") <= INLIER

@@ -284,6 +284,52 @@ def test_first_samples_settle_a_page(monkeypatch):
         assert got == alignment._solve(alignment._sorted(points[good[first]][None])[0]) and good[first].sum() == 16 - far
 
 
+def test_first_samples_of_many_pages_are_solved_together(monkeypatch):
+    """Pages are settled by a few calls for all of them, with what each gets alone; one with a point far off, or without points, isn't fitted here."""
+    rng, calls = np.random.default_rng(5), []
+    real = alignment._solved
+    monkeypatch.setattr(alignment, "_solved", lambda p: calls.append(len(p)) or real(p))
+    pages = [rng.random((4 + i % 5, 4)) * 500 for i in range(200)]
+    for i, p in enumerate(pages):
+        p[:, 2:] = p[:, :2] * [1.1, 0.9] + [7, 3]
+        p[0, 2] += 80 * (i % 20 == 14)
+        p[0 if i % 20 == 8 else slice(len(p)), 1] *= np.nan if i % 20 in (8, 19) else 1
+    samples = np.array([[rng.permutation(len(p))[:4] for _ in range(200)] for p in pages])
+    done, fits = alignment._settled(np.concatenate(pages), np.array([len(p) for p in pages]), samples[:, : alignment.FIRST])
+    assert len(calls) <= alignment.FIRST + 5
+    assert done[[i for i in range(200) if i % 20 not in (8, 14)]].all() and done[8::20].any() and not done[14::20].any()
+    assert (np.isnan(fits[:, 0]) == (~done | (np.arange(200) % 20 == 19))).all()
+    for p, s, f in zip(pages, samples, fits):
+        if not np.isnan(f[0]):
+            np.testing.assert_allclose(f, alignment._consensus(p, s), rtol=1e-9)
+
+
+def test_a_page_is_searched_no_further_than_needed(monkeypatch):
+    """Where the first samples determine nothing, the next few are tried before all others."""
+    rng, solved = np.random.default_rng(6), []
+    real = alignment._solved
+    monkeypatch.setattr(alignment, "_solved", lambda p: solved.append(len(p)) or real(p))
+    points = rng.random((16, 4)) * 500
+    points[:4, 1] = points[:4, 0]  # on a line
+    points[:, 2:] = points[:, :2] * [1.1, 0.9] + [7, 3]
+    samples = np.array([[0, 1, 2, 3]] * alignment.FIRST + [rng.permutation(16)[:4] for _ in range(192)])
+    assert alignment._consensus(points, samples) == alignment._solve(alignment._sorted(points[None])[0]) and sum(solved) < 20
+
+
+def test_pages_of_many_blocks(spark, monkeypatch):
+    """Pages keep their own points when they are solved in blocks, settled or not, also those that samples settle late."""
+    monkeypatch.setattr(alignment, "BLOCK", 7)
+    far = lambda i, m, c: 80.0 * (i % 3 == 0 and (m, c) == (1, 2))
+    rows = [(i, m, c, 40.0 * m + 7 * c * c + i % 11, 30.0 * (m * c % 5) + 11 * c, 40.0 * m + 7 * c * c + i % 11 + i + far(i, m, c), 30.0 * (m * c % 5) + 11 * c - 2 * i) for i in range(60) for m in range(1 + i % 4) for c in range(4)]
+    fits = alignment.homographies(spark.createDataFrame(rows, "image int, marker_id int, corner int, x double, y double, u double, v double").coalesce(1))
+    got = {r.image: r for r in fits.collect()}
+    for i in range(60):
+        if i % 4:
+            wrong = i % 3 == 0
+            assert (got[i].n_points, got[i].n_markers, got[i].n_inliers) == (4 + 4 * (i % 4), 1 + i % 4, 4 + 4 * (i % 4) - wrong) and got[i].error < 1e-6
+            np.testing.assert_allclose(got[i].h, [1, 0, i, 0, 1, -2 * i, 0, 0, 1], atol=1e-6)
+
+
 def test_outcomes_are_one_aggregation(spark, tmp_path):
     """Pages and their glyphs come from one table without a join; missing keys are a group like any other."""
     lines = spark.createDataFrame([(1, 2), (1, 2), (1, 5), (None, 2), (None, 2)], "l_suppkey long, l_partkey long")
