@@ -40,6 +40,15 @@ def stored_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
     return stored(df.observe(seen, *(c.alias(n) for n, c in counts.items()))), seen.get
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of joins that shuffle, for tables that grow with the jobs.
+
+    Sizes of stored files, and of what windows or lists unfold to, say little of the rows in memory: a side that looks small enough
+    to be broadcast would pass whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing needs any more."""
     spark, files = df.sparkSession, df.inputFiles()

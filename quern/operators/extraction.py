@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from quern.functions import geometry
 from quern.operators import raster, rectify
 from quern.operators.alignment import projected
+from quern.operators.components import shuffled
 
 #: Fixed: pixels around a box of the template; marks on plain pages have their own padding.
 PADDING = 6
@@ -89,15 +90,15 @@ def matched_marks(marks: DataFrame, expected: DataFrame, specs: DataFrame) -> tu
     marks, with another number of marks than expected, or with an id outside specs; then it has no glyphs at all.
     """
     found = marks.groupBy("image").agg(F.count("*").alias("found"))
-    wanted = expected.join(specs.select("character_id", F.lit(True).alias("_known")), "character_id", "left")
+    wanted = expected.join(F.broadcast(specs.select("character_id", F.lit(True).alias("_known"))), "character_id", "left")
     wanted = wanted.groupBy("image").agg(F.count("*").alias("expected"), F.min(F.when(F.col("_known").isNull(), F.coalesce("character_id", F.lit("null")))).alias("unknown"))
-    pages = wanted.join(found, "image", "left").fillna(0, ["found"])
+    pages = wanted.join(shuffled(found), "image", "left").fillna(0, ["found"])
     error = F.when(F.col("found") == 0, "no handwriting found").when(F.col("found") != F.col("expected"), F.format_string("found %d characters, expected %d", "found", "expected"))
     error = error.when(F.col("unknown").isNotNull(), F.concat(F.lit("not in the character set: "), F.col("unknown")))
     judged = pages.withColumn("error", error)
     good = judged.filter("error is null").select("image")
-    glyphs = marks.join(good, "image", "left_semi").join(expected.select("image", "position", "character_id"), ["image", "position"])
-    return glyphs.join(specs.select("character_id", "character"), "character_id"), judged.filter("error is not null").select("image", "error")
+    glyphs = marks.join(shuffled(good), "image", "left_semi").join(shuffled(expected.select("image", "position", "character_id")), ["image", "position"])
+    return glyphs.join(F.broadcast(specs.select("character_id", "character")), "character_id"), judged.filter("error is not null").select("image", "error")
 
 
 def stored_glyphs(files: DataFrame, specs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import alignment, extraction, jobs, raster, template, validation
-from quern.operators.components import stored, stored_counted
+from quern.operators.components import shuffled, stored, stored_counted
 
 
 @dataclass
@@ -45,7 +45,7 @@ def events_of(rows: DataFrame, event: str, fields: list[str]) -> DataFrame:
 def _finished(glyphs: DataFrame, runs: DataFrame, pages: DataFrame, totals: dict, out: DataFrame | None, before: list[DataFrame]) -> Result:
     """Validation, exclusion, the jobs' states, and the events of all of it. glyphs: one per job and character."""
     glyphs = stored(glyphs)
-    runs = stored(runs.join(glyphs.select("glyph"), "glyph", "left_semi"))
+    runs = stored(runs.join(shuffled(glyphs.select("glyph")), "glyph", "left_semi"))
     verdicts = validation.validated(glyphs.withColumn("error", F.lit(None).cast("string")), runs, ("job_id", "character_id")).drop("glyph")
     if out is not None:
         verdicts = jobs.excluded(verdicts, out)
@@ -103,11 +103,11 @@ def plain_jobs(images: DataFrame, runs: DataFrame, expected: DataFrame, specs: D
     A page whose marks don't match the expected characters fails its job.
     """
     sizes = images.select("image", "width", "height")
-    marks = stored(raster.padded(raster.freeform_marks(runs, sizes).join(sizes, "image")))
+    marks = stored(raster.padded(raster.freeform_marks(runs, sizes).join(shuffled(sizes), "image")))
     found, failures = extraction.matched_marks(marks, expected, specs)
-    found = found.join(images.select("job_id", "image"), "image").withColumns({"glyph": F.concat_ws("/", F.col("image").cast("string"), "character_id"), "extraction_confidence": F.lit(1.0), "seq": F.col("position").cast("long")})
+    found = found.join(shuffled(images.select("job_id", "image")), "image").withColumns({"glyph": F.concat_ws("/", F.col("image").cast("string"), "character_id"), "extraction_confidence": F.lit(1.0), "seq": F.col("position").cast("long")})
     found = stored(found)
-    pages = images.select("job_id", "image").join(failures, "image", "left").select("job_id", F.col("image").alias("source_image"), "error")
+    pages = images.select("job_id", "image").join(shuffled(failures), "image", "left").select("job_id", F.col("image").alias("source_image"), "error")
     pages, totals = _counted_pages(jobs.outcomes(pages, found.withColumnRenamed("image", "source_image")))
     created = events_of(images.select("job_id").distinct(), "JOB_CREATED", ["job_id"])
     started = events_of(images, "FREEFORM_JOB_STARTED", ["image"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quern.operators.components import shuffled
 from quern.operators.ranking import keep_best, upserted
 
 #: Fixed states, and the states that each may follow.
@@ -41,7 +42,7 @@ def outcomes(pages: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
         rows = pages.groupBy("job_id", "source_image", "error").agg(F.count("*").alias("n"))
     else:
         counts = glyphs.groupBy("job_id", "source_image").agg(F.count("*").alias("n"))
-        rows = pages.join(counts, ["job_id", "source_image"], "left")
+        rows = pages.join(shuffled(counts), ["job_id", "source_image"], "left")
     good = F.col("error").isNull()
     return rows.select("job_id", "source_image", good.alias("succeeded"), "error", F.when(good, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("glyphs_extracted"))
 
@@ -50,7 +51,7 @@ def job_results(pages: DataFrame, validations: DataFrame) -> DataFrame:
     """job_id, state, pages, failed_pages, valid, invalid, error: a job fails without pages' glyphs or without a valid one."""
     p = pages.groupBy("job_id").agg(F.count("*").alias("pages"), F.count_if(~F.col("succeeded")).alias("failed_pages"))
     v = validations.groupBy("job_id").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
-    rows = p.join(v, "job_id", "left").fillna(0, ["valid", "invalid"])
+    rows = p.join(shuffled(v), "job_id", "left").fillna(0, ["valid", "invalid"])
     error = F.when(F.col("valid") + F.col("invalid") == 0, "no pages processed").when(F.col("valid") == 0, "no valid glyphs")
     return rows.select("job_id", F.when(error.isNull(), "completed").otherwise("failed").alias("state"), "pages", "failed_pages", "valid", "invalid", error.alias("error"))
 
@@ -80,7 +81,7 @@ def excluded(validations: DataFrame, out: DataFrame) -> DataFrame:
 
 def only_valid(glyphs: DataFrame, validations: DataFrame) -> DataFrame:
     """The glyphs (job_id, character_id, ...) that are valid in their job."""
-    return glyphs.join(validations.filter("valid").select("job_id", "character_id"), ["job_id", "character_id"], "left_semi").select(*glyphs.columns)
+    return glyphs.join(shuffled(validations.filter("valid").select("job_id", "character_id")), ["job_id", "character_id"], "left_semi").select(*glyphs.columns)
 
 
 def toggled(rows: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quern.functions import geometry
+from quern.operators.components import shuffled
 
 #: Canvas side, baseline, heights of tall and short glyphs and of descenders, side margin (shares of the canvas).
 CANVAS, BASELINE, TALL, SHORT, DESCENDER, SIDE = 500, 0.75, 0.60, 0.40, 0.18, 0.10
@@ -32,7 +33,7 @@ def normalised(runs: DataFrame, kinds: DataFrame) -> DataFrame:
     box = runs.groupBy("glyph").agg(F.min("x0").alias("_x"), F.min("y").alias("_y"), (F.max("x1") - F.min("x0")).alias("_w"), (F.max("y") + 1 - F.min("y")).alias("_h"))
     below = F.when(F.col("descender"), DESCENDER * CANVAS).otherwise(0.0)
     height = F.when(F.col("tall"), TALL * CANVAS).otherwise(SHORT * CANVAS) + below
-    s = box.join(kinds.select("glyph", "tall", "descender"), "glyph").withColumn("_s", geometry.fit_scale(F.col("_w"), F.col("_h"), height, CANVAS * (1 - 2 * SIDE)))
+    s = box.join(shuffled(kinds.select("glyph", "tall", "descender")), "glyph").withColumn("_s", geometry.fit_scale(F.col("_w"), F.col("_h"), height, CANVAS * (1 - 2 * SIDE)))
     s = s.withColumns({"_nw": F.greatest(F.lit(1), F.bround(F.col("_w") * F.col("_s"))).cast("int"), "_nh": F.greatest(F.lit(1), F.bround(F.col("_h") * F.col("_s"))).cast("int")})
     top = F.greatest(F.lit(0), F.least(F.bround(F.lit(BASELINE * CANVAS)) + F.bround(below) - F.col("_nh"), CANVAS - F.col("_nh"))).cast("int")
     left = F.greatest(F.lit(0), F.least(F.bround((CANVAS - F.col("_nw")) / 2), CANVAS - F.col("_nw"))).cast("int")
@@ -42,7 +43,7 @@ def normalised(runs: DataFrame, kinds: DataFrame) -> DataFrame:
         """The first target pixel whose centre is at or past source edge v."""
         return F.ceil(v * F.col(new) / F.col(old) - 0.5).cast("int")
 
-    r = runs.join(s, "glyph")
+    r = runs.join(shuffled(s), "glyph")
     r = r.withColumns({"_a": edge(F.col("y") - F.col("_y"), "_nh", "_h"), "_b": edge(F.col("y") - F.col("_y") + 1, "_nh", "_h"), "_p": edge(F.col("x0") - F.col("_x"), "_nw", "_w"), "_q": edge(F.col("x1") - F.col("_x"), "_nw", "_w")})
     r = r.filter("_b > _a and _q > _p").withColumn("_row", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)))
     return united(r.select("glyph", (F.col("_row") + F.col("_top")).alias("y"), (F.col("_p") + F.col("_left")).alias("x0"), (F.col("_q") + F.col("_left")).alias("x1")))
@@ -155,7 +156,7 @@ def glyph_pngs(runs: DataFrame, side: int = CANVAS, sizes: DataFrame | None = No
     if sizes is None:
         drawn = drawn.withColumns({"width": F.lit(side), "height": F.lit(side)})
     else:
-        drawn = sizes.select("glyph", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).join(drawn, "glyph", "left")
+        drawn = sizes.select("glyph", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).join(shuffled(drawn), "glyph", "left")
 
     def run(batches):
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quern.operators.components import local_labels
+from quern.operators.components import local_labels, shuffled
 from quern.operators.ranking import row_gaps
 
 #: Smallest component, merge gap and border margin as shares of the page, row gap in median heights, padding, smallest component in a glyph as share of its largest.
@@ -202,8 +202,8 @@ def without_specks(parts: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
     """Labelled runs whose component has at least ratio times the area of its image's largest."""
     b = boxes(parts).select("image", "component", "area")
     top = b.groupBy("image").agg(F.max("area").alias("_top"))
-    keep = b.join(top, "image").filter(F.col("area") >= ratio * F.col("_top")).select("image", "component")
-    return parts.join(keep, ["image", "component"], "left_semi")
+    keep = b.join(shuffled(top), "image").filter(F.col("area") >= ratio * F.col("_top")).select("image", "component")
+    return parts.join(shuffled(keep), ["image", "component"], "left_semi")
 
 
 def measures(runs: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def merged_boxes(found: DataFrame, gap: Column) -> DataFrame:
 
     rows = found.select("image", *(F.col(c).cast("double").alias(c) for c in "xywh"), F.col("component").cast("long").alias("component"), gap.cast("double").alias("gap"))
     whole = _per_image(rows, ["x", "y", "w", "h", "component", "gap"], work, "whole long").select("image", "component", "whole")
-    whole = found.join(whole, ["image", "component"])
+    whole = found.join(shuffled(whole), ["image", "component"])
     out = whole.groupBy("image", F.col("whole").alias("component")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.max(F.col("y") + F.col("h")).alias("_y1"), F.count("*").alias("parts"))
     return out.select("image", "component", "x", "y", (F.col("_x1") - F.col("x")).alias("w"), (F.col("_y1") - F.col("y")).alias("h"), "parts")
 
@@ -258,13 +258,13 @@ def freeform_marks(runs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     The order of steps matters: small components go, near ones unite, united ones at the border go, rows are read.
     """
-    found = boxes(labelled(runs)).filter(F.col("area") >= MIN_AREA).join(sizes, "image")
-    inside = away_from_border(merged_boxes(found, MERGE_GAP * F.col("width")).join(sizes, "image"))
+    found = boxes(labelled(runs)).filter(F.col("area") >= MIN_AREA).join(shuffled(sizes), "image")
+    inside = away_from_border(merged_boxes(found, MERGE_GAP * F.col("width")).join(shuffled(sizes), "image"))
     inside = inside.select("image", "component", "x", "y", "w", "h", (F.col("y") + F.col("h") / 2).alias("_yc"))
     tall = row_gaps(inside, ["image"], "h", ROW_GAP).withColumnRenamed("gap", "_gap")
     by = Window.partitionBy("image").orderBy("_yc", "component")
     new = F.coalesce((F.col("_yc") - F.lag("_yc").over(by) > F.col("_gap")).cast("int"), F.lit(0))
-    rows = inside.join(tall, "image").withColumn("_new", new)
+    rows = inside.join(shuffled(tall), "image").withColumn("_new", new)
     rows = rows.withColumn("_row", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select("image", F.row_number().over(Window.partitionBy("image").orderBy("_row", "x", "_yc", "component")).alias("position"), "x", "y", "w", "h")
 
@@ -276,7 +276,7 @@ def cut(runs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     m = windows.select("image", "glyph", F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height").filter("width > 0 and height > 0")
     rows = m.withColumn("y", F.explode(F.sequence(F.col("_y").cast("int"), (F.col("_y") + F.col("height") - 1).cast("int"))))
-    inside = rows.join(runs, ["image", "y"]).filter("x1 > _x and x0 < _x + width")
+    inside = rows.join(shuffled(runs), ["image", "y"]).filter("x1 > _x and x0 < _x + width")
     inside = inside.select(F.col("glyph").alias("image"), (F.col("y") - F.col("_y")).cast("int").alias("y"), F.greatest(F.lit(0), F.col("x0") - F.col("_x")).alias("x0"), F.least(F.col("width"), F.col("x1") - F.col("_x")).alias("x1"))
     return without_specks(labelled(inside)).select(F.col("image").alias("glyph"), "y", "x0", "x1")
 
@@ -291,7 +291,7 @@ def padded(marks: DataFrame, padding: int = PADDING) -> DataFrame:
 
 def crops(runs: DataFrame, marks: DataFrame, sizes: DataFrame, padding: int = PADDING) -> DataFrame:
     """Runs inside each mark's padded box, in the box's own coordinates and without specks: image, position, y, x0, x1, width, height."""
-    m = padded(marks.join(sizes, "image"), padding)
+    m = padded(marks.join(shuffled(sizes), "image"), padding)
     m = m.withColumn("glyph", F.struct("image", "position", "width", "height"))
     return cut(runs, m).select("glyph.image", "glyph.position", "y", "x0", "x1", "glyph.width", "glyph.height")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring
 from quern.operators import raster
+from quern.operators.components import shuffled
 
 
 def checks(character: Column, ink: Column, strokes: Column, box: tuple[Column, ...], width: Column, height: Column) -> list[Column]:
@@ -26,8 +27,8 @@ def checks(character: Column, ink: Column, strokes: Column, box: tuple[Column, .
 def measured(crops: DataFrame, runs: DataFrame) -> DataFrame:
     """crops (glyph, width, height, ...) with ink, strokes and the ink's box x0, y0, x1, y1. runs: glyph, y, x0, x1."""
     named = runs.select(F.col("glyph").alias("image"), "y", "x0", "x1")
-    found = raster.measures(named).join(raster.component_counts(raster.labelled(named)), "image").withColumnRenamed("image", "glyph")
-    return crops.join(found, "glyph", "left").fillna(0, ["ink", "strokes"])
+    found = raster.measures(named).join(shuffled(raster.component_counts(raster.labelled(named))), "image").withColumnRenamed("image", "glyph")
+    return crops.join(shuffled(found), "glyph", "left").fillna(0, ["ink", "strokes"])
 
 
 def validated(crops: DataFrame, runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

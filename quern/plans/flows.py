@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import delivery, flow, template
+from quern.operators.components import shuffled
 from quern.plans.catalogue import read
 from quern.plans.rasters import PX, _runs
 
@@ -122,5 +123,5 @@ def flow_deliveries(spark, d):
         (made.files, F.count("*").alias("files")),
         (made.events.filter(tail), F.array_join(F.array_sort(F.collect_set("event")), ",").alias("events")),
     ):
-        out = out.join(rows.groupBy("job_id").agg(found), "job_id", "left")
+        out = out.join(shuffled(rows.groupBy("job_id").agg(found)), "job_id", "left")
     return out.fillna(0, ["drawings", "files"])

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import geometry, text
 from quern.operators import delivery, extraction, flow, jobs, outlines, packaging, raster, template, uploads, validation
+from quern.plans import flows
 from quern.sources import file_table
 from quern.sources import images as sources
 from quern.streaming import status
@@ -273,3 +275,20 @@ def test_event_counts_as_a_stream(spark, tmp_path):
 def test_toggle_and_only_valid(spark):
     a, b = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 1), (1, 2), (1, 2), (2, 1)], [(1, 2), (3, 9)]))
     assert sorted(map(tuple, jobs.toggled(a, b, ["k", "v"]).collect())) == [(1, 1), (2, 1), (3, 9)]
+
+
+def test_only_the_character_set_is_broadcast(spark):
+    """What grows with the jobs never passes whole through the driver, however small it looks: all other joins of a whole flow shuffle."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size()))}
+
+    last = max(executions(), default=-1)
+    flows.queries()["flow_deliveries"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    plans = "\n".join(plan for i, plan in executions().items() if i > last)
+    keys = re.findall(r"\) Broadcast\w*Join.*\nLeft keys \[\d+\]: \[(.*)\]", plans)
+    assert len(keys) == len(re.findall(r"\) Broadcast\w*Join", plans)) > 0 and plans.count(") SortMergeJoin") > 50
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"position", "character_id"}
